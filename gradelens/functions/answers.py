@@ -79,15 +79,11 @@ def letter_array(count: int) -> Column:
     return F.array(*[F.lit(letter) for letter in v.LETTERS[:count]])
 
 
-def task_scores(task: Column, content: Column, logprobs: Column) -> Column:
-    """``symbol_scores`` over the letters that the row's task offers.
+def offered_scores(task: Column, four: Column) -> Column:
+    """Four letters' scores with the letters that the task does not offer at the floor.
 
-    Scores are padded to four letters with the floor, which can only be picked when the real
-    letters are at the floor too, and then the earliest letter wins.
+    A floor score is picked only when all letters are at the floor, and then the earliest is.
     """
-    four = token_scores(logprobs, v.LETTERS)
-    offered = F.when(
-        task.isin([t for t, k in v.OPTION_COUNT.items() if k == 3]),
-        F.concat(F.slice(four, 1, 3), F.array(F.lit(v.UNSEEN_LOGPROB))),
-    ).otherwise(four)
-    return fallback_first_choice(content, offered, v.LETTERS)
+    fewer = task.isin([name for name, k in v.OPTION_COUNT.items() if k == 3])
+    fourth = F.when(fewer, F.lit(v.UNSEEN_LOGPROB)).otherwise(F.get(four, F.lit(3)))
+    return F.array(*[F.get(four, F.lit(i)) for i in range(3)], fourth)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradelens import values as v
 from gradelens.functions import answers as an
 from gradelens.functions import text as tx
 
@@ -43,16 +44,27 @@ def attach_generations(examples: DataFrame, responses: DataFrame) -> DataFrame:
     return given.join(gold, "example_id")
 
 
+def task_scores(responses: DataFrame) -> DataFrame:
+    """Add the ``scores`` of the four letters, as the row's task offers them.
+
+    In steps, so that tokens are read once for all letters.
+    """
+    scores = an.fallback_first_choice(
+        F.col("content"), an.offered_scores(F.col("task"), F.col("_four")), v.LETTERS
+    )
+    seen = responses.withColumn("_four", an.token_scores(F.col("logprobs"), v.LETTERS))
+    return seen.withColumn("scores", scores).drop("_four")
+
+
 def decode_answers(responses: DataFrame) -> DataFrame:
     """Replace content and token log-probabilities by the picked letter."""
-    scores = an.task_scores(F.col("task"), F.col("content"), F.col("logprobs"))
-    return responses.select(
+    return task_scores(responses).select(
         "model",
         "condition",
         "task",
         "example_id",
         "perm_idx",
-        an.pick_index(scores).alias("pick"),
+        an.pick_index(F.col("scores")).alias("pick"),
         "ingest_ts",
     )
 

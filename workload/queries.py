@@ -463,8 +463,8 @@ def fallback_first_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pick_symbol(spark: SparkSession, sf: str) -> DataFrame:
-    scores = an.task_scores(F.col("task"), F.col("content"), F.col("logprobs"))
-    picked = t.choices(spark, sf).withColumn("picked", an.pick_symbol(scores))
+    scored = joins.task_scores(t.choices(spark, sf))
+    picked = scored.withColumn("picked", an.pick_symbol(F.col("scores")))
     return picked.groupBy("model", "condition", "task", "perm_idx", "picked").agg(
         F.count("*").alias("n"), F.sum("example_id").alias("id_sum")
     )

@@ -11,6 +11,7 @@ from gradelens import values as v
 from gradelens.functions import answers as an
 from gradelens.functions import text as tx
 from gradelens.operators import fanout
+from gradelens.schemas import LOGPROBS
 
 START = 1_704_067_200  # delivery times count from here, in seconds
 
@@ -160,6 +161,34 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+USUAL = '{"answer": "<right>"}'
+STALE = 24
+# content and tokens of the answer forms 0 to 23, and of a stale delivery
+ANSWERS = [(USUAL, [("<right>", -0.1)])] * 12 + [
+    ("", [("<right>", -0.1)]),
+    ('{"answer":', [("<right>", -0.1)]),
+    (USUAL, [("{", -0.1)]),
+    (USUAL, [("<right>", -1.5), (" A", -0.2)]),
+    (USUAL, [("<right>", -0.1), ("<right>", -5.0), ("A", -3.0)]),
+    (USUAL, [("C", -1.0), ("B", -1.0)]),
+    (USUAL, [("<other>", -0.3)]),
+    (USUAL, [("<other>", -0.3)]),
+    (USUAL + " x", [("<right>", -0.1)]),
+    (" \n ", [("<right>", -0.1)]),
+    (USUAL, None),
+    (USUAL, [("\n<right> ", -0.4)]),
+    ('{"answer": "A"}', [("A", -0.05)]),
+]
+
+
+def _token_list(tokens: list[tuple[str, float]] | None) -> Column:
+    if tokens is None:
+        return F.lit(None).cast(LOGPROBS)
+    return F.array(
+        *[F.struct(F.lit(t).alias("token"), F.lit(s).alias("logprob")) for t, s in tokens]
+    )
+
+
 def choices(
     spark: SparkSession, sf_dir: str, tasks: Sequence[str] = v.CHOICE_TASKS
 ) -> DataFrame:
@@ -171,37 +200,26 @@ def choices(
     k = F.when(F.col("task") == "CTR", 3).otherwise(4)
     steady = (F.pmod(i + c, F.lit(3)) == 0) & ~((m == 1) & (p == 5))
     h = F.when(steady, 0).otherwise(F.pmod(i * 31 + p * 17 + m * 7 + c * 3 + number, F.lit(24)))
-
-    def token(text, score) -> Column:
-        return F.struct(
-            (F.lit(text) if isinstance(text, str) else text).alias("token"),
-            F.lit(score).alias("logprob"),
-        )
-
-    sym = F.col("sym")
-    other = F.get(an.letter_array(4), F.pmod(p, k).cast("int"))
-    usual = F.array(token(sym, -0.1))
-    logprobs = (
-        F.when(F.col("attempt") == 0, F.array(token("A", -0.05)))
-        .when(h == 14, F.array(token("{", -0.1)))
-        .when(h == 15, F.array(token(sym, -1.5), token(" A", -0.2)))
-        .when(h == 16, F.array(token(sym, -0.1), token(sym, -5.0), token("A", -3.0)))
-        .when(h == 17, F.array(token("C", -1.0), token("B", -1.0)))
-        .when(h.isin(18, 19), F.array(token(other, -0.3)))
-        .when(h == 22, F.lit(None))
-        .when(h == 23, F.array(token(F.concat(F.lit("\n"), sym, F.lit(" ")), -0.4)))
-        .otherwise(usual)
+    form = F.when(F.col("attempt") == 0, STALE).otherwise(h).cast("int")
+    shaped = asked.withColumns(
+        {
+            "_content": F.get(F.array(*[F.lit(content) for content, _ in ANSWERS]), form),
+            "_logprobs": F.get(F.array(*[_token_list(tokens) for _, tokens in ANSWERS]), form),
+            "_other": F.get(an.letter_array(4), F.pmod(p, k).cast("int")),
+        }
     )
-    object_text = F.concat(F.lit('{"answer": "'), sym, F.lit('"}'))
-    content = (
-        F.when(F.col("attempt") == 0, F.lit('{"answer": "A"}'))
-        .when(h == 12, F.lit(""))
-        .when(h == 13, F.lit('{"answer":'))
-        .when(h == 20, F.concat(object_text, F.lit(" x")))
-        .when(h == 21, F.lit(" \n "))
-        .otherwise(object_text)
+    right, other = F.lit("<right>"), F.lit("<other>")
+    content = F.replace("_content", right, F.col("sym"))
+    logprobs = F.transform(
+        "_logprobs",
+        lambda entry: F.struct(
+            F.replace(
+                F.replace(entry["token"], right, F.col("sym")), other, F.col("_other")
+            ).alias("token"),
+            entry["logprob"].alias("logprob"),
+        ),
     )
-    return asked.select(
+    return shaped.select(
         "model",
         "condition",
         "task",
