@@ -85,13 +85,18 @@ def _key(task: str) -> Column:
 
 
 def answer_keys(examples: DataFrame, tasks: Sequence[str] = v.CHOICE_TASKS) -> DataFrame:
-    """One short row per example and task: the right letter of every ordering as a string.
+    """One short row per example: for every task, the right letter of every ordering.
 
-    Options never leave the row they came from; only ids and keys of at most 24 letters do.
+    ``keys`` maps a task to a text of at most 24 letters, or to null where the example has no
+    such question. Options never leave the row they came from, and joins need the id alone.
     """
-    keyed = F.array(*[F.struct(F.lit(t).alias("task"), _key(t).alias("key")) for t in tasks])
-    return (
-        examples.select("example_id", "lang", "type_correct", F.explode(keyed).alias("_k"))
-        .select("example_id", "lang", "type_correct", "_k.task", "_k.key")
-        .where(F.col("key").isNotNull())
+    pairs = [part for task in tasks for part in (F.lit(task), _key(task))]
+    return examples.select(
+        "example_id", "lang", "type_correct", F.create_map(*pairs).alias("keys")
     )
+
+
+def with_key(answers: DataFrame, keys: DataFrame) -> DataFrame:
+    """Answers of existing questions, beside the ``key`` of their example and task."""
+    joined = answers.join(keys, "example_id").withColumn("key", F.col("keys")[F.col("task")])
+    return joined.where(F.col("key").isNotNull()).drop("keys")

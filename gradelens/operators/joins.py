@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradelens import values as v
 from gradelens.functions import answers as an
 from gradelens.functions import text as tx
+from gradelens.operators import fanout
 
 GENERATION_KEY = ("model", "condition", "example_id")
 
@@ -75,8 +76,7 @@ def attach_choice_answers(responses: DataFrame, keys: DataFrame) -> DataFrame:
     The key row of the example is joined, not its exploded orderings. Needs one answer per
     ordering; scoring with repeats goes through ``answers_by_example``.
     """
-    decoded = decode_answers(responses)
-    return decoded.join(keys, ["example_id", "task"]).select(
+    return fanout.with_key(decode_answers(responses), keys).select(
         "model",
         "condition",
         "task",

@@ -28,13 +28,16 @@ def progress(scored: DataFrame, hit: str = "hit", width: int = 1_000_000) -> Dat
 
     A cell can hold most of the table, so it is cut into ranges of ``width`` example ids.
     A window runs inside each range, and the totals of the earlier ranges are added to it.
-    Only the range totals, one row per ``width`` examples, ever meet in one task.
+    Only the range totals, one row per ``width`` examples, ever meet in one task. Totals and
+    windows read the same columns, so both come from one shuffle.
     """
     ranged = scored.select(
         *CELL,
         "example_id",
         F.col(hit).cast("bigint").alias("_hit"),
-        F.floor(F.col("example_id") / width).alias("_range"),
+        F.coalesce(F.col("example_id") - F.pmod("example_id", F.lit(width)), F.lit(-1)).alias(
+            "_range"
+        ),
     ).repartition(*CELL, "_range")
     totals = ranged.groupBy(*CELL, "_range").agg(
         F.sum("_hit").alias("_hits"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradelens.functions import answers as an
 from gradelens.functions import metrics as mx
 from gradelens.functions import options as op
-from gradelens.operators import joins
+from gradelens.operators import fanout, joins
 
 CELL = ("model", "condition", "task")
 MOST_ORDERINGS = op.ordering_count(4)
@@ -43,7 +43,7 @@ def position_lists(slots: DataFrame, keys: DataFrame) -> DataFrame:
     """
     letters = an.letter_array(4)
     ranks = F.array(*[F.col(f"s{i}") for i in range(MOST_ORDERINGS)])
-    return slots.join(keys, ["example_id", "task"]).select(
+    return fanout.with_key(slots, keys).select(
         *CELL,
         "example_id",
         "lang",

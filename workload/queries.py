@@ -389,7 +389,9 @@ def correct_symbol(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answer_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return fanout.answer_keys(t.examples(spark, sf)).select("example_id", "task", "key")
+    keys = fanout.answer_keys(t.examples(spark, sf))
+    by_task = keys.select("example_id", F.explode("keys").alias("task", "key"))
+    return by_task.where(F.col("key").isNotNull())
 
 
 def option_count_check(spark: SparkSession, sf: str) -> DataFrame:

@@ -49,7 +49,7 @@ def metric_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(form == 7, F.lit(""))
         .when(form == 8, F.concat(F.lit("ab\nq "), gold))
         .when(form == 9, F.concat(F.lit("x"), gold))
-        .otherwise(F.replace(gold, F.lit(" "), F.lit(" ")))
+        .otherwise(F.replace(gold, F.lit(" "), F.lit("\xa0")))
     )
     return with_gold(documents(spark, sf_dir)).select("doc_id", "gold", pred.alias("generation"))
 
@@ -193,7 +193,9 @@ def choices(
     spark: SparkSession, sf_dir: str, tasks: Sequence[str] = v.CHOICE_TASKS
 ) -> DataFrame:
     """Choice answers of two models under both conditions, all orderings."""
-    keyed = _delivered(_grid(fanout.answer_keys(examples(spark, sf_dir), tasks)))
+    keys = fanout.answer_keys(examples(spark, sf_dir), tasks)
+    by_task = keys.select("example_id", F.explode("keys").alias("task", "key"))
+    keyed = _delivered(_grid(by_task.where(F.col("key").isNotNull())))
     asked = keyed.select("*", F.posexplode(F.split("key", "")).alias("perm_idx", "sym"))
     i, p, m, c = (F.col(n) for n in ("example_id", "perm_idx", "m", "c"))
     number = F.array_position(F.array(*map(F.lit, v.CHOICE_TASKS)), F.col("task")).cast("int") - 1
