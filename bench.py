@@ -17,6 +17,7 @@ from gradelens.session import local_session  # noqa: E402
 from workload.queries import QUERIES  # noqa: E402
 
 HEADLINES = (
+    "evaluate",
     "score_generation",
     "jaccard",
     "refine_report",
@@ -32,7 +33,6 @@ HEADLINES = (
     "solution_prompt",
     "infer_choice",
     "stream_scores",
-    "evaluate",
 )
 
 

@@ -178,6 +178,16 @@ def test_failed_calls(spark):
     }
     with pytest.raises(Exception, match="no"):
         inference.infer_generate(asked, client_factory()).collect()
+    batched = inference.infer_choice_batch(
+        table(spark, *[example(i) for i in range(6)]),
+        prompts.change_type_prompt,
+        client_factory(),
+        "ABC",
+        calls_at_once=3,
+    )
+    assert batched.rdd.getNumPartitions() == 3
+    places = batched.select("condition", "example_id", "perm_idx").distinct().count()
+    assert places == batched.count() == 6 * 6 * 2
     enriched = rows.add_summary_column(table(spark, example(1), example(2)), summaries)
     failed = rows.summary_status(enriched).select("example_id", "summary_failed").collect()
     assert {r.example_id: r.summary_failed for r in failed} == {1: False, 2: True}

@@ -660,10 +660,14 @@ def infer_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def infer_choice_batch(spark: SparkSession, sf: str) -> DataFrame:
-    asked = prompts.location_prompt(t.examples(spark, sf))
-    return _choice_answers(
-        inference.infer_choice_batch(asked, _letter_client(), v.LETTERS, calls_at_once=8)
+    answered = inference.infer_choice_batch(
+        t.examples(spark, sf),
+        prompts.location_prompt,
+        _letter_client(),
+        v.LETTERS,
+        calls_at_once=8,
     )
+    return _choice_answers(answered)
 
 
 def infer_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -676,15 +680,17 @@ def infer_summary(spark: SparkSession, sf: str) -> DataFrame:
 def stream_scores(spark: SparkSession, sf: str) -> DataFrame:
     """All answers arrive as files in several micro-batches; totals of both kinds of tasks."""
     base = session.fresh_path(spark, "stream")
-    examples = t.examples(spark, sf)
-    t.generations(spark, sf).repartition(6, "ingest_ts").write.parquet(f"{base}/texts")
-    t.choices(spark, sf).repartition(6, "perm_idx").write.parquet(f"{base}/choices")
+    stored.write_enriched(t.examples(spark, sf), f"{base}/examples")
+    examples = spark.read.parquet(f"{base}/examples")
+    t.generations(spark, sf).repartition(16, "ingest_ts").write.parquet(f"{base}/texts")
+    # the orderings of one example are spread over the files, and so over the batches
+    t.choices(spark, sf).repartition(16, "perm_idx", "task").write.parquet(f"{base}/choices")
     feeds = [
         streams.stream_generations(
-            spark, f"{base}/texts", examples, f"{base}/text-scores", f"{base}/text-log", 2
+            spark, f"{base}/texts", examples, f"{base}/text-scores", f"{base}/text-log", 8
         ),
         streams.stream_choices(
-            spark, f"{base}/choices", f"{base}/slots", f"{base}/choice-log", 2
+            spark, f"{base}/choices", f"{base}/slots", f"{base}/choice-log", 8
         ),
     ]
     for feed in feeds:
