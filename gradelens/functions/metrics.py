@@ -109,18 +109,21 @@ def em_no_comment(gold: Column, pred: Column) -> Column:
     return _with(both, lambda bare: em_no_space(bare["gold"], bare["pred"]))
 
 
-def score_generation(df: DataFrame, gold: str = "gold", pred: str = "generation") -> DataFrame:
-    """Add the four exact-match columns (M5).
+def gold_forms(gold: Column) -> dict[str, Column]:
+    """The forms of a gold text that the metrics compare with, as named columns."""
+    return {
+        "_gold_spaced": tx.spaced(gold),
+        "_gold_bare_squashed": tx.squash(tx.remove_comments(gold)),
+    }
+
 
-    Normalised texts are made once in a first projection, so no metric repeats them.
+def score_against_forms(df: DataFrame, pred: str = "generation") -> DataFrame:
+    """Add the four exact-match columns to rows that carry ``gold_forms``.
+
+    Normalised texts are made once in earlier projections, so no metric repeats them.
     """
-    gold_text, pred_text, bare = F.col(gold), F.col(pred), F.col("_pred_bare")
-    made = {
-        "_gold_spaced": tx.spaced(gold_text),
-        "_pred_spaced": tx.spaced(pred_text),
-        "_gold_bare_squashed": tx.squash(tx.remove_comments(gold_text)),
-        "_pred_bare": tx.remove_comments(pred_text),
-    }
+    text, bare = F.col(pred), F.col("_pred_bare")
+    made = {"_pred_spaced": tx.spaced(text), "_pred_bare": tx.remove_comments(text)}
     # blanks are the only whitespace left in spaced texts
     derived = {
         "_gold_squashed": F.replace("_gold_spaced", F.lit(" "), F.lit("")),
@@ -129,16 +132,19 @@ def score_generation(df: DataFrame, gold: str = "gold", pred: str = "generation"
     }
     scores = {
         "em": _em(F.col("_gold_spaced"), F.col("_pred_spaced")),
-        "em_trim": _em_trim(F.col("_gold_spaced"), F.col("_pred_spaced"), pred_text),
-        "em_no_space": _em_no_space(
-            F.col("_gold_squashed"), F.col("_pred_squashed"), pred_text
-        ),
+        "em_trim": _em_trim(F.col("_gold_spaced"), F.col("_pred_spaced"), text),
+        "em_no_space": _em_no_space(F.col("_gold_squashed"), F.col("_pred_squashed"), text),
         "em_no_comment": _em_no_space(
             F.col("_gold_bare_squashed"), F.col("_pred_bare_squashed"), bare
         ),
     }
     scored = df.withColumns(made).withColumns(derived).withColumns(scores)
-    return scored.drop(*made, *derived)
+    return scored.drop(*made, *derived, "_gold_spaced", "_gold_bare_squashed")
+
+
+def score_generation(df: DataFrame, gold: str = "gold", pred: str = "generation") -> DataFrame:
+    """Add the four exact-match columns (M5)."""
+    return score_against_forms(df.withColumns(gold_forms(F.col(gold))), pred)
 
 
 def token_set(text: Column) -> Column:

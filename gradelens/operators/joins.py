@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gradelens import values as v
 from gradelens.functions import answers as an
+from gradelens.functions import metrics as mx
 from gradelens.functions import text as tx
 from gradelens.operators import fanout
 
@@ -28,21 +29,34 @@ def latest_answers(responses: DataFrame, key: Sequence[str]) -> DataFrame:
     return latest.select(*key, *[F.col(f"_latest.{c}").alias(c) for c in (*carried, "ingest_ts")])
 
 
+def generated_texts(responses: DataFrame) -> DataFrame:
+    """Answers reduced to their key, cleaned text and delivery time."""
+    content = F.coalesce("content", F.lit(""))
+    text = tx.drop_line_numbers(an.clean_generation(content))
+    return responses.select(*GENERATION_KEY, text.alias("generation"), "ingest_ts")
+
+
+def gold_texts(examples: DataFrame) -> DataFrame:
+    """Examples reduced to their id, groups and gold text."""
+    gold = tx.strip_markers(F.col("new")).alias("gold")
+    return examples.select("example_id", "lang", "type_correct", gold)
+
+
 def attach_generations(examples: DataFrame, responses: DataFrame) -> DataFrame:
     """Cleaned answers beside their gold texts.
 
     Both sides are reduced to an id and one text before the join.
     """
-    content = F.coalesce("content", F.lit(""))
-    given = responses.select(
-        *GENERATION_KEY,
-        tx.drop_line_numbers(an.clean_generation(content)).alias("generation"),
-        "ingest_ts",
-    )
-    gold = examples.select(
-        "example_id", "lang", "type_correct", tx.strip_markers(F.col("new")).alias("gold")
-    )
-    return given.join(gold, "example_id")
+    return generated_texts(responses).join(gold_texts(examples), "example_id")
+
+
+def attach_gold_forms(examples: DataFrame, responses: DataFrame) -> DataFrame:
+    """Cleaned answers beside the forms of their gold texts that metrics compare with.
+
+    A gold text is normalised once here, before it meets the answers of all models.
+    """
+    golds = gold_texts(examples).withColumns(mx.gold_forms(F.col("gold"))).drop("gold")
+    return generated_texts(responses).join(golds, "example_id")
 
 
 def task_scores(responses: DataFrame) -> DataFrame:

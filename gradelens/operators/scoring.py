@@ -16,8 +16,8 @@ MOST_ORDERINGS = op.ordering_count(4)
 
 def score_generations(examples: DataFrame, responses: DataFrame) -> DataFrame:
     """The exact-match scores of every generated answer; one answer per key."""
-    paired = joins.attach_generations(examples, responses)
-    return mx.score_generation(paired).select(
+    paired = joins.attach_gold_forms(examples, responses)
+    return mx.score_against_forms(paired).select(
         *joins.GENERATION_KEY, "lang", "type_correct", *mx.METRICS
     )
 

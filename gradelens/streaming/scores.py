@@ -67,7 +67,7 @@ def stream_generations(
 
     def score(batch: DataFrame) -> DataFrame:
         latest = joins.latest_answers(batch, joins.GENERATION_KEY)
-        scored = mx.score_generation(joins.attach_generations(examples, latest))
+        scored = mx.score_against_forms(joins.attach_gold_forms(examples, latest))
         return scored.select(*joins.GENERATION_KEY, *mx.METRICS, "ingest_ts")
 
     return _follow(
