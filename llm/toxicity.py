@@ -1,13 +1,13 @@
 """Toxicity: a convolutional text classifier in numpy, scored inside tasks.
 
-A word (lower case, punctuation cut off) has two hashed embeddings, of itself and of its first five
-bytes, which are added. Filters over one, two and three words, a rectifier and the maximum over the
+A word (lower case, punctuation cut off) has three hashed embeddings, of itself and of its first
+seven and five bytes, which are added. Filters over one, two and three words, a rectifier and the maximum over the
 whole text feed a logistic output. Half of the labelled sample gives each embedding its first value,
 a shrunken log-odds of its class; on the other half filters, embeddings and output are trained by
 gradient descent, where only the window that won a maximum passes a gradient. Thresholds are
 calibrated by language on that half; language is never an input of the score.
 
-The model (about 4 MB) is fitted on a bounded sample (see ``labelled``) and broadcast. Scoring reads
+The model (about 6 MB) is fitted on a bounded sample (see ``labelled``) and broadcast. Scoring reads
 each text once and shuffles nothing.
 
 Cases: null, empty and blank texts get the score of no evidence; languages that are null or were not
@@ -31,38 +31,43 @@ from llm.common import as_bytes, crc_fold, slices
 from llm.labelled import FIT_WORDS, SAMPLE, fitting_rows
 
 BITS = 16
+STARTS = (7, 5)
 DIM = 8
 FILTERS = 8
 WIDTHS = (1, 2, 3)
-EPOCHS = 4
+EPOCHS = 3
+RATE = 0.01
+#: Share of the rate that embeddings move with; few words are met often enough to be trusted more.
+SLOW = 0.02
 PIECE = 8_192
 #: Bytes that end words, besides white space; A-Z become a-z.
 TABLE = bytes(32 if (b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class Buckets(dict):
-    """word -> bucket of the word and of its beginning, in one number; bounded like ``common.Words``."""
+    """word -> buckets of the word and of its beginnings, in one number; bounded like ``common.Words``."""
 
     def __missing__(self, word: bytes) -> int:
-        whole = xxhash.xxh3_64_intdigest(word) & ((1 << BITS) - 1)
-        value = whole << BITS | xxhash.xxh3_64_intdigest(word[:5], 1) & ((1 << BITS) - 1)
+        value = xxhash.xxh3_64_intdigest(word) & ((1 << BITS) - 1)
+        for length in STARTS:
+            value = value << BITS | xxhash.xxh3_64_intdigest(word[:length], length) & ((1 << BITS) - 1)
         if len(self) < 300_000:
             self[word] = value
         return value
 
     def words(self, data: bytes) -> np.ndarray:
         words = data.translate(TABLE).split()
-        return np.fromiter(map(self.__getitem__, words), np.uint32, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def _both(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return codes >> BITS, codes & np.uint32((1 << BITS) - 1)
+def _parts(codes: np.ndarray) -> list[np.ndarray]:
+    """Rows of the embedding table, which has one section for words and one for each beginning."""
+    return [(codes >> BITS * k & (1 << BITS) - 1) + (k << BITS) for k in range(len(STARTS) + 1)]
 
 
 @dataclass
 class Model:
-    whole: np.ndarray
-    start: np.ndarray
+    embedding: np.ndarray
     filters: list[np.ndarray]
     bias: list[np.ndarray]
     out: np.ndarray
@@ -71,8 +76,7 @@ class Model:
 
     def pooled(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The maximum of each filter, the window that won it, and the words' embeddings."""
-        a, b = _both(codes)
-        x = self.whole[a] + self.start[b]
+        x = sum(self.embedding[part] for part in _parts(codes))
         best, place = [], []
         for w, kernel, bias in zip(WIDTHS, self.filters, self.bias):
             n = len(x) - w + 1
@@ -98,11 +102,12 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(best @ self.out + self.shift, -30, 30))))
 
 
-def _log_odds(docs: list[np.ndarray], labels: np.ndarray, part: int) -> np.ndarray:
-    """Shrunken log-odds of each bucket over documents that have it."""
-    counts = np.zeros((2, 1 << BITS))
+def _log_odds(docs: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+    """Shrunken log-odds of each embedding's row over documents that have it."""
+    counts = np.zeros((2, size))
     for codes, label in zip(docs, labels):
-        counts[label, np.unique(_both(codes)[part])] += 1
+        for part in _parts(codes):
+            counts[label, np.unique(part)] += 1
     share = np.clip(labels.mean(), 0.01, 0.99)
     strength = 4.0
     odds = (counts[1] + strength * share) / (counts[0] + strength * (1 - share))
@@ -112,24 +117,23 @@ def _log_odds(docs: list[np.ndarray], labels: np.ndarray, part: int) -> np.ndarr
 def fit(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], half: np.ndarray) -> Model:
     """``half``: whether a document gives first values (True) or trains."""
     rng = np.random.Generator(np.random.PCG64(8))
-    size, n = 1 << BITS, FILTERS * len(WIDTHS)
-    whole, start = (rng.normal(0, 0.05, (size, DIM)).astype(np.float32) for _ in range(2))
+    size, n = len(STARTS) + 1 << BITS, FILTERS * len(WIDTHS)
+    embedding = rng.normal(0, 0.05, (size, DIM)).astype(np.float32)
     filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
     bias = [np.full(FILTERS, -0.5, np.float32) for _ in WIDTHS]
     share = float(labels.mean()) if len(labels) else 0.0
-    model = Model(whole, start, filters, bias, np.zeros(n, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+    model = Model(embedding, filters, bias, np.zeros(n, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     model.thresholds = {None: 0.5}
     if len(np.unique(labels[half])) < 2 or len(np.unique(labels[~half])) < 2:
         return model
     first = [d for d, h in zip(docs, half) if h]
-    whole[:, 0], start[:, 0] = _log_odds(first, labels[half], 0) / 2, _log_odds(first, labels[half], 1) / 2
+    embedding[:, 0] = _log_odds(first, labels[half], size) / 3
     for w, kernel in zip(WIDTHS, filters):
         kernel[:, 0, :] += 1.0 / w
     model.out[:] = 1.0 / n
     rows = np.flatnonzero(~half)
     weight = {0: 1.0, 1: min(8.0, (1 - share) / share)}
-    rate = 0.05
-    epochs = max(EPOCHS, min(40, 8_000 // len(rows)))
+    epochs = EPOCHS and max(EPOCHS, min(40, 8_000 // len(rows)))
     for epoch in range(epochs):
         for i in rng.permutation(rows).tolist():
             codes, label = docs[i], int(labels[i])
@@ -139,10 +143,10 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], hal
             p = 1 / (1 + np.exp(-np.clip(best @ model.out + model.shift, -30, 30)))
             g = weight[label] * (p - label)
             back = (g * model.out).astype(np.float32)
-            step = rate / (1 + epoch)
+            step = RATE / (1 + epoch)
             model.out -= step * np.clip(g * best, -2, 2)
             model.shift -= step * g
-            a, b = _both(codes)
+            parts = _parts(codes)
             for k, (w, kernel, bias_) in enumerate(zip(WIDTHS, filters, bias)):
                 for f in range(FILTERS):
                     at = place[k * FILTERS + f]
@@ -151,10 +155,10 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], hal
                     d = step * back[k * FILTERS + f]
                     bias_[f] -= d
                     for j in range(w):
-                        change = np.clip(d * kernel[j, :, f], -0.05, 0.05)
+                        change = SLOW * d * kernel[j, :, f]
                         kernel[j, :, f] -= np.clip(d * x[at + j], -0.05, 0.05)
-                        whole[a[at + j]] -= change
-                        start[b[at + j]] -= change
+                        for part in parts:
+                            embedding[part[at + j]] -= change
     _calibrate(model, [docs[i] for i in rows], labels[rows], [langs[i] for i in rows])
     return model
 
@@ -197,7 +201,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int =
     rows = fitting_rows(docs, labels, "toxic", bound).select("doc_id", "text", "lang", "label").mapInArrow(run, "doc_id long, lang string, label int, codes binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.codes)))
     half = np.array([zlib.crc32(f"half {r.doc_id}".encode()) % 2 == 0 for r in rows], bool)
-    return fit([np.frombuffer(r.codes, np.uint32) for r in rows], np.array([int(r.label > 0) for r in rows], int), [r.lang for r in rows], half)
+    return fit([np.frombuffer(r.codes, np.int64) for r in rows], np.array([int(r.label > 0) for r in rows], int), [r.lang for r in rows], half)
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
