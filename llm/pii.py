@@ -44,7 +44,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"[^\s<>\"']+")
 HOUSE = re.compile(r"(?<![0-9])[0-9]{1,5}[A-Za-z]? (?:[^\W\d_][\w'-]* ?){1,4}$")
-TOWN = re.compile(r"(?:, [^\W\d_][\w'-]*(?: [^\W\d_][\w'-]*)?)?(?:, [A-Z]{2} [0-9]{5})?")
+TOWN = re.compile(r"(?:, [^\W\d_][\w'-]*)?(?:, [A-Z]{2} [0-9]{5})?")
 VALUE = re.compile(r"[ ]?(?:number|no\.?|nr\.?)?[ ]{0,2}[:=#]?[ ]{0,2}[\"']?([A-Za-z0-9_/+-]{8,})")
 KEY = re.compile(r"[A-Za-z0-9_]{12,}")
 #: How far left of a street word an address may begin.
@@ -75,7 +75,8 @@ class Finder:
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         found: list[tuple[int, int, int]] = []
-        email = ip = card = url = address = account = before = 0  # where the last match of a kind ended
+        email = ip = card = url = address = account = 0  # where the last match of a kind ended
+        before = -1  # where the last digit ended
         for at, (kind, length) in self.machine.iter(text):
             start = at - length + 1
             if kind == "digit":

@@ -7,8 +7,8 @@ add up dense counts for a fixed number of buckets, Spark sums them, and the sums
 dimensions, whatever the corpus's size) go to the driver and out again as a broadcast.
 
 Documents are pooled by the mean of their tokens' unit vectors. A network with one hidden layer is
-trained in numpy on a bounded sample of labelled documents; on a part of it that training does not
-see, one temperature is fitted that scales the output into probabilities.
+trained in numpy on a bounded sample of labelled documents; a part of it that training does not see
+picks the step to stop at and fits one temperature that scales the output into probabilities.
 
 Cases: null, empty and blank texts pool to zero and are scored by the network like others; without
 labels of both kinds every score is the share of label 1 (0.5 without labels); other columns are not
@@ -133,7 +133,7 @@ class Network:
 
 
 def fit(x: np.ndarray, y: np.ndarray, apart: np.ndarray, steps: int = 400) -> Network:
-    """Full-batch gradient descent with moments; ``apart`` marks the rows that fit the temperature."""
+    """Full-batch gradient descent with moments; ``apart`` marks the rows that stop it and fit the temperature."""
     rng = np.random.Generator(np.random.PCG64(7))
     share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     width = x.shape[1] if x.ndim == 2 else 2 * DIM
@@ -145,6 +145,8 @@ def fit(x: np.ndarray, y: np.ndarray, apart: np.ndarray, steps: int = 400) -> Ne
     net.second = rng.normal(0, 0.3, HIDDEN)
     values = [net.first, net.first_bias, net.second, np.array([net.second_bias])]
     slow, fast = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
+    check, best, least = (x[apart] - net.mean) / net.scale, None, np.inf
+    side = np.where(y[apart] == 1, -1, 1)
     for step in range(1, steps + 1):
         h = np.tanh(z @ values[0] + values[1])
         d = (1 / (1 + np.exp(-np.clip(h @ values[2] + values[3], -30, 30))) - t) / len(t)
@@ -155,6 +157,9 @@ def fit(x: np.ndarray, y: np.ndarray, apart: np.ndarray, steps: int = 400) -> Ne
             s *= 0.99
             s += 0.01 * g * g
             v -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+        if len(side) and (loss := np.mean(np.logaddexp(0, side * (np.tanh(check @ values[0] + values[1]) @ values[2] + values[3])))) < least:
+            best, least = [v.copy() for v in values], loss
+    net.first, net.first_bias, net.second, values[3] = best or values
     net.second_bias = float(values[3][0])
     if len(np.unique(y[apart])) == 2:
         logits, t = net.logits(x[apart]), y[apart]

@@ -84,8 +84,12 @@ def order(spark: SparkSession, calls: DataFrame) -> DataFrame:
             break
         over = placed.where("changed").join(size, "conv_id").where("step > calls")
         if not over.isEmpty():
-            # on or behind a cycle: such calls no longer push, and nothing pushes them
-            stuck = cut(spark, over.select(*KEY), "stuck")
+            # on or behind a cycle, and so is all that depends on them
+            stuck = ahead = cut(spark, over.select(*KEY), "stuck")
+            while not ahead.isEmpty():
+                behind = edges.join(ahead.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"]).select(*KEY).distinct()
+                ahead = cut(spark, behind.join(stuck, KEY, "left_anti"), "stuck")
+                stuck = stuck.unionByName(ahead)
             closed = stuck if closed is None else closed.unionByName(stuck)
             placed = cut(spark, placed.join(stuck, KEY, "left_anti"), "places")
             edges = cut(spark, edges.join(stuck, KEY, "left_anti"), "edges")
