@@ -32,7 +32,10 @@ def is_json(content: Column) -> Column:
     in_object = F.from_json(
         F.concat(F.lit('{"v":'), content, F.lit("}")), "map<string,string>", strict
     )
-    return F.when(usual, F.lit(True)).otherwise(in_list.isNotNull() & in_object.isNotNull())
+    # the parser knows more names of infinity than JSON readers elsewhere do
+    bare = F.regexp_replace(content, r'"(?:\\.|[^"\\])*"', '""')
+    named = F.rlike(bare, F.lit(r"\+Infinity|INF"))
+    return F.when(usual, F.lit(True)).otherwise(~named & in_list.isNotNull() & in_object.isNotNull())
 
 
 def token_scores(logprobs: Column, letters: Sequence[str]) -> Column:

@@ -39,31 +39,42 @@ def append_scores(*parts: DataFrame) -> DataFrame:
 
 
 def upsert_results(results: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Results with the fresh cells added, or put in the place of the same cells."""
-    kept = results.join(fresh, list(KEY), "left_anti")
-    return append_scores(kept.select(*COLUMNS), fresh.select(*COLUMNS))
+    """Results with the fresh cells added, or put in the place of the same cells.
+
+    One pass over each side; of repeated fresh cells the greatest is kept.
+    """
+    rest = [c for c in COLUMNS if c not in KEY]
+    sides = [side.select(*COLUMNS, F.lit(new).alias("fresh")) for new, side in enumerate((results, fresh))]
+    newest = append_scores(*sides).groupBy(*KEY).agg(F.max(F.struct("fresh", *rest)).alias("cell"))
+    return newest.select(*[F.col(c) if c in KEY else F.col(f"cell.{c}").alias(c) for c in COLUMNS])
 
 
 def round_score(value: Column, digits: int = 2) -> Column:
-    """Round a score of 0 to 100 half to even on its exact binary value.
+    """Round half to even on the exact binary value.
 
     ``round`` and ``bround`` work on the shortest decimal text of a double, which turns
-    2.675 (a little less in binary) into a tie. Here the double is scaled by a power of two
-    to a whole number, exactly, and the rest of the rounding is whole-number arithmetic.
+    2.675 (a little less in binary) into a tie. Here the part behind the point is scaled by a
+    power of two to a whole number, exactly, and the rest of the rounding is whole-number
+    arithmetic. From 2**46 on doubles lie further apart than two digits and stay as they are.
     """
     if digits != 2:
         raise ValueError("scores are kept at two digits")
     whole = "decimal(38,0)"
+    size = F.abs(value)
+    large = size >= 2.0**46
+    front = F.floor(F.when(large | F.isnan(value), F.lit(0.0)).otherwise(size))
+    value, sign = F.when(large | F.isnan(value), value).otherwise(size - front), F.signum(value)
     small = value < 0.0625
     unit = F.when(small, F.lit(2**60)).otherwise(F.lit(2**56)).cast(whole)
-    scaled = (value * F.when(small, float(2**60)).otherwise(float(2**56))).cast("bigint")
+    part = F.when(large | F.isnan(value), F.lit(0.0)).otherwise(value)
+    scaled = (part * F.when(small, float(2**60)).otherwise(float(2**56))).cast("bigint")
     hundredfold = scaled.cast(whole) * F.lit(100)
     rest = hundredfold % unit
     below = ((hundredfold - rest) / unit).cast("bigint")
     twice = rest * F.lit(2)
     up = (twice > unit) | ((twice == unit) & (F.pmod(below, F.lit(2)) == 1))
-    exact = (below + up.cast("bigint")) / 100.0
-    return F.when((value >= 0) & (value <= 100), exact).otherwise(F.round(value, digits))
+    exact = sign * ((front * 100 + below + up.cast("bigint")) / 100.0)
+    return F.when(large | F.isnan(value), value).otherwise(exact)
 
 
 def results_pivot(results: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def test_wrong_option_counts_and_removals_have_no_question(spark):
 JSON_TEXTS = [
     '{"answer": "A"}', '{"answer":"A"} x', '{"answer":', "1,2", "1],[2", '1,"w":2', "1}{", "NaN",
     '{"a":NaN}', '{"a":1,"a":2}', '"x"', "null", "[1,2]", "{}", "01", "{'a':1}", '{"a":1,}', "tru",
-    "-Infinity", "NaN x", "+1", ".5", "// c\n1", '{"v":{"a":[1,{"b":null}]}}', "true", "nul", "[]",
+    "-Infinity", "-INF", "+INF", "+Infinity", "[INF]", '"INF +Infinity"', "NaN x", "+1", ".5", "// c\n1", '{"v":{"a":[1,{"b":null}]}}', "true", "nul", "[]",
 ]
 
 

@@ -114,6 +114,7 @@ def test_scores_round_half_to_even_on_their_binary_value(spark):
     values = [0.0, 100.0, 0.125, 0.375, 2.675, 1.005, 0.005, 0.015, 62.5, 99.995, 0.625, 1e-9]
     values += [rng.randrange(n + 1) / n * 100 for n in (3, 7, 8, 16, 800, 1600, 4000, 20000) for _ in range(200)]
     values += [rng.uniform(0, 100) for _ in range(500)]
+    values += [-x for x in values] + [1000.125, -1000.375, 123456.005, 2.0**45 + 0.125, 2.0**46, 1e300, float("inf")]
     frame = spark.createDataFrame(list(enumerate(values)), "i int, x double")
     got = frame.select("i", rs.round_score(F.col("x")).alias("y")).orderBy("i").collect()
     assert [r.y for r in got] == [round(x, 2) for x in values]
@@ -254,3 +255,24 @@ def test_batch_and_parts_agree(spark, small):
                 parts[r.model, r.condition, r.task] = (n + r.n, hits + r.hits)
         assert parts == whole and len(whole) == 12
     scored.unpersist()
+
+
+def test_wide_csv_is_read_by_column_name(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('ACR,Model,CTR\n1.5,"m""x",2.5\n,plain,3.5\n')
+    got = {(r.model, r.task): r.value for r in stored_results.read_results_csv(spark, str(tmp_path)).collect()}
+    assert {k: x for k, x in got.items() if x is not None} == {('m"x', "ACR"): 1.5, ('m"x', "CTR"): 2.5, ("plain", "CTR"): 3.5}
+
+
+def test_malformed_examples_are_an_error(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"example_id": 1, "old": "a"}\n{"example_id": 2, "old": \n')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        stored.read_examples(spark, str(tmp_path)).collect()
+
+
+def test_upsert_reads_each_side_once_and_keeps_one_row_a_cell(spark):
+    row = lambda model, value: (model, "plain", "ACR", value, 1)
+    old = spark.createDataFrame([row("a", 1.0), row("b", 2.0)], schemas.RESULTS)
+    fresh = spark.createDataFrame([row("b", 3.0), row("b", 4.0), row("c", 5.0)], schemas.RESULTS)
+    merged = rs.upsert_results(old, fresh)
+    assert {(r.model, r.value) for r in merged.collect()} == {("a", 1.0), ("b", 4.0), ("c", 5.0)}
+    assert "Join" not in merged._jdf.queryExecution().optimizedPlan().toString()

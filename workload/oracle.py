@@ -137,9 +137,10 @@ PARTS = {
           || replace(text, '. ', '. // aside' || {NL} || {NL} || '  # note' || {NL})
           || {NL} || 'http://u/v' || {NL} || '#include <x>' || {NL} || '/* open' || {NL}
           || text AS code FROM documents""",
+    "item_count": "SELECT count(*) AS items FROM benchmark",
+    "placed_golds": "SELECT g.*, g.doc_id % items AS item_id FROM golds g, item_count",
     "reviewed": """
-        SELECT g.*, b.text AS review FROM golds g
-        JOIN benchmark b ON b.item_id = g.doc_id % (SELECT count(*) FROM benchmark)""",
+        SELECT g.* EXCLUDE (item_id), b.text AS review FROM placed_golds g JOIN benchmark b USING (item_id)""",
     "exs": f"""
         SELECT doc_id AS example_id, lang, review,
           ' ' || replace(text, {NL}, {NL} || ' ') AS old,
@@ -331,7 +332,11 @@ PARTS = {
         UNION ALL SELECT example_id, 'CLE', 4,
           list_transform(list_append(loc_wrong_easy, loc_correct), lambda x: {_ids_text('x')}) FROM exs
         UNION ALL SELECT example_id, 'CLH', 4,
-          list_transform(list_append(loc_wrong_hard, loc_correct), lambda x: {_ids_text('x')}) FROM exs""",
+          list_transform(list_append(loc_wrong_hard, loc_correct), lambda x: {_ids_text('x')}) FROM exs
+        UNION ALL SELECT example_id, 'SIE', 4, list_append(solution_wrong_easy, solution_correct)
+          FROM exs WHERE type_correct <> 'remove_only'
+        UNION ALL SELECT example_id, 'SIH', 4, list_append(solution_wrong_hard, solution_correct)
+          FROM exs WHERE type_correct <> 'remove_only'""",
     "uneven": """
         SELECT lang, CASE lang WHEN 'fr' THEN 3 WHEN 'de' THEN 5 ELSE 4 END AS easy, type_correct FROM exs""",
     "shares": """
@@ -362,8 +367,11 @@ def _pivot(source: str, shown: str) -> str:
 
 def _fingerprint(source: str) -> str:
     return f"""
-        SELECT example_id, md5(old) AS old_md5, md5(new) AS new_md5, lang, type_correct,
+        SELECT example_id, md5(old) AS old_md5, md5(new) AS new_md5, md5(review) AS review_md5, lang, type_correct,
           array_to_string(type_wrong, '|') AS type_wrong, {_lists_text('loc_wrong_easy')} AS loc_wrong_easy,
+          {_ids_text('loc_correct')} AS loc_correct, {_lists_text('loc_wrong_hard')} AS loc_wrong_hard,
+          md5(solution_correct) AS solution_correct_md5,
+          md5(array_to_string(solution_wrong_easy, '|')) AS solution_wrong_easy_md5,
           md5(array_to_string(solution_wrong_hard, '|')) AS solution_wrong_hard_md5,
           md5(coalesce(summary, 'none')) AS summary_md5 FROM {source}"""
 
@@ -500,14 +508,12 @@ BODIES = {
           round(max(value) FILTER (condition = 'summary') - max(value) FILTER (condition = 'plain'), 6) AS delta
         FROM results GROUP BY ALL""",
     "build_options": """
-        SELECT example_id, task, array_to_string(opts, '|') AS options FROM all_options
-        UNION ALL SELECT example_id, 'SIE', md5(array_to_string(list_append(solution_wrong_easy, solution_correct), '|'))
-          FROM exs WHERE type_correct <> 'remove_only'
-        UNION ALL SELECT example_id, 'SIH', md5(array_to_string(list_append(solution_wrong_hard, solution_correct), '|'))
-          FROM exs WHERE type_correct <> 'remove_only'""",
+        SELECT example_id, task, CASE WHEN task LIKE 'SI%' THEN md5(array_to_string(opts, '|'))
+          ELSE array_to_string(opts, '|') END AS options FROM all_options""",
     "all_orderings": """
         SELECT example_id, task, p::INT AS perm_idx,
-          array_to_string(list_transform(o, lambda i: opts[i]), '|') AS perm_options
+          CASE WHEN task LIKE 'SI%' THEN md5(array_to_string(list_transform(o, lambda i: opts[i]), '|'))
+            ELSE array_to_string(list_transform(o, lambda i: opts[i]), '|') END AS perm_options
         FROM all_options a JOIN orders r ON a.k = r.k""",
     "correct_symbol": """
         SELECT task, p::INT AS perm_idx, sym AS correct_symbol, count(*) AS n, sum(example_id)::BIGINT AS id_sum
@@ -523,7 +529,8 @@ BODIES = {
           UNION ALL SELECT lang, 'SIH', 4, 4 FROM uneven WHERE type_correct <> 'remove_only') GROUP BY ALL""",
     "combinations": """
         SELECT example_id, task, md5(string_agg(arranged, ';' ORDER BY p)) AS combinations_md5 FROM (
-          SELECT example_id, task, p, array_to_string(list_transform(o, lambda i: opts[i]), '|') AS arranged
+          SELECT example_id, task, p, CASE WHEN task LIKE 'SI%' THEN md5(array_to_string(list_transform(o, lambda i: opts[i]), '|'))
+            ELSE array_to_string(list_transform(o, lambda i: opts[i]), '|') END AS arranged
           FROM all_options a JOIN orders r ON a.k = r.k) GROUP BY ALL""",
     "clean_generation": f"""
         SELECT model, condition, example_id, md5({_cleaned('content')}) AS cleaned_md5 FROM last_gens""",

@@ -58,10 +58,15 @@ def _fingerprint(examples: DataFrame) -> DataFrame:
         "example_id",
         _md5("old").alias("old_md5"),
         _md5("new").alias("new_md5"),
+        _md5("review").alias("review_md5"),
         "lang",
         "type_correct",
         F.array_join("type_wrong", "|").alias("type_wrong"),
+        F.array_join(F.col("loc_correct").cast("array<string>"), ",").alias("loc_correct"),
         _shown(F.col("loc_wrong_easy"), "CLE").alias("loc_wrong_easy"),
+        _shown(F.col("loc_wrong_hard"), "CLH").alias("loc_wrong_hard"),
+        _md5("solution_correct").alias("solution_correct_md5"),
+        _shown(F.col("solution_wrong_easy"), "SIE").alias("solution_wrong_easy_md5"),
         _shown(F.col("solution_wrong_hard"), "SIH").alias("solution_wrong_hard_md5"),
         _md5(F.coalesce("summary", F.lit("none"))).alias("summary_md5"),
     )
@@ -374,7 +379,7 @@ def all_orderings(spark: SparkSession, sf: str) -> DataFrame:
         fanout.all_orderings(examples, task).select(
             "example_id", "task", "perm_idx", _shown(F.col("perm_options"), task).alias("perm_options")
         )
-        for task in ("CTR", "CLE", "CLH")
+        for task in v.CHOICE_TASKS
     )
 
 
@@ -423,7 +428,7 @@ def combinations(spark: SparkSession, sf: str) -> DataFrame:
                 )
             ).alias("combinations_md5"),
         )
-        for task in ("CTR", "CLE", "CLH")
+        for task in v.CHOICE_TASKS
     )
 
 

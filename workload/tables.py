@@ -17,12 +17,9 @@ START = 1_704_067_200  # delivery times count from here, in seconds
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents; a file too small to be split is spread over the cores by id."""
+    """The documents, spread by id; tables of one row group could not be read in parallel otherwise."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if docs.rdd.getNumPartitions() < cores:
-        return docs.repartition(cores, "doc_id")
-    return docs
+    return docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
 
 
 def _pick(position: Column, *choices) -> Column:
