@@ -64,22 +64,32 @@ def _profile(keyed: DataFrame, length: int) -> DataFrame:
 
 
 def _windows(candidates: DataFrame, length: int) -> DataFrame:
-    """The windows of candidate documents whose anchor is repeated: two hashes, document, place."""
-    names = ["h1", "h2", "doc_id", "row", "place"]
-    kinds = pa.schema([(x, pa.int64()) for x in names])
+    """The windows of candidate documents whose anchor is repeated: two hashes, document, its places.
+
+    A window is one row for each document, however often the document repeats it.
+    """
+    names = ["h1", "h2", "doc_id", "row"]
+    kinds = pa.schema([*((x, pa.int64()) for x in names), ("places", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Words()
         for batch in slices(batches, 100):
-            parts = []
+            parts, lists = [], []
             for data, doc_id, row, known in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 hashes = cache.hashes(data.split())
                 places = np.flatnonzero(np.isin(signed(anchors(hashes, length)), known.values.to_numpy()))
-                parts.append((signed(window_hashes(hashes, length)[places]), signed(window_hashes(mix(hashes), length, SECOND)[places]), np.full(len(places), doc_id), np.full(len(places), row), places))
+                h1, h2 = signed(window_hashes(hashes, length)[places]), signed(window_hashes(mix(hashes), length, SECOND)[places])
+                order = np.lexsort((h2, h1))
+                h1, h2, places = h1[order], h2[order], places[order].astype(np.int32)
+                first = np.flatnonzero(np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))[: len(h1)])
+                parts.append((h1[first], h2[first], np.full(len(first), doc_id), np.full(len(first), row)))
+                lists.append((places, np.diff(np.append(first, len(h1)))))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts)], schema=kinds)
+                ends = np.cumsum(np.append(0, np.concatenate([n for _, n in lists])))
+                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([p for p, _ in lists]), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts)), column], schema=kinds)
 
-    return candidates.select("text", "doc_id", "row", "anchors").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return candidates.select("text", "doc_id", "row", "anchors").mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", places array<int>")
 
 
 def _kept(flagged: DataFrame, length: int) -> DataFrame:
@@ -124,7 +134,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50) -> Da
     profile = cut(spark, profile.join(first, "digest"), "profile")
     candidates, windows = repeated(spark, keyed, profile.where("doc_id = first"), length)
     low = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low")
-    places = windows.join(low, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id", "row").agg(F.collect_list("place").alias("places"))
+    places = windows.join(low, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id", "row").agg(F.flatten(F.collect_list("places")).alias("places"))
     kept = _kept(candidates.join(places, ["doc_id", "row"]), length)
     kept = kept.groupBy("doc_id", "row").agg(F.max("gone").alias("gone"), F.max("sha").alias("sha"), F.max("kept_text").alias("kept_text"))
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= length), F.lit(False))
@@ -142,7 +152,7 @@ def extend(spark: SparkSession, windows: DataFrame, length: int) -> DataFrame:
 
     ``windows`` are those of ``repeated`` at ``length``. Columns: length, doc_id, row, place.
     """
-    levels = None
+    levels, windows = None, windows.select("h1", "h2", "doc_id", "row", F.explode("places").alias("place"))
     while True:
         again = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2")
         windows = cut(spark, windows.join(again, ["h1", "h2"]), "level")
