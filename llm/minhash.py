@@ -6,7 +6,7 @@ circularly by 0, 1, 2, ... places: coordinate k of the signature is the least ra
 (place + k). One shingle's ranks for all coordinates are neighbours in the table, so they are read
 together. Four coordinates make a band; documents that agree in a band are candidates, and links are
 confirmed on full shingle sets. A pair at the threshold of 0.85 escapes all 24 bands with a
-probability of 2e-8 (2.6e-6 at 0.8), more similar pairs with less.
+probability of 2e-8 (3.2e-6 at 0.8), more similar pairs with less.
 
 No group is gathered and no group's pairs are listed:
 
