@@ -41,8 +41,16 @@ def is_json(content: Column) -> Column:
 def token_scores(logprobs: Column, letters: Sequence[str]) -> Column:
     """Log-probability of the last token equal to each letter, unseen letters at the floor."""
     latest_first = F.reverse(logprobs)
-    tokens = F.transform(latest_first["token"], tx.strip)
-    scores = latest_first["logprob"]
+    read = F.struct(
+        F.transform(latest_first["token"], tx.strip).alias("tokens"),
+        latest_first["logprob"].alias("scores"),
+    )
+    bound = F.transform(F.array(read), lambda r: scores_of(r["tokens"], r["scores"], letters))
+    return F.get(bound, F.lit(0))
+
+
+def scores_of(tokens: Column, scores: Column, letters: Sequence[str]) -> Column:
+    """Scores of the letters from stripped tokens, latest first; tokens may be read often."""
     return F.array(
         *[
             F.coalesce(
@@ -56,10 +64,14 @@ def token_scores(logprobs: Column, letters: Sequence[str]) -> Column:
 
 def fallback_first_choice(content: Column, scores: Column, letters: Sequence[str]) -> Column:
     """Scores of the answer, or the first letter for empty and non-JSON content."""
+    return first_choice_unless_json(tx.strip(F.coalesce(content, F.lit(""))), scores, letters)
+
+
+def first_choice_unless_json(stripped: Column, scores: Column, letters: Sequence[str]) -> Column:
+    """``fallback_first_choice`` over content that has been stripped; it is read often."""
     first = F.array(
         F.lit(v.FALLBACK_LOGPROB), *[F.lit(v.UNSEEN_LOGPROB) for _ in letters[1:]]
     )
-    stripped = tx.strip(F.coalesce(content, F.lit("")))
     return F.when((stripped != "") & is_json(stripped), scores).otherwise(first)
 
 

@@ -60,21 +60,25 @@ def all_orderings(examples: DataFrame, task: str) -> DataFrame:
 
 
 def combinations(examples: DataFrame, task: str) -> DataFrame:
-    """The ordered options of an example kept as one list in ordering order (A5).
+    """The options of an example and their ``orders``, in ordering order (A5).
 
-    Built inside the row from the literal orderings, so nothing is grouped.
+    Texts stay once in the row; ``ordered_options`` puts them in order where they are shown.
     """
     k = v.OPTION_COUNT[task]
     accepted = option_count_check(examples, task).where("accepted")
     return accepted.select(
         "example_id",
         "task",
-        F.transform(
-            op.orderings(k), lambda order: op.arrange(F.col("options"), order)
-        ).alias("combinations"),
+        "options",
+        op.orderings(k).alias("orders"),
     )
 
 
+def ordered_options(shown=lambda ordered: ordered) -> Column:
+    """Every ordering of ``combinations`` as ``shown`` makes it from the ordered options."""
+    return F.transform("orders", lambda order: shown(op.arrange(F.col("options"), order)))
+
+
 def _key(task: str) -> Column:
     wrong, correct = WRONG_AND_CORRECT[task]
     k = v.OPTION_COUNT[task]

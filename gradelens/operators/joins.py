@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelens import values as v
@@ -16,24 +16,44 @@ from gradelens.operators import fanout
 GENERATION_KEY = ("model", "condition", "example_id")
 
 
+def delivery_time() -> Column:
+    """When an answer was delivered, in microseconds; an unknown time is the start of 1970."""
+    return F.coalesce(F.unix_micros("ingest_ts"), F.lit(0))
+
+
+def text_digest() -> Column:
+    """Settles which of several texts delivered at the same time counts: the greatest digest."""
+    return F.xxhash64(F.coalesce("content", F.lit("")))
+
+
 def latest_answers(responses: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The last delivered answer of every key.
+    """The last delivered answer of every key, as whole rows.
 
     An aggregate, not a window: each task keeps one row per key before anything is shuffled,
-    so a key with very many copies is no hot spot. Equal times are settled by the whole row.
+    so a key with very many copies is no hot spot. Scoring gets by without it and moves fewer
+    texts (``scoring.score_deliveries``, ``scoring.answers_by_example``); equal times are settled
+    here as they are there: by the greater pick of choices, and the greater digest of texts.
     """
-    carried = [c for c in responses.columns if c not in key and c != "ingest_ts"]
-    latest = responses.groupBy(*key).agg(
-        F.max(F.struct("ingest_ts", *carried)).alias("_latest")
+    carried = [c for c in responses.columns if c not in key]
+    if "logprobs" in carried:
+        ranked = task_scores(responses).withColumn("_tie", an.pick_index(F.col("scores")))
+    elif "content" in carried:
+        ranked = responses.withColumn("_tie", text_digest())
+    else:
+        ranked = responses.withColumn("_tie", F.lit(0))
+    latest = ranked.groupBy(*key).agg(
+        F.max(F.struct(delivery_time().alias("_time"), "_tie", *carried)).alias("_latest")
     )
-    return latest.select(*key, *[F.col(f"_latest.{c}").alias(c) for c in (*carried, "ingest_ts")])
+    return latest.select(*[F.col(c) if c in key else F.col(f"_latest.{c}").alias(c) for c in responses.columns])
 
 
 def generated_texts(responses: DataFrame) -> DataFrame:
     """Answers reduced to their key, cleaned text and delivery time."""
     content = F.coalesce("content", F.lit(""))
     text = tx.drop_line_numbers(an.clean_generation(content))
-    return responses.select(*GENERATION_KEY, text.alias("generation"), "ingest_ts")
+    return responses.select(
+        *GENERATION_KEY, text.alias("generation"), "ingest_ts", text_digest().alias("_digest")
+    )
 
 
 def gold_texts(examples: DataFrame) -> DataFrame:
@@ -47,16 +67,36 @@ def attach_generations(examples: DataFrame, responses: DataFrame) -> DataFrame:
 
     Both sides are reduced to an id and one text before the join.
     """
-    return generated_texts(responses).join(gold_texts(examples), "example_id")
+    return generated_texts(responses).drop("_digest").join(gold_texts(examples), "example_id")
 
 
-def attach_gold_forms(examples: DataFrame, responses: DataFrame) -> DataFrame:
+def attach_gold_forms(examples: DataFrame, responses: DataFrame, spread: int = 1) -> DataFrame:
     """Cleaned answers beside the forms of their gold texts that metrics compare with.
 
-    A gold text is normalised once here, before it meets the answers of all models.
+    A gold text is normalised once here, before it meets the answers of all models. ``spread``
+    cuts the answers to each hot example into so many parts; see ``hot_examples``.
     """
     golds = gold_texts(examples).withColumns(mx.gold_forms(F.col("gold"))).drop("gold")
-    return generated_texts(responses).join(golds, "example_id")
+    texts = generated_texts(responses)
+    if spread <= 1:
+        return texts.join(golds, "example_id")
+    hot = F.broadcast(hot_examples(responses))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64("_digest", "ingest_ts"), F.lit(spread)))
+    parts = F.when(F.col("_hot"), F.array(*map(F.lit, range(spread)))).otherwise(F.array(F.lit(0)))
+    salted = texts.join(hot, "example_id", "left").withColumn("_part", F.coalesce(part, F.lit(0)).cast("int"))
+    copied = golds.join(hot, "example_id", "left").withColumn("_part", F.explode(parts))
+    return salted.drop("_hot").join(copied.drop("_hot"), ["example_id", "_part"]).drop("_part")
+
+
+def hot_examples(responses: DataFrame, share: int = 1000) -> DataFrame:
+    """Examples that hold more than one in ``share`` of all answers.
+
+    There are fewer than ``share`` of them, however large the table is, so they may be broadcast.
+    Only ids are read.
+    """
+    counts = responses.groupBy("example_id").agg(F.count("*").alias("_answers"))
+    total = counts.agg(F.coalesce(F.sum("_answers"), F.lit(0))).scalar()
+    return counts.where(F.col("_answers") * share > total).select("example_id", F.lit(True).alias("_hot"))
 
 
 def task_scores(responses: DataFrame) -> DataFrame:
@@ -64,11 +104,20 @@ def task_scores(responses: DataFrame) -> DataFrame:
 
     In steps, so that tokens are read once for all letters.
     """
-    scores = an.fallback_first_choice(
-        F.col("content"), an.offered_scores(F.col("task"), F.col("_four")), v.LETTERS
+    latest_first = F.reverse("logprobs")
+    read = responses.withColumns(
+        {
+            "_tokens": F.transform(latest_first["token"], tx.strip),
+            "_values": latest_first["logprob"],
+            "_stripped": tx.strip(F.coalesce("content", F.lit(""))),
+        }
+    )
+    four = an.scores_of(F.col("_tokens"), F.col("_values"), v.LETTERS)
+    scores = an.first_choice_unless_json(
+        F.col("_stripped"), an.offered_scores(F.col("task"), F.col("_four")), v.LETTERS
     )
-    seen = responses.withColumn("_four", an.token_scores(F.col("logprobs"), v.LETTERS))
-    return seen.withColumn("scores", scores).drop("_four")
+    seen = read.withColumn("_four", four).withColumn("scores", scores)
+    return seen.drop("_tokens", "_values", "_stripped", "_four")
 
 
 def decode_answers(responses: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from gradelens.functions import text as tx
 
 CELL = ("model", "condition", "task")
+#: Ranges that are summed in one window.
+FAN = 1_000_000
 
 
 def line_offsets(df: DataFrame, key: str, text: Column) -> DataFrame:
@@ -23,33 +25,48 @@ def line_offsets(df: DataFrame, key: str, text: Column) -> DataFrame:
     return by_line.select(key, "pos", offset.alias("line_offset"))
 
 
+def _before(totals: DataFrame, levels: int) -> DataFrame:
+    """Hits and rows of all earlier ranges of the cell, for every ``_range``."""
+    upper = totals.withColumn("_upper", F.expr(f"_range div {FAN}") if levels else F.lit(0))
+    earlier = W.partitionBy(*CELL, "_upper").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sums = {f"{c}_before": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in ("_hits", "_rows")}
+    here = upper.withColumns(sums).drop("_hits", "_rows")
+    if not levels:
+        return here.drop("_upper")
+    groups = upper.groupBy(*CELL, F.col("_upper").alias("_range")).agg(
+        F.sum("_hits").alias("_hits"), F.sum("_rows").alias("_rows")
+    )
+    above = _before(groups, levels - 1).select(
+        *CELL, F.col("_range").alias("_upper"), F.col("_hits_before").alias("_h"), F.col("_rows_before").alias("_r")
+    )
+    return here.join(above, [*CELL, "_upper"]).select(
+        *CELL,
+        "_range",
+        (F.col("_hits_before") + F.col("_h")).alias("_hits_before"),
+        (F.col("_rows_before") + F.col("_r")).alias("_rows_before"),
+    )
+
+
 def progress(scored: DataFrame, hit: str = "hit", width: int = 1_000_000) -> DataFrame:
     """Hits and rows so far of every cell, in example order.
 
     A cell can hold most of the table, so it is cut into ranges of ``width`` example ids.
     A window runs inside each range, and the totals of the earlier ranges are added to it.
-    Only the range totals, one row per ``width`` examples, ever meet in one task. Totals and
+    Ids may be sparse, so that there are as many ranges as examples: ranges are summed in ranges
+    of their own, ``FAN`` to a task, and those again, which covers all 64-bit ids. Totals and
     windows read the same columns, so both come from one shuffle.
     """
     ranged = scored.select(
         *CELL,
         "example_id",
         F.col(hit).cast("bigint").alias("_hit"),
-        F.coalesce(F.col("example_id") - F.pmod("example_id", F.lit(width)), F.lit(-1)).alias(
-            "_range"
-        ),
+        F.coalesce(F.expr(f"example_id div {int(width)}"), F.lit(-1)).alias("_range"),
     ).repartition(*CELL, "_range")
     totals = ranged.groupBy(*CELL, "_range").agg(
         F.sum("_hit").alias("_hits"),
         F.count("example_id").alias("_rows"),
     )
-    earlier = W.partitionBy(*CELL).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(
-        *CELL,
-        "_range",
-        F.coalesce(F.sum("_hits").over(earlier), F.lit(0)).alias("_hits_before"),
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
-    )
+    carried = _before(totals, levels=2)
     within = (
         W.partitionBy(*CELL, "_range")
         .orderBy("example_id")

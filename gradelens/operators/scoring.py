@@ -22,6 +22,42 @@ def score_generations(examples: DataFrame, responses: DataFrame) -> DataFrame:
     )
 
 
+def score_ranks(examples: DataFrame, responses: DataFrame, spread: int = 1) -> DataFrame:
+    """Every key with the ``rank`` of its last delivered answer, from which scores are read.
+
+    Each delivery meets its gold text and shrinks to one number that grows with delivery time,
+    then with the text's digest, and ends in the four scores; ``max`` finds the last delivery's.
+    So every text is shuffled once at most, and numbers are folded by hashing, map side first.
+    With ``spread`` the answers to hot examples are split over so many tasks.
+    """
+    scored = mx.score_against_forms(joins.attach_gold_forms(examples, responses, spread))
+    wide = "decimal(38,0)"
+    flags = sum(F.col(m) * 2**i for i, m in enumerate(mx.METRICS))
+    digest = F.col("_digest").cast(wide) + F.lit(str(2**63)).cast(wide)
+    # years up to 9999 stay below 10**38
+    rank = (joins.delivery_time().cast(wide) * F.lit(str(2**64)).cast(wide) + digest) * F.lit(16).cast(wide)
+    return fold_ranks(scored.withColumn("rank", (rank + flags).cast(wide)))
+
+
+def fold_ranks(ranks: DataFrame) -> DataFrame:
+    """The greatest rank of every key; folding parts and folding all of them give the same."""
+    return ranks.groupBy(*joins.GENERATION_KEY, "lang", "type_correct").agg(F.max("rank").alias("rank"))
+
+
+def read_ranks(folded: DataFrame) -> DataFrame:
+    """Ranks as the four exact-match scores."""
+    flags = F.pmod("rank", F.lit(16).cast("decimal(38,0)")).cast("int")
+    bits = [F.getbit("_flags", F.lit(i)).cast("int").alias(m) for i, m in enumerate(mx.METRICS)]
+    return folded.withColumn("_flags", flags).select(
+        *joins.GENERATION_KEY, "lang", "type_correct", *bits
+    )
+
+
+def score_deliveries(examples: DataFrame, responses: DataFrame, spread: int = 1) -> DataFrame:
+    """The exact-match scores of the last delivered answer of every key."""
+    return read_ranks(score_ranks(examples, responses, spread))
+
+
 def answers_by_example(decoded: DataFrame) -> DataFrame:
     """All picks of one example in one row, the last delivered answer of each ordering.
 
@@ -29,13 +65,25 @@ def answers_by_example(decoded: DataFrame) -> DataFrame:
     in the pick, so ``max`` finds the last pick. Orderings and repeats fold together on the
     map side, and one row per example is what gets shuffled.
     """
-    rank = F.coalesce(F.unix_micros("ingest_ts"), F.lit(0)) * 4 + F.col("pick")
+    rank = joins.delivery_time() * 4 + F.col("pick")
     slots = [
         F.max(F.when(F.col("perm_idx") == i, rank)).alias(f"s{i}") for i in range(MOST_ORDERINGS)
     ]
     return decoded.groupBy(*CELL, "example_id").agg(*slots)
 
 
+def unplaced_answers(decoded: DataFrame, keys: DataFrame) -> DataFrame:
+    """How many answers of each cell belong to no ordering of an existing question.
+
+    Such answers count in no score: their ordering number is missing or outside the task's
+    orderings, or their example offers no such question or is not there.
+    """
+    asked = decoded.select(*CELL, "example_id", "perm_idx").join(keys, "example_id", "left")
+    orderings = F.coalesce(F.length(F.col("keys")[F.col("task")]), F.lit(0))
+    placed = F.coalesce(F.col("perm_idx").between(F.lit(0), orderings - 1), F.lit(False))
+    return asked.where(~placed).groupBy(*CELL).agg(F.count("*").alias("unplaced"))
+
+
 def position_lists(slots: DataFrame, keys: DataFrame) -> DataFrame:
     """Slots beside the key, as two lists in ordering order.
 
@@ -141,8 +189,14 @@ def answer_positions(lists: DataFrame) -> DataFrame:
 
 
 def by_ground_truth(scored: DataFrame, hit: str = "hit") -> DataFrame:
-    """Score of each cell overall, per change type and per language."""
-    grouped = scored.groupingSets(
+    """Score of each cell overall, per change type and per language.
+
+    Rows are summed once; only the few sums are grouped in three ways.
+    """
+    parts = scored.groupBy(*CELL, "type_correct", "lang").agg(
+        F.count("*").alias("_n"), F.sum(hit).alias("_hits")
+    )
+    grouped = parts.groupingSets(
         [
             [F.col(c) for c in CELL],
             [*[F.col(c) for c in CELL], F.col("type_correct")],
@@ -154,8 +208,8 @@ def by_ground_truth(scored: DataFrame, hit: str = "hit") -> DataFrame:
     ).agg(
         F.grouping("type_correct").alias("_t"),
         F.grouping("lang").alias("_l"),
-        F.count("*").alias("n"),
-        F.sum(hit).alias("hits"),
+        F.sum("_n").alias("n"),
+        F.sum("_hits").alias("hits"),
     )
     breakdown = F.when(F.col("_t") == 0, "type_correct").when(F.col("_l") == 0, "lang")
     return grouped.select(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradelens import values as v
-from gradelens.operators import fanout, joins, results, scoring
+from gradelens.operators import fanout, results, scoring
 
 
 def generation_results(scored: DataFrame) -> DataFrame:
@@ -30,8 +30,8 @@ def scored_examples(
     choices: DataFrame,
     tasks: Sequence[str] = v.CHOICE_TASKS,
 ) -> DataFrame:
-    """One row per cell and example with its hit, over all tasks."""
-    generated = scoring.score_generations(examples, generations)
+    """One row per cell and example with its hit, over all tasks; the last deliveries count."""
+    generated = scoring.score_deliveries(examples, generations)
     chosen = scoring.score_choices(choices, fanout.answer_keys(examples, tasks))
     columns = [*scoring.CELL, "example_id", "lang", "type_correct", "hit"]
     return results.append_scores(
@@ -40,13 +40,15 @@ def scored_examples(
     )
 
 
-def evaluate(examples: DataFrame, generations: DataFrame, choices: DataFrame) -> DataFrame:
+def evaluate(
+    examples: DataFrame, generations: DataFrame, choices: DataFrame, spread: int = 1
+) -> DataFrame:
     """Fresh result rows of every cell that has answers.
 
-    ``generations`` may hold repeats; the last delivered answer counts, as it does for choices.
+    Both kinds of answers may hold repeats; the last delivered answer counts. ``spread`` is
+    that of ``scoring.score_deliveries``.
     """
-    latest = joins.latest_answers(generations, joins.GENERATION_KEY)
     return results.append_scores(
-        generation_results(scoring.score_generations(examples, latest)),
+        generation_results(scoring.score_deliveries(examples, generations, spread)),
         choice_results(scoring.score_choices(choices, fanout.answer_keys(examples))),
     )
