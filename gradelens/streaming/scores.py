@@ -1,28 +1,31 @@
 """Scores kept current while answers arrive as files (R6s).
 
 Answers may be delivered again, in a later file, and the last one counts. So each micro-batch
-is reduced to small rows that carry their delivery time and is stored under its own number;
-a batch that runs again after a loss overwrites itself. Totals are one aggregate over those
-small rows, the same one that batch scoring uses.
+is reduced to small rows that carry their delivery time and is stored under its stream and number;
+a batch that runs again after a loss overwrites itself, and a stream that starts anew with another
+checkpoint never overwrites what an earlier one stored. Totals are one aggregate over those small
+rows, the same one that batch scoring uses, so rows stored twice count once.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from gradelens import schemas
-from gradelens.functions import metrics as mx
 from gradelens.operators import joins, scoring
 
-SCORED_GENERATIONS = T.StructType(
+AT_ONCE = {"availableNow": True}
+STORED_AS = [T.StructField("stream", T.StringType()), T.StructField("batch", T.LongType())]
+STORED_RANKS = T.StructType(
     [
         *[schemas.GENERATIONS[k] for k in joins.GENERATION_KEY],
-        *[T.StructField(m, T.IntegerType()) for m in mx.METRICS],
-        schemas.GENERATIONS["ingest_ts"],
-        T.StructField("batch", T.LongType()),
+        *[schemas.EXAMPLES[k] for k in ("lang", "type_correct")],
+        T.StructField("rank", T.DecimalType(38, 0)),
+        *STORED_AS,
     ]
 )
 SLOTS = [f"s{i}" for i in range(scoring.MOST_ORDERINGS)]
@@ -30,17 +33,20 @@ STORED_SLOTS = T.StructType(
     [
         *[schemas.CHOICES[k] for k in (*scoring.CELL, "example_id")],
         *[T.StructField(s, T.LongType()) for s in SLOTS],
-        T.StructField("batch", T.LongType()),
+        *STORED_AS,
     ]
 )
 
 
 def _follow(
     spark: SparkSession, feed: str, schema: T.StructType, reduce_batch, store: str, checkpoint: str,
-    files_per_batch: int,
+    files_per_batch: int, trigger: dict,
 ) -> StreamingQuery:
     def keep(batch: DataFrame, number: int) -> None:
-        reduce_batch(batch).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        # the stream's own id, which its checkpoint holds before the first batch
+        told = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()
+        folder = f"{store}/stream={told.id}/batch={number}"
+        reduce_batch(batch).write.mode("overwrite").parquet(folder)
 
     arriving = (
         spark.readStream.schema(schema)
@@ -50,11 +56,21 @@ def _follow(
     return (
         arriving.writeStream.foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
+def _stored(spark: SparkSession, schema: T.StructType, store: str) -> DataFrame:
+    """All stored batches, or no row before the first one."""
+    try:
+        return spark.read.schema(schema).option("basePath", store).parquet(store)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def stream_generations(
     spark: SparkSession,
     feed: str,
@@ -62,27 +78,31 @@ def stream_generations(
     store: str,
     checkpoint: str,
     files_per_batch: int = 1000,
+    trigger: dict = AT_ONCE,
 ) -> StreamingQuery:
-    """Score the generated answers that arrived since the last run and store the scores."""
+    """Score the generated answers that arrived since the last run and store the scores.
+
+    Only examples that a batch answers are normalised for it.
+    """
 
     def score(batch: DataFrame) -> DataFrame:
-        latest = joins.latest_answers(batch, joins.GENERATION_KEY)
-        scored = mx.score_against_forms(joins.attach_gold_forms(examples, latest))
-        return scored.select(*joins.GENERATION_KEY, *mx.METRICS, "ingest_ts")
+        answered = examples.join(batch.select("example_id").distinct(), "example_id", "left_semi")
+        return scoring.score_ranks(answered, batch)
 
     return _follow(
-        spark, feed, schemas.GENERATIONS, score, store, checkpoint, files_per_batch
+        spark, feed, schemas.GENERATIONS, score, store, checkpoint, files_per_batch, trigger
     )
 
 
 def generation_totals(spark: SparkSession, store: str) -> DataFrame:
     """The report over everything stored so far."""
-    stored = spark.read.schema(SCORED_GENERATIONS).parquet(store).drop("batch")
-    return scoring.refine_report(joins.latest_answers(stored, joins.GENERATION_KEY))
+    ranks = _stored(spark, STORED_RANKS, store)
+    return scoring.refine_report(scoring.read_ranks(scoring.fold_ranks(ranks)))
 
 
 def stream_choices(
-    spark: SparkSession, feed: str, store: str, checkpoint: str, files_per_batch: int = 1000
+    spark: SparkSession, feed: str, store: str, checkpoint: str, files_per_batch: int = 1000,
+    trigger: dict = AT_ONCE,
 ) -> StreamingQuery:
     """Fold the choice answers that arrived since the last run into slots and store those.
 
@@ -92,11 +112,11 @@ def stream_choices(
     def fold(batch: DataFrame) -> DataFrame:
         return scoring.answers_by_example(joins.decode_answers(batch))
 
-    return _follow(spark, feed, schemas.CHOICES, fold, store, checkpoint, files_per_batch)
+    return _follow(spark, feed, schemas.CHOICES, fold, store, checkpoint, files_per_batch, trigger)
 
 
 def choice_totals(spark: SparkSession, store: str, keys: DataFrame) -> DataFrame:
     """The choice report over everything stored so far."""
-    stored = spark.read.schema(STORED_SLOTS).parquet(store)
+    stored = _stored(spark, STORED_SLOTS, store)
     folded = stored.groupBy(*scoring.CELL, "example_id").agg(*[F.max(s).alias(s) for s in SLOTS])
     return scoring.choice_report(scoring.score_slots(folded, keys))
