@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gradelens import schemas
-from gradelens.operators import fanout, joins, prompts, results as rs, running, scoring
+from gradelens.operators import fanout, inference, joins, prompts, results as rs, running, scoring
 from gradelens.plans import evaluate as ev
 from gradelens.sources import tables as stored
 from tests.test_choices import answer, example, table
@@ -100,3 +100,40 @@ def test_derived_answers_cover_all_documents(spark, small):
     assert t.examples(spark, small).count() == documents
     asked = t.choices(spark, small, ("CLE",)).select("example_id").distinct()
     assert asked.count() == documents
+
+
+def test_every_text_is_shuffled_once_and_numbers_fold_by_hash(spark, tmp_path):
+    examples = stored_examples(spark, tmp_path)
+    rows = [("m", "plain", i, "1 a\n2 c", None, None) for i in range(20)]
+    spark.createDataFrame(rows, schemas.GENERATIONS).write.parquet(str(tmp_path / "g"))
+    spark.createDataFrame([answer("A", 0)], schemas.CHOICES).write.parquet(str(tmp_path / "c"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        generations, choices = (spark.read.parquet(str(tmp_path / x)) for x in "gc")
+        text = plan(ev.evaluate(examples, generations, choices))
+        assert "SortAggregate" not in text
+        # answers and gold texts meet by example; the key of the fold needs no shuffle of its own
+        texts = plan(scoring.score_deliveries(examples, generations))
+        assert shuffles(texts) and all("example_id" in s and "model" not in s for s in shuffles(texts))
+        assert len(shuffles(texts)) == 2
+        # an upsert of it reads what it reads
+        old_results = spark.createDataFrame([], schemas.RESULTS)
+        merged = plan(rs.upsert_results(old_results, ev.evaluate(examples, generations, choices)))
+        assert merged.count("FileScan") == text.count("FileScan") == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_breakdowns_group_sums_and_not_rows(spark):
+    row = [("m", "plain", "CTR", 1, "java", "modify", 1)]
+    scored = spark.createDataFrame(row, "model string, condition string, task string, example_id long, lang string, type_correct string, hit int")
+    text = plan(scoring.by_ground_truth(scored))
+    assert text.index("Expand") < text.rindex("partial_count")
+
+
+def test_tasks_are_not_bound_to_the_calls_at_once(spark):
+    asked = inference.infer_choice_batch(
+        table(spark, *[example(i) for i in range(40)]), prompts.location_prompt, None, "ABCD", 4, partitions=16
+    )
+    assert "RoundRobin" not in plan(asked) and "hashpartitioning(example_id" in plan(asked) and ", 16)" in plan(asked)

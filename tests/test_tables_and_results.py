@@ -1,5 +1,6 @@
 """Sources, prompts, results, running totals, model calls and streams on small tables."""
 
+import hashlib
 import json
 import random
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from gradelens import schemas, values as v
 from gradelens.operators import fanout, inference, joins, prompts, results as rs, rows, running, scoring
 from gradelens.plans import evaluate as ev
+from gradelens.plans import run as grid
 from gradelens.sources import results as stored_results
 from gradelens.sources import tables as stored
 from gradelens.streaming import scores as streams
@@ -185,8 +187,10 @@ def test_failed_calls(spark):
         client_factory(),
         "ABC",
         calls_at_once=3,
+        partitions=5,
     )
-    assert batched.rdd.getNumPartitions() == 3
+    # tasks do not depend on the calls that each may have in flight
+    assert batched.rdd.getNumPartitions() == 5
     places = batched.select("condition", "example_id", "perm_idx").distinct().count()
     assert places == batched.count() == 6 * 6 * 2
     enriched = rows.add_summary_column(table(spark, example(1), example(2)), summaries)
@@ -276,3 +280,113 @@ def test_upsert_reads_each_side_once_and_keeps_one_row_a_cell(spark):
     merged = rs.upsert_results(old, fresh)
     assert {(r.model, r.value) for r in merged.collect()} == {("a", 1.0), ("b", 4.0), ("c", 5.0)}
     assert "Join" not in merged._jdf.queryExecution().optimizedPlan().toString()
+
+
+# Digests of the prompt texts and phrases that published scores rest on.
+PINS = {
+    "CHANGE_PHRASES": "2cc2eb25901b087f3289e0f5b5592d6e",
+    "CHANGE_TYPE_PROMPT": "ab840d86428663a2e1b98a19dc80af39",
+    "LOCATION_PROMPT": "b6ae0a591d003b798df5ad98bac5bef5",
+    "REFINE_PROMPT": "9096f527a4312bed04637311de1b3a01",
+    "SOLUTION_PROMPT": "ba2a762b177228b7e9d087d3634b7fbb",
+    "SUMMARY_REQUEST": "a3c3d263ee8c9d0929a6538646bb821c",
+    "SUMMARY_SECTION": "587676722415da73e4a3cfc0b1f217f1",
+}
+
+
+def test_fixed_texts_are_unchanged():
+    got = {name: hashlib.md5(str(getattr(v, name)).encode()).hexdigest() for name in PINS}
+    assert got == PINS
+
+
+def test_progress_of_sparse_ids(spark, monkeypatch):
+    monkeypatch.setattr(running, "FAN", 1000)
+    rng = random.Random(6)
+    ids = sorted({rng.randrange(-(2**63), 2**63) for _ in range(1500)} | {rng.randrange(-40, 40) for _ in range(40)})
+    frame = spark.createDataFrame(
+        [("m", "plain", "CTR", i, i % 3 == 0) for i in ids],
+        "model string, condition string, task string, example_id long, hit boolean",
+    )
+    got = {r.example_id: (r.hits_so_far, r.rows_so_far) for r in running.progress(frame, width=10).collect()}
+    hits, want = 0, {}
+    for place, i in enumerate(ids, 1):
+        hits += i % 3 == 0
+        want[i] = (hits, place)
+    assert got == want
+
+
+def test_deliveries_of_a_hot_example_are_split_and_ties_are_settled_alike(spark):
+    examples = table(spark, *[example(i) for i in range(50)])
+    answers = [generated(1, "1 a\n2 c" if k == 299 else f"1 {k}", k) for k in range(300)]
+    answers += [generated(i, text, 5) for i in range(2, 50) for text in ("1 a\n2 c", "1 x", f"1 {i}")]
+    responses = spark.createDataFrame(answers, schemas.GENERATIONS).repartition(5)
+    whole = sorted(map(tuple, scoring.score_deliveries(examples, responses).collect()))
+    assert sorted(map(tuple, scoring.score_deliveries(examples, responses, spread=8).collect())) == whole
+    latest = joins.latest_answers(responses, joins.GENERATION_KEY)
+    assert sorted(map(tuple, scoring.score_generations(examples, latest).collect())) == whole
+    assert len(whole) == 49 and {r[2]: r[5] for r in whole}[1] == 1 and {r[5] for r in whole} == {0, 1}
+    assert [r.example_id for r in joins.hot_examples(responses, 3).collect()] == [1]
+    tied = [answer("B", 0, 3), answer("A", 0, 3), answer("C", 0, 1)]
+    latest = joins.latest_answers(spark.createDataFrame(tied, schemas.CHOICES), stored.CHOICE_KEY)
+    slots = scoring.answers_by_example(joins.decode_answers(spark.createDataFrame(tied, schemas.CHOICES)))
+    assert joins.decode_answers(latest).first().pick == 1 == slots.first().s0 % 4
+
+
+def test_answers_without_a_place_are_counted(spark):
+    keys = fanout.answer_keys(table(spark, example(1)))
+    given = [answer("A", p) for p in (0, 5, 6, 23, 24, -1, None)] + [answer("A", 0, i=9)]
+    decoded = joins.decode_answers(spark.createDataFrame(given, schemas.CHOICES))
+    assert scoring.unplaced_answers(decoded, keys).first().unplaced == 6
+
+
+def test_of_two_writers_one_publishes(spark, tmp_path):
+    path = str(tmp_path / "results")
+    fresh = spark.createDataFrame(CELLS, schemas.RESULTS)
+    stored_results.write_results(spark, fresh, path)
+    version, _ = stored_results._newest(spark, path)
+    spark.createDataFrame([], schemas.RESULTS).write.parquet(f"{path}/parts/second")
+    with pytest.raises(RuntimeError, match="another job"):
+        stored_results._publish(spark, path, version, "second")
+    assert stored_results.read_results(spark, path).count() == len(CELLS)
+
+
+def test_totals_before_the_first_batch_and_after_a_new_log(spark, tmp_path):
+    examples = table(spark, example(1), example(2))
+    feed, scores, slots = (str(tmp_path / n) for n in ("feed", "scores", "slots"))
+    assert streams.generation_totals(spark, scores).count() == 0
+    assert streams.choice_totals(spark, slots, fanout.answer_keys(examples)).count() == 0
+    for log, given in (("one", generated(1, "1 a\n2 c", 9)), ("two", generated(2, "1 x", 9))):
+        new = str(tmp_path / f"feed-{log}")
+        spark.createDataFrame([given], schemas.GENERATIONS).coalesce(1).write.parquet(new)
+        streams.stream_generations(spark, new, examples, scores, str(tmp_path / log)).awaitTermination()
+    report = streams.generation_totals(spark, scores).first()
+    assert (report.n, report.em) == (2, 1)
+
+
+def test_a_grid_run_goes_on_where_it_was(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def client_for(model):
+        def make():
+            class Client:
+                def generate(self, prompt, **options):
+                    calls.add(1)
+                    return "1 a\n2 c" if model == "good" else "1 x"
+
+                def choose(self, prompt, letters, **options):
+                    calls.add(1)
+                    return '{"answer": "A"}', [("A", -0.1)]
+
+            return Client()
+
+        return make
+
+    examples = table(spark, example(1), example(2, type_correct="remove_only", type_wrong=["add_only", "modify"]))
+    paths = [str(tmp_path / n) for n in ("g", "c", "r")]
+    run = lambda models, tasks: grid.run_grid(spark, examples, client_for, models, *paths, conditions=("plain",), tasks=tasks)
+    first = {(r.model, r.task): (r.value, r.n) for r in run(("good",), ("ACR", "CTR")).collect()}
+    assert first == {("good", "ACR"): (100.0, 2), ("good", "CTR"): (0.0, 2)} and calls.value == 2 + 12
+    both = {(r.model, r.task): (r.value, r.n) for r in run(("good", "poor"), ("ACR", "CTR", "SIE")).collect()}
+    assert both == first | {("good", "SIE"): (0.0, 1), ("poor", "ACR"): (0.0, 2), ("poor", "CTR"): (0.0, 2), ("poor", "SIE"): (0.0, 1)}
+    assert calls.value == 14 + 24 + 2 + 12 + 24
+    assert run(("good", "poor"), ("ACR", "CTR", "SIE")).count() == 6 and calls.value == 76

@@ -603,7 +603,21 @@ BODIES = {
           md5(prompt) || ' {v.GENERATE_OPTIONS['max_tokens']} {v.GENERATE_OPTIONS['stop'][0]}' AS content,
           NULL::VARCHAR AS error FROM refine_prompts""",
     "infer_choice": _answers("type_prompts", 3),
-    "infer_choice_batch": _answers("location_prompts", 4),
+    "infer_choice_batch": _answers("location_prompts", 4) + " UNION ALL " + _answers("solution_prompts", 4),
+    "run_grid": f"""
+        SELECT {CELL}, round(value, 6) AS value, n FROM (
+          SELECT model, condition, 'ACR' AS task,
+            CASE WHEN (m, c) = (0, 1) THEN 12.5
+              ELSE 100 * count(*) FILTER ((m, c) = (1, 0) AND example_id % 3 = 0) / count(*) END AS value,
+            CASE WHEN (m, c) = (0, 1) THEN 8 ELSE count(*) END AS n
+          FROM exs, models, conditions GROUP BY m, c, model, condition
+          UNION ALL
+          SELECT model, a.condition, 'CTR', count(*) FILTER (hits = 6) / count(*) * 100, count(*)
+          FROM (SELECT i.condition, i.example_id, count(*) FILTER (i.picked = r.sym) AS hits
+                FROM ({_answers("type_prompts", 3)}) i
+                JOIN rights r ON r.task = 'CTR' AND r.example_id = i.example_id AND r.p = i.perm_idx
+                GROUP BY ALL) a, models
+          GROUP BY ALL)""",
     "infer_summary": "SELECT example_id, summary FROM summaries",
     "stream_scores": f"""
         SELECT model, condition, 'ACR' AS task, count(*) AS n, sum(em)::BIGINT AS hits FROM spaced GROUP BY ALL

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelens import session, values as v
+from gradelens import schemas, session, values as v
 from gradelens.functions import answers as an
 from gradelens.functions import metrics as mx
 from gradelens.functions import options as op
@@ -23,6 +23,7 @@ from gradelens.operators import (
     scoring,
 )
 from gradelens.plans import evaluate as ev
+from gradelens.plans import run as grid
 from gradelens.sources import results as stored_results
 from gradelens.sources import tables as stored
 from gradelens.streaming import scores as streams
@@ -325,7 +326,7 @@ def attach_choice_answers(spark: SparkSession, sf: str) -> DataFrame:
 def _first_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Refinement scored without whitespace, and change types."""
     examples = t.examples(spark, sf)
-    scored = scoring.score_generations(examples, _latest_generations(spark, sf))
+    scored = scoring.score_deliveries(examples, t.generations(spark, sf))
     loose = scoring.refine_report(scored).select(
         "model", "condition", F.lit("ACR").alias("task"), F.col("em_no_space_pct").alias("value"), "n"
     )
@@ -334,7 +335,7 @@ def _first_batch(spark: SparkSession, sf: str) -> DataFrame:
 
 def _second_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Refinement scored by words, and easy locations."""
-    scored = scoring.score_generations(t.examples(spark, sf), _latest_generations(spark, sf))
+    scored = scoring.score_deliveries(t.examples(spark, sf), t.generations(spark, sf))
     return rs.append_scores(ev.generation_results(scored), _choice_results(spark, sf, "CLE"))
 
 
@@ -423,9 +424,7 @@ def combinations(spark: SparkSession, sf: str) -> DataFrame:
             "example_id",
             "task",
             _md5(
-                F.array_join(
-                    F.transform("combinations", lambda order: _shown(order, task)), ";"
-                )
+                F.array_join(fanout.ordered_options(lambda ordered: _shown(ordered, task)), ";")
             ).alias("combinations_md5"),
         )
         for task in v.CHOICE_TASKS
@@ -560,7 +559,7 @@ def _scored_choices(spark: SparkSession, sf: str, tasks=v.CHOICE_TASKS) -> DataF
 
 
 def refine_report(spark: SparkSession, sf: str) -> DataFrame:
-    scored = scoring.score_generations(t.examples(spark, sf), _latest_generations(spark, sf))
+    scored = scoring.score_deliveries(t.examples(spark, sf), t.generations(spark, sf))
     report = scoring.refine_report(scored)
     return report.select(
         "model",
@@ -611,7 +610,7 @@ def results_unpivot(spark: SparkSession, sf: str) -> DataFrame:
 
 def progress(spark: SparkSession, sf: str) -> DataFrame:
     scored = ev.scored_examples(
-        t.examples(spark, sf), _latest_generations(spark, sf), t.choices(spark, sf)
+        t.examples(spark, sf), t.generations(spark, sf), t.choices(spark, sf)
     )
     return running.progress(scored, width=1000)
 
@@ -622,14 +621,14 @@ def answer_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 def by_ground_truth(spark: SparkSession, sf: str) -> DataFrame:
     scored = ev.scored_examples(
-        t.examples(spark, sf), _latest_generations(spark, sf), t.choices(spark, sf)
+        t.examples(spark, sf), t.generations(spark, sf), t.choices(spark, sf)
     )
     return scoring.by_ground_truth(scored).withColumn("value", F.round("value", 6))
 
 
 def append_scores(spark: SparkSession, sf: str) -> DataFrame:
     examples = t.examples(spark, sf)
-    scored = scoring.score_generations(examples, _latest_generations(spark, sf))
+    scored = scoring.score_deliveries(examples, t.generations(spark, sf))
     parts = [ev.generation_results(scored), *[_choice_results(spark, sf, c) for c in ("CTR", "SIE")]]
     return _result_rows(rs.append_scores(*parts))
 
@@ -665,14 +664,40 @@ def infer_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def infer_choice_batch(spark: SparkSession, sf: str) -> DataFrame:
-    answered = inference.infer_choice_batch(
-        t.examples(spark, sf),
-        prompts.location_prompt,
-        _letter_client(),
-        v.LETTERS,
-        calls_at_once=8,
+    examples = t.examples(spark, sf)
+    return _union(
+        _choice_answers(
+            inference.infer_choice_batch(
+                examples, make_prompts, _letter_client(), v.LETTERS, calls_at_once=4
+            )
+        )
+        for make_prompts in (prompts.location_prompt, prompts.solution_prompt)
+    )
+
+
+def run_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """A run with one recorded cell and with right answers stored to every third example of another."""
+    base = session.fresh_path(spark, "grid")
+    stored.write_enriched(t.examples(spark, sf), f"{base}/examples")
+    examples = spark.read.parquet(f"{base}/examples")
+    done = [("m0", "summary", "ACR", 12.5, 8)]
+    stored_results.write_results(spark, spark.createDataFrame(done, schemas.RESULTS), f"{base}/results")
+    held = examples.where("example_id % 3 = 0").select(
+        F.lit("m1").alias("model"),
+        F.lit("plain").alias("condition"),
+        "example_id",
+        tx.number_lines(F.col("new")).alias("content"),
+        F.lit(None).cast("string").alias("error"),
+        F.lit(None).cast("timestamp").alias("ingest_ts"),
     )
-    return _choice_answers(answered)
+    held.write.parquet(f"{base}/generations")
+    clients = {"ACR": _text_client(), "CTR": _letter_client()}
+    for task, client in clients.items():
+        results = grid.run_grid(
+            spark, examples, lambda model, client=client: client, ("m0", "m1"),
+            f"{base}/generations", f"{base}/choices", f"{base}/results", tasks=(task,), calls_at_once=2,
+        )
+    return _result_rows(results)
 
 
 def infer_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -780,5 +805,6 @@ QUERIES = {
     "infer_choice": infer_choice,
     "infer_choice_batch": infer_choice_batch,
     "infer_summary": infer_summary,
+    "run_grid": run_grid,
     "stream_scores": stream_scores,
 }
