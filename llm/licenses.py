@@ -1,23 +1,26 @@
 """License scans by conditional compression.
 
-Lines with a licence cue, and cue lines next to each other, are candidate blocks. A block is
-compressed by itself and with each template as a zstandard raw dictionary; the share of bytes that a
-template saves ranks the templates. In that order the block's words are compared with the
-template's, and the first template whose exact differences stay within bounds wins. Templates are
-notices people put on works; the list is a parameter.
+Lines with a licence cue, and cue lines next to each other, are candidate blocks. Each template is
+aligned with a block's words, and every place whose exact differences stay within bounds is a
+candidate. Its words are compressed by themselves and with the template as a zstandard raw
+dictionary. The bytes that a template saves rank the candidates, and those kept do not overlap: a
+block reports all its notices, whatever prose surrounds them. Templates are notices people put on
+works; the list is a parameter.
 
 Cases: null and empty texts, and texts without a cue, have no rows. A cue in a very long line takes
 the words around it within ``REACH`` characters. Equal documents give equal rows; a null doc_id is
-kept. Ties in size go to the template that is named first. Other columns are not read. Rows are
+kept. Ties in bytes
+saved go to the higher share of agreed words, then to the template that is named first. Other columns are not read. Rows are
 independent: nothing is shuffled, and a task holds one batch of texts.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Mapping
-from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -44,13 +47,14 @@ TEMPLATES = {
     "All-rights-reserved": "All rights reserved.",
 }
 CUE = re.compile(r"licen[cs]e|copyright|all rights reserved|released under|permission is hereby granted|redistribution and use|free software|spdx-", re.I)
+WORD = re.compile(r"[\w+-]+(?:\.\d+)*")
 REACH = 400
-#: Least share of bytes that a template must save, and of words that must agree both ways.
+#: Least share of the bytes it could save that a template must save, and of words that must agree both ways.
 SAVED, AGREED = 0.2, 0.75
 
 
 def words(text: str) -> list[tuple[str, int, int]]:
-    return [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[\w+-]+(?:\.\d+)*", text)]
+    return [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -70,46 +74,97 @@ def blocks(text: str) -> list[tuple[int, int]]:
 class Scanner:
     def __init__(self, templates: Mapping[str, str] = TEMPLATES, level: int = 3) -> None:
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
+        self.number: dict[str, int] = {}  # words of the templates, from 1; other words are 0
         self.templates = []
         for name, text in templates.items():
-            data = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, [w for w, _, _ in words(text)], zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False)))
+            wanted = [w for w, _, _ in words(text)]
+            if not wanted:
+                continue
+            low = " ".join(wanted).encode()
+            data = zstandard.ZstdCompressionDict(low, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            given = zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False)
+            most = len(self.plain.compress(low)) - len(given.compress(low))
+            self.templates.append((name, [self.number.setdefault(w, len(self.number) + 1) for w in wanted], given, most))
+        self.counts = np.array([np.bincount(x[1], minlength=len(self.number) + 1) for x in self.templates]).reshape(len(self.templates), -1)
+        self.least = AGREED * self.counts.sum(axis=1)
 
     def scan(self, text: str) -> list[tuple]:
         """(start, end, template, plain size, size given the template, words added, missing, agreed share)."""
         out = []
         for start, end in blocks(text):
-            block = text[start:end]
-            data = block.encode()
-            size = len(self.plain.compress(data))
-            ranked = sorted(((len(given.compress(data)), i) for i, (_, _, given) in enumerate(self.templates)))
-            found = words(block)
-            for less, i in ranked:
-                if size - less < SAVED * size:
-                    break
-                name, wanted, _ = self.templates[i]
-                if hit := self._confirm(found, wanted):
-                    a, b, added, missing, share = hit
-                    out.append((start + a, start + b, name, size, less, added, missing, share))
-                    break
+            found = np.array([(self.number.get(m[0].lower(), 0), m.start(), m.end()) for m in WORD.finditer(text, start, end)], np.int64).reshape(-1, 3)
+            ids = found[:, 0]
+            have = np.minimum(self.counts, np.bincount(ids, minlength=len(self.number) + 1)).sum(axis=1)
+            hits = []
+            for i in np.flatnonzero(have >= self.least):
+                name, wanted, given, most = self.templates[i]
+                for a, b, added, missing, share in places(ids, wanted):
+                    left, right = int(found[a, 1]), int(found[b - 1, 2])
+                    data = " ".join(w for w, _, _ in words(text[left:right])).encode()
+                    size, less = len(self.plain.compress(data)), len(given.compress(data))
+                    if size - less >= SAVED * most:
+                        hits.append((less - size, -share, i, left, right, name, size, less, added, missing, share))
+            kept: list[tuple] = []
+            for _, _, _, left, right, *rest in sorted(hits):
+                if all(right <= x[0] or left >= x[1] for x in kept):
+                    kept.append((left, right, *rest))
+            out += sorted(kept)
         return out
 
-    @staticmethod
-    def _confirm(found: list[tuple[str, int, int]], wanted: list[str]) -> tuple | None:
-        """The part of the block that the template covers, and its exact differences in words."""
-        same = [m for m in SequenceMatcher(None, [w for w, _, _ in found], wanted, autojunk=False).get_matching_blocks() if m.size]
-        if not same:
-            return None
-        first, last = same[0].a, same[-1].a + same[-1].size
-        agreed = sum(m.size for m in same)
-        missing, added = len(wanted) - agreed, last - first - agreed
-        if agreed < AGREED * len(wanted) or agreed < AGREED * (last - first):
-            return None
-        return found[first][1], found[last - 1][2], added, missing, agreed / (agreed + added + missing)
+
+def places(ids: np.ndarray, wanted: list[int]) -> list[tuple[int, int, int, int, float]]:
+    """Where a block holds a template: places that do not overlap, best first, with their differences.
+
+    (first word, behind the last word, words added, words missing, agreed share). A template is
+    aligned with any part of the block at the least number of words added and missing, and at the
+    least number missing among these.
+    """
+    cost = len(wanted) + 1  # of a word added; a missing word costs one more
+    row, steps = np.zeros(len(ids) + 1, np.int64), np.arange(len(ids) + 1) * cost
+    for word in wanted:
+        new = row + cost + 1
+        new[1:] = np.where(ids == word, row[:-1], new[1:])
+        row = np.minimum.accumulate(new - steps) + steps
+    bound = len(wanted) * (1 / AGREED - AGREED)
+    ends = 1 + np.flatnonzero((row[1:] // cost <= bound) & (row[1:] < row[:-1] + cost))
+    out: list[tuple[int, int, int, int, float]] = []
+    for end in ends[np.argsort(row[ends], kind="stable")].tolist():
+        if any(a < end <= b for a, b, *_ in out):
+            continue
+        low = max([0, end - math.ceil(len(wanted) / AGREED), *(b for _, b, *_ in out if b < end)])
+        pairs = _agreed(ids[low:end].tolist(), wanted)
+        if not pairs:
+            continue
+        agreed, a, b = len(pairs), low + pairs[0], low + pairs[-1] + 1
+        missing, added = len(wanted) - agreed, b - a - agreed
+        if agreed >= AGREED * len(wanted) and agreed >= AGREED * (b - a):
+            out.append((a, b, added, missing, agreed / (agreed + added + missing)))
+    return out
+
+
+def _agreed(found: list[int], wanted: list[int]) -> list[int]:
+    """Words that agree when the template is aligned with a part of ``found`` that ends at its end."""
+    cost = len(wanted) + 1
+    table = [[0] * (len(found) + 1)]
+    for i, word in enumerate(wanted):
+        above, row = table[i], [(i + 1) * (cost + 1)]
+        for j, x in enumerate(found):
+            row.append(above[j] if x == word else min(above[j + 1] + cost + 1, row[j] + cost))
+        table.append(row)
+    i, j, out = len(wanted), len(found), []
+    while i and j:
+        if found[j - 1] == wanted[i - 1]:
+            i, j = i - 1, j - 1
+            out.append(j)
+        elif table[i - 1][j] + cost + 1 == table[i][j]:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
-    """One row for each block of a document that a template confirms; places are code points."""
+    """One row for each place of a document that a template confirms; places are code points."""
     schema = "doc_id long, start long, end long, template string, plain_bytes long, given_bytes long, words_added long, words_missing long, agreed double"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4, pa.float64()]
     names = [x.split()[0] for x in schema.split(", ")]

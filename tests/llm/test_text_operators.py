@@ -301,6 +301,19 @@ def test_licenses(spark):
         assert [x[2] for x in licenses.Scanner().scan(f"before\n{text}\nafter")] == [name]
 
 
+def test_licenses_in_prose_and_next_to_each_other():
+    rng = random.Random(8)
+    prose = lambda: " ".join("".join(rng.choice("abcdefghijklmnoprstuvwyz") for _ in range(rng.randrange(2, 9))) for _ in range(120))
+    scan = licenses.Scanner().scan
+    for name, text in licenses.TEMPLATES.items():
+        for space in (" ", "\n"):
+            line = f"{prose()} this and the license.{space}{text}{space}{prose()}"
+            assert [(x[2], x[5], x[6], line[x[0] : x[1]]) for x in scan(line)] == [(name, 0, 0, text.rstrip("."))]
+        for other, second in licenses.TEMPLATES.items():
+            for both in (f"{text}\n{second}", f"{prose()} {text} {second} {prose()}"):
+                assert [(x[2], x[5], x[6]) for x in scan(both)] == [(name, 0, 0), (other, 0, 0)]
+
+
 @pytest.mark.parametrize("run", [
     lambda s, d: passages.remove_repeats(s, d), lambda s, d: minhash.near_duplicates(s, d), lambda s, d: pii.find(d), lambda s, d: pii.redact(d),
     lambda s, d: packing.pack(d, tokenizer_path()), lambda s, d: decontamination.matches(s, d, s.createDataFrame([(1, "an item of words")], "item_id long, text string")), lambda s, d: licenses.scan(d),
