@@ -1,14 +1,15 @@
 """License scans by conditional compression.
 
-Lines with a licence cue, and cue lines next to each other, are candidate blocks. Each template is
+The words around a licence cue, as many each side as the longest template can cover, are candidate
+blocks, joined where they meet. Line ends and marks of comments count as blanks. Each template is
 aligned with a block's words, and every place whose exact differences stay within bounds is a
 candidate. Its words are compressed by themselves and with the template as a zstandard raw
 dictionary. The bytes that a template saves rank the candidates, and those kept do not overlap: a
 block reports all its notices, whatever prose surrounds them. Templates are notices people put on
 works; the list is a parameter.
 
-Cases: null and empty texts, and texts without a cue, have no rows. A cue in a very long line takes
-the words around it within ``REACH`` characters. Equal documents give equal rows; a null doc_id is
+Cases: null and empty texts, and texts without a cue, have no rows. The
+length of lines does not matter. Equal documents give equal rows; a null doc_id is
 kept. Ties in bytes
 saved go to the higher share of agreed words, then to the template that is named first. Other columns are not read. Rows are
 independent: nothing is shuffled, and a task holds one batch of texts.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator, Mapping
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +48,9 @@ TEMPLATES = {
     "CC0-1.0": "Released under CC0 1.0 Universal.",
     "All-rights-reserved": "All rights reserved.",
 }
-CUE = re.compile(r"licen[cs]e|copyright|all rights reserved|released under|permission is hereby granted|redistribution and use|free software|spdx-", re.I)
+CUE = re.compile(r"licen[cs]e|copyright|all\W+rights\W+reserved|released\W+under|permission\W+is\W+hereby\W+granted|redistribution\W+and\W+use|free\W+software|spdx-", re.I)
 WORD = re.compile(r"[\w+-]+(?:\.\d+)*")
+#: Characters that are cut at first in search of the words before a cue.
 REACH = 400
 #: Least share of the bytes it could save that a template must save, and of words that must agree both ways.
 SAVED, AGREED = 0.2, 0.75
@@ -57,15 +60,28 @@ def words(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Places of candidate blocks: cue lines, joined where they follow each other."""
+def blocks(text: str, reach: int) -> list[tuple[int, int]]:
+    """Places of candidate blocks: ``reach`` words each side of a cue across line ends, joined where they meet."""
     out: list[tuple[int, int]] = []
     for m in CUE.finditer(text):
-        start = max(text.rfind("\n", 0, m.start()) + 1, m.start() - REACH)
-        end = text.find("\n", m.end())
-        end = min(len(text) if end < 0 else end, m.end() + REACH)
-        if out and start <= out[-1][1] + 1:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        end = m.end()
+        # a cue may begin or end inside a word, whose rest counts as one
+        for x in islice(WORD.finditer(text, m.end()), reach + 1):
+            end = x.end()
+        if out and m.start() <= out[-1][1]:
+            out[-1] = (out[-1][0], end)
+            continue
+        low, size = 0, REACH
+        while True:
+            low = max(0, m.start() - size)
+            before = [x.start() for x in WORD.finditer(text, low, m.start())]
+            if low == 0 or len(before) > reach + 1:
+                break
+            size *= 2
+        # a first word may be cut, unless the text begins there
+        start = before[-reach - 1] if len(before) > reach + 1 else low
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], end)
         else:
             out.append((start, end))
     return out
@@ -85,13 +101,16 @@ class Scanner:
             given = zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False)
             most = len(self.plain.compress(low)) - len(given.compress(low))
             self.templates.append((name, [self.number.setdefault(w, len(self.number) + 1) for w in wanted], given, most))
-        self.counts = np.array([np.bincount(x[1], minlength=len(self.number) + 1) for x in self.templates]).reshape(len(self.templates), -1)
+        self.counts = np.zeros((len(self.templates), len(self.number) + 1), np.int64)
+        for i, (_, wanted, _, _) in enumerate(self.templates):
+            np.add.at(self.counts[i], wanted, 1)
         self.least = AGREED * self.counts.sum(axis=1)
+        self.reach = math.ceil(self.counts.sum(axis=1).max(initial=0) / AGREED)
 
     def scan(self, text: str) -> list[tuple]:
         """(start, end, template, plain size, size given the template, words added, missing, agreed share)."""
         out = []
-        for start, end in blocks(text):
+        for start, end in blocks(text, self.reach):
             found = np.array([(self.number.get(m[0].lower(), 0), m.start(), m.end()) for m in WORD.finditer(text, start, end)], np.int64).reshape(-1, 3)
             ids = found[:, 0]
             have = np.minimum(self.counts, np.bincount(ids, minlength=len(self.number) + 1)).sum(axis=1)

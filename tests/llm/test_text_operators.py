@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -314,6 +315,18 @@ def test_licenses_in_prose_and_next_to_each_other():
                 assert [(x[2], x[5], x[6]) for x in scan(both)] == [(name, 0, 0), (other, 0, 0)]
 
 
+def test_licenses_wrapped():
+    scan = licenses.Scanner().scan
+    for name, text in licenses.TEMPLATES.items():
+        for width in (8, 20, *range(60, 81)):
+            for mark in ("", "# ", " * ", "//    "):
+                lines = "\n".join(mark + x for x in textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+                file = f"The name of a thing\n\n{lines}\n\nint main() {{ return 0; }}\n" + "other words\n" * 90
+                assert [(x[2], x[5], x[6]) for x in scan(file)] == [(name, 0, 0)]
+    far = "\n" * 5000
+    assert [x[2] for x in scan(f"x{far}This Source Code Form is{far}subject to the terms of the Mozilla Public{far}License, v. 2.0.")] == ["MPL-2.0"]
+
+
 @pytest.mark.parametrize("run", [
     lambda s, d: passages.remove_repeats(s, d), lambda s, d: minhash.near_duplicates(s, d), lambda s, d: pii.find(d), lambda s, d: pii.redact(d),
     lambda s, d: packing.pack(d, tokenizer_path()), lambda s, d: decontamination.matches(s, d, s.createDataFrame([(1, "an item of words")], "item_id long, text string")), lambda s, d: licenses.scan(d),
