@@ -7,8 +7,11 @@ validates it; text without anchors is never parsed. Positions are code points, e
 Base kinds are leftmost and do not overlap within their kind: email, ip (four parts of at most
 255), card (14 to 19 digits that pass the Luhn sum), phone (10 to 15 digits). A match that fails
 its test is dropped, and the search goes on behind it. Added kinds: url (a scheme and a host with a
-dot or localhost), address (house number, up to four names, a street word), account (an identifier
-behind its cue, or a key with a known prefix).
+dot or localhost), address (house number, up to four names, a street word; or a German, French or
+Spanish street with its house number), account (an identifier behind its cue, or a key with a known
+prefix). Cues and schemes are found in any case. Account numbers may be printed in groups with
+single blanks or hyphens between them; an IBAN's check sum must be right behind the cue IBAN. Behind
+a colon or an equals sign a password is anything of four characters, and all that quotes enclose.
 
 Cases: null and empty texts have no spans; a null doc_id and repeated rows are searched like any
 others; other columns pass through ``redact`` unchanged, whatever their names. Rows are independent,
@@ -34,7 +37,12 @@ RANK = {kind: i for i, kind in enumerate(KINDS)}
 # The anchors of each parser.
 SCHEMES = ("http://", "https://", "ftp://")
 STREETS = (" Street", " St.", " Avenue", " Ave.", " Road", " Rd.", " Lane", " Boulevard", " Blvd.", " Drive", " Square")
-CUES = ("IBAN", "iban", "account", "Account", "acct", "Acct", "Konto", "konto", "passport", "Passport", "SSN", "ssn", "token", "api_key", "API_KEY", "apikey", "secret", "password")
+ROADS = ("straße", "strasse", "str.", "weg", "platz", "allee", "gasse", "ufer", "damm", "ring")
+RUES = (" rue ", " avenue ", " boulevard ", " bd ", " place ", " chemin ", " allée ", " impasse ", " quai ", " route ")
+CALLES = ("calle ", "avenida ", "avda. ", "plaza ", "paseo ", "camino ", "carretera ", "c/ ")
+ACCOUNTS = ("account", "acct", "konto", "compte", "cuenta", "passport", "passeport", "pasaporte", "reisepass", "ssn")
+TOKENS = ("token", "api_key", "api-key", "api key", "apikey", "secret")
+PASSWORDS = ("password", "passwort", "passwd", "kennwort", "contraseña", "mot de passe")
 PREFIXES = ("AKIA", "ASIA", "ghp_", "sk_live_")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,7 +53,18 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"[^\s<>\"']+")
 HOUSE = re.compile(r"(?<![0-9])[0-9]{1,5}[A-Za-z]? (?:[^\W\d_][\w'-]* ?){1,4}$")
 TOWN = re.compile(r"(?:, [^\W\d_][\w'-]*)?(?:, [A-Z]{2} [0-9]{5})?")
-VALUE = re.compile(r"[ ]?(?:number|no\.?|nr\.?)?[ ]{0,2}[:=#]?[ ]{0,2}[\"']?([A-Za-z0-9_/+-]{8,})")
+NUMBER = r"(?:nummer|inhaber)?[\"']?[ ]?(?:(?i:number|nummer|numéro|número|no\.?|nr\.?|n°|nº)(?![^\W\d_]))?[ ]{0,2}[:=#]?[ ]{0,2}[\"']?"
+IBAN = re.compile(NUMBER + r"((?i:[A-Z]{2})[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30})")
+GROUPS = re.compile(NUMBER + r"([A-Za-z]{0,3}[0-9][A-Za-z0-9]*(?:[ -][A-Za-z]{0,2}[0-9][A-Za-z0-9]*)+)(?![A-Za-z0-9])")
+VALUE = re.compile(NUMBER + r"([A-Za-z0-9_/+-]{8,})")
+TOKEN = re.compile(r"(?:[_-][A-Za-z_-]+)?[\"']?[ ]?(?:number|no\.?|nr\.?)?[ ]{0,2}[:=#]?[ ]{0,2}[\"']?([A-Za-z0-9_/+.=~-]{8,})")
+PASSWORD = re.compile(r"[\"']?[ ]{0,2}[:=][ ]{0,2}(?:\"([^\"\n]+)\"|'([^'\n]+)'|([^\s\"',;]{4,}))")
+ROAD = re.compile(r"(?:(?:[^\W\d_][\w'.-]* ){1,3}|[^\W\d_][\w-]*)$")
+HOUSE_BEHIND = re.compile(r" [0-9]{1,5}(?: ?[A-Za-z](?![\w]))?(?![0-9])(?:, [0-9]{5} [^\W\d_][\w'-]*)?")
+HOUSE_BEFORE = re.compile(r"(?<![0-9])[0-9]{1,5}(?: ?(?:bis|ter|[A-Za-z]))?,?$")
+NAMES = r"(?:(?:(?:de|du|des|del|la|las|le|les|los|el) |[dl]['’])*(?=[^\W\d_])(?![a-zß-öø-ÿ])[^\W\d_][\w'’-]*)(?: (?:(?:de|du|des|del|la|las|le|les|los|el) |[dl]['’])*(?![a-zß-öø-ÿ])[^\W\d_][\w'’-]*){0,3}"
+RUE = re.compile(NAMES + r"(?:,? [0-9]{5} [^\W\d_][\w'-]*)?")
+CALLE = re.compile(NAMES + r",? (?:n\.?[º°] ?|núm\. )?[0-9]{1,5}(?: ?[A-Za-z](?![\w]))?(?![0-9])(?:, [0-9]{5} [^\W\d_][\w'-]*)?")
 KEY = re.compile(r"[A-Za-z0-9_]{12,}")
 #: How far left of a street word an address may begin.
 REACH = 64
@@ -56,13 +75,51 @@ def luhn(digits: str) -> bool:
     return (total + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
 
 
+def lowered(text: str) -> str:
+    """The text in lower case with every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c in text for x in [c.lower()])
+
+
+def iban(text: str) -> int:
+    """How many characters from the start hold an IBAN with the right check sum; 0 if none do."""
+    for end in range(len(text), 0, -1):
+        if text[end - 1].isalnum() and not text[end : end + 1].isalnum():
+            plain = text[:end].replace(" ", "").replace("-", "").upper()
+            if 15 <= len(plain) <= 34 and int("".join(str(int(x, 36)) for x in plain[4:] + plain[:4])) % 97 == 1:
+                return end
+    return 0
+
+
+def identifier(cue: str, text: str, at: int) -> tuple[int, int] | None:
+    """Where the identifier behind a cue that ends before ``at`` begins and ends."""
+    if text[at : at + 1] == "s" and not text[at + 1 : at + 2].isalnum():
+        at += 1  # a plural
+    if cue in PASSWORDS:
+        if m := PASSWORD.match(text, at):
+            return m.span(m.lastindex)
+    if m := IBAN.match(text, at) if cue == "iban" or cue in ACCOUNTS else None:
+        if size := iban(m[1] + text[m.end() : m.end() + 1]):
+            return m.start(1), m.start(1) + size
+        if cue == "iban":
+            return None
+    if cue in ACCOUNTS and (m := GROUPS.match(text, at)) and sum(x.isalnum() for x in m[1]) >= 8:
+        run = VALUE.match(text, at)  # one run may go on behind the groups, as with an underscore
+        return m.start(1), max(m.end(1), run.end(1) if run else 0)
+    if m := (TOKEN if cue in TOKENS else VALUE).match(text, at):
+        value = m[1].rstrip(".")
+        if len(value) >= 8 and any(x.isdigit() for x in value):
+            return m.start(1), m.start(1) + len(value)
+    return None
+
+
 def _automaton() -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
     for anchor in "@+0123456789":
-        machine.add_word(anchor, ("digit" if anchor.isdigit() else anchor, 1))
-    for kind, words in (("url", SCHEMES), ("address", STREETS), ("cue", CUES), ("prefix", PREFIXES)):
+        machine.add_word(anchor, ("digit" if anchor.isdigit() else anchor, 1, anchor))
+    for kind, words in (("url", SCHEMES), ("address", STREETS), ("road", ROADS), ("rue", RUES), ("calle", CALLES), ("cue", ("iban", *ACCOUNTS, *TOKENS, *PASSWORDS)), ("prefix", PREFIXES)):
         for word in words:
-            machine.add_word(word, (kind, len(word)))
+            machine.add_word(word.lower(), (kind, len(word), word))
     machine.make_automaton()
     return machine
 
@@ -77,7 +134,7 @@ class Finder:
         found: list[tuple[int, int, int]] = []
         email = ip = card = url = address = account = 0  # where the last match of a kind ended
         before = -1  # where the last digit ended
-        for at, (kind, length) in self.machine.iter(text):
+        for at, (kind, length, word) in self.machine.iter(lowered(text)):
             start = at - length + 1
             if kind == "digit":
                 fresh = start != before  # the first digit of a run
@@ -112,14 +169,40 @@ class Finder:
                         found.append((start, 4, end))
             elif kind == "address":
                 low = max(address, start - REACH)
-                if start >= address and not text[at + 1 : at + 2].isalnum() and (m := HOUSE.search(text[low:start])):
+                if start >= address and text.startswith(word, start) and not text[at + 1 : at + 2].isalnum() and (m := HOUSE.search(text[low:start])):
                     address = TOWN.match(text, at + 1).end()
                     found.append((low + m.start(), 5, address))
+            elif kind == "road":
+                if start >= address and (m := HOUSE_BEHIND.match(text, at + 1)):
+                    low = max(address, start - REACH)
+                    # the name's last word or the street word itself begins with a capital letter
+                    if (n := ROAD.search(text[low:start])) and n[0][-1:] != " ":
+                        left = low + n.start()
+                    elif text[start].isupper():
+                        left = start
+                        for word in reversed(n[0].split() if n else []):
+                            if not word[0].isupper():
+                                break
+                            left -= len(word) + 1
+                    else:
+                        continue
+                    if text[left].isupper():
+                        address = m.end()
+                        found.append((left, 5, address))
+            elif kind == "rue":
+                low = max(address, start - 12)
+                if start >= address and (m := HOUSE_BEFORE.search(text, low, start)) and (n := RUE.match(text, at + 1)):
+                    address = n.end()
+                    found.append((m.start(), 5, address))
+            elif kind == "calle":
+                if start >= address and not text[start - 1 : start].isalnum() and (m := CALLE.match(text, at + 1)):
+                    address = m.end()
+                    found.append((start, 5, address))
             elif kind == "cue":
-                if start >= account and (m := VALUE.match(text, at + 1)) and any(x.isdigit() for x in m[1]):
-                    account = m.end(1)
-                    found.append((m.start(1), 6, account))
-            elif start >= account and not text[start - 1 : start].isalnum() and (m := KEY.match(text, at + 1)):
+                if start >= account and (place := identifier(word, text, at + 1)):
+                    account = place[1]
+                    found.append((place[0], 6, account))
+            elif start >= account and text.startswith(word, start) and not text[start - 1 : start].isalnum() and (m := KEY.match(text, at + 1)):
                 account = m.end()
                 found.append((start, 6, account))
         found.sort()

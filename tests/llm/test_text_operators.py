@@ -182,6 +182,38 @@ def test_added_spans_and_masks(spark):
     assert pii.redact(documents(spark, [(1, "x")]).withColumnRenamed("source", "spans")).columns == ["doc_id", "text", "lang", "spans", "n_chars"]
 
 
+IDENTIFIERS = [  # text, what is masked
+    ("my IBAN DE89 3704 0044 0532 0130 00 is here", "DE89 3704 0044 0532 0130 00"),
+    ("iban: gb82-WEST-1234-5698-7654-32.", "gb82-WEST-1234-5698-7654-32"),
+    ("IBAN DE88 3704 0044 0532 0130 00 has a wrong sum", None),
+    ("Account number 1234 5678 90 of mine", "1234 5678 90"),
+    ("KONTO Nr. 1234-5678-90, danke", "1234-5678-90"),
+    ("Kontonummer: 1234567890", "1234567890"),
+    ("SSN 123-45-6789", "123-45-6789"),
+    ("PASSPORT X1234567", "X1234567"),
+    ("TOKEN = b14d2849086689e0958e", "b14d2849086689e0958e"),
+    ("Token: abcd.efgh12.", "abcd.efgh12"),
+    ("Secret=abcdefg12", "abcdefg12"),
+    ("Api_Key 'abcdefg12'", "abcdefg12"),
+    ("İİ Password: hunter", "hunter"),
+    ('"password": "of two words"', "of two words"),
+    ("password=pass7!x", "pass7!x"),
+    ("the password is required for accounts everywhere", None),
+    ("12, rue de la Paix, and", "12, rue de la Paix"),
+    ("in der Hauptstraße 12 wohnt", "Hauptstraße 12"),
+    ("nach Berliner Straße 7a, 10115 Berlin fahren", "Berliner Straße 7a, 10115 Berlin"),
+    ("en Calle Mayor 5 vive", "Calle Mayor 5"),
+    ("la route 5 calle abajo y unterwegs 3 Tage", None),
+    ("there are 5 people in the street today", None),
+]
+
+
+@pytest.mark.parametrize("text, value", IDENTIFIERS)
+def test_identifiers_in_print(text, value):
+    spans = pii.Finder().spans(text)
+    assert [text[a:b] for a, kind, b in spans if kind >= 5] == ([value] if value else [])
+
+
 def pad(length):
     return 0 if length & (length - 1) == 0 else packing.CAPACITY - length
 
