@@ -25,7 +25,10 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(spark, docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(spark, docs, model).where(F.col("toxic_score") < toxicity.threshold(model)).select(*docs.columns)
+    name = "toxic_score"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return toxicity.score(spark, docs, model, name).where(F.col(name) < toxicity.threshold(model)).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

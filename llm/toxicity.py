@@ -208,20 +208,20 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int =
     return fit([np.frombuffer(r.codes, np.int64) for r in rows], np.array([int(r.label > 0) for r in rows], int), [r.lang for r in rows], part)
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """The same rows and columns with ``toxic_score`` behind them."""
+def score(spark: SparkSession, docs: DataFrame, model: Model, name: str = "toxic_score") -> DataFrame:
+    """The same rows and columns with the score behind them, in a column called ``name``."""
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    if "toxic_score" in docs.columns:
-        raise ValueError("a column toxic_score is there already")
+    if name.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"a column {name} is there already")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, known = Buckets(), shared.value
         for batch in slices(batches, 500):
             scores = [known.score(cache.words(x)) for x in as_bytes(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", toxic_score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double"
     return docs.mapInArrow(run, schema)
 
 

@@ -163,3 +163,16 @@ def test_pipeline_stages(spark):
     before, after = ({r.doc_id for r in x.collect()} for x in seen["toxicity"])
     clean = [i for i in before if labels.get(i) == 0]
     assert sum(i in after for i in clean) >= 0.8 * len(clean)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_pipeline_keeps_a_column_named_like_the_score(spark):
+    import corpus_pipeline as pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = read(spark, sf_dir, "documents")
+    want = {r.doc_id for r in pipeline.drop_toxic(spark, docs, sf_dir).collect()}
+    extra = docs.selectExpr("*", "doc_id * 2 as toxic_score", "'x' as Toxic_Score_")
+    got = pipeline.drop_toxic(spark, extra, sf_dir)
+    assert got.columns == extra.columns
+    assert {r.doc_id: r.toxic_score for r in got.collect()} == {i: 2 * i for i in want}
