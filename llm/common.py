@@ -153,3 +153,21 @@ def components(spark: SparkSession, links: DataFrame, rounds: int = 60) -> DataF
         raise RuntimeError("components did not settle")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def salted(rows: DataFrame, classes: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``classes``, which has one row for each key and its number of rows ``n``.
+
+    A key with more than one in ``share`` of all rows is split: its rows by their hash, its class
+    copied to each part, so a part holds about that share at most. There are fewer than ``share``
+    such keys, whatever the tables hold, so their list may be broadcast. ``classes`` may leave out
+    keys, whose rows are left out then; it is read several times and should be a stored table.
+    """
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = F.ceil(F.col("n") * share / F.lit(max(total, 1))).cast("int")
+    hot = F.broadcast(classes.where(F.col("n") * share > total).select(key, parts.alias("_parts")))
+    mine = F.coalesce(F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), "_parts"), F.lit(0)).cast("int")
+    rows = rows.join(hot, key, "left").withColumn("_part", mine).drop("_parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    copied = classes.join(hot, key, "left").withColumn("_part", copies).drop("_parts", "n")
+    return rows.join(copied, [key, "_part"]).drop("_part")
