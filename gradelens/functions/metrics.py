@@ -18,7 +18,7 @@ def _flag(hit: Column) -> Column:
     return hit.cast("int")
 
 
-def _with(bound: Column, body) -> Column:
+def once(bound: Column, body) -> Column:
     """``body`` over a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(bound), body), F.lit(0))
 
@@ -55,7 +55,7 @@ def _em_trim(gold_spaced: Column, pred_spaced: Column, pred: Column) -> Column:
     both = F.struct(
         F.split(gold_spaced, " ", -1).alias("gold"), F.split(pred_spaced, " ", -1).alias("pred")
     )
-    walk = _with(
+    walk = once(
         both,
         lambda words: _line_walk(
             tx.lines(pred),
@@ -92,13 +92,13 @@ def em_trim(gold: Column, pred: Column) -> Column:
     Line offsets are character counts; using them as word positions is the published rule.
     """
     both = F.struct(tx.spaced(gold).alias("gold"), tx.spaced(pred).alias("pred"))
-    return _with(both, lambda spaced: _em_trim(spaced["gold"], spaced["pred"], pred))
+    return once(both, lambda spaced: _em_trim(spaced["gold"], spaced["pred"], pred))
 
 
 def em_no_space(gold: Column, pred: Column) -> Column:
     """1 when the gold text without whitespace starts at some line of pred (M3)."""
     both = F.struct(tx.squash(gold).alias("gold"), tx.squash(pred).alias("pred"))
-    return _with(both, lambda squashed: _em_no_space(squashed["gold"], squashed["pred"], pred))
+    return once(both, lambda squashed: _em_no_space(squashed["gold"], squashed["pred"], pred))
 
 
 def em_no_comment(gold: Column, pred: Column) -> Column:
@@ -106,7 +106,7 @@ def em_no_comment(gold: Column, pred: Column) -> Column:
     both = F.struct(
         tx.remove_comments(gold).alias("gold"), tx.remove_comments(pred).alias("pred")
     )
-    return _with(both, lambda bare: em_no_space(bare["gold"], bare["pred"]))
+    return once(both, lambda bare: em_no_space(bare["gold"], bare["pred"]))
 
 
 def gold_forms(gold: Column) -> dict[str, Column]:
@@ -161,13 +161,13 @@ def jaccard(left: Column, right: Column) -> Column:
         united = F.size(sets["left"]) + F.size(sets["right"]) - shared
         return F.when(united == 0, F.lit(0.0)).otherwise(shared / united)
 
-    return _with(both, similarity)
+    return once(both, similarity)
 
 
 def matching_answers(left: Column, right: Column) -> Column:
     """How many positions agree, up to the end of the shorter list (M7)."""
     shorter = F.least(F.size(left), F.size(right))
-    pairs = F.zip_with(
+    pairs = F.ziponce(
         F.slice(left, F.lit(1), shorter),
         F.slice(right, F.lit(1), shorter),
         lambda a, b: a.eqNullSafe(b),

@@ -7,66 +7,102 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gradelens.functions import text as tx
+from gradelens.functions.metrics import once
+from gradelens.session import fresh_path
 
 CELL = ("model", "condition", "task")
-#: Ranges that are summed in one window.
-FAN = 1_000_000
+#: Ranges of ids that every cell is cut into.
+RANGES = 256
 
 
 def line_offsets(df: DataFrame, key: str, text: Column) -> DataFrame:
     """Offsets at which the lines of each text start, then the end offset.
 
-    An offset is the summed length of the lines before it. Only lengths are shuffled.
+    An offset is the summed length of the lines before it. Sums are made inside the row, so
+    nothing is shuffled.
     """
-    lengths = F.concat(F.transform(tx.lines(text), F.length), F.array(F.lit(0)))
-    by_line = df.select(key, F.posexplode(lengths).alias("pos", "_length"))
-    before = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("_length").over(before), F.lit(0))
-    return by_line.select(key, "pos", offset.alias("line_offset"))
-
-
-def _before(totals: DataFrame, levels: int) -> DataFrame:
-    """Hits and rows of all earlier ranges of the cell, for every ``_range``."""
-    upper = totals.withColumn("_upper", F.expr(f"_range div {FAN}") if levels else F.lit(0))
-    earlier = W.partitionBy(*CELL, "_upper").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    sums = {f"{c}_before": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in ("_hits", "_rows")}
-    here = upper.withColumns(sums).drop("_hits", "_rows")
-    if not levels:
-        return here.drop("_upper")
-    groups = upper.groupBy(*CELL, F.col("_upper").alias("_range")).agg(
-        F.sum("_hits").alias("_hits"), F.sum("_rows").alias("_rows")
-    )
-    above = _before(groups, levels - 1).select(
-        *CELL, F.col("_range").alias("_upper"), F.col("_hits_before").alias("_h"), F.col("_rows_before").alias("_r")
-    )
-    return here.join(above, [*CELL, "_upper"]).select(
-        *CELL,
-        "_range",
-        (F.col("_hits_before") + F.col("_h")).alias("_hits_before"),
-        (F.col("_rows_before") + F.col("_r")).alias("_rows_before"),
+    return df.select(key, F.posexplode(offsets(text)).alias("pos", "line_offset"))
+
+
+def _sums(numbers: Column) -> Column:
+    """The sum before each number of a short list, then the sum of all; every step copies the list."""
+    start = F.array(F.lit(0).cast("bigint"))
+    return F.aggregate(numbers, start, lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n))
+
+
+def offsets(text: Column) -> Column:
+    """``line_offsets`` as a list.
+
+    Lines are cut into blocks, about as many as a block has lines: sums are made inside every
+    block and over the blocks' totals, so the lists that steps copy stay short.
+    """
+
+    def in_blocks(lengths: Column) -> Column:
+        wide = F.ceil(F.sqrt(F.size(lengths))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(lengths), wide)
+        blocks = F.transform(starts, lambda at: _sums(F.slice(lengths, at, wide)))
+        return once(blocks, put_together)
+
+    def put_together(blocks: Column) -> Column:
+        return once(
+            _sums(F.transform(blocks, lambda sums: F.element_at(sums, -1))),
+            lambda before: F.array_append(
+                F.flatten(
+                    F.zip_with(
+                        blocks,
+                        F.slice(before, F.lit(1), F.size(blocks)),
+                        lambda sums, base: F.transform(
+                            F.slice(sums, F.lit(1), F.size(sums) - 1), lambda offset: offset + base
+                        ),
+                    )
+                ),
+                F.element_at(before, -1),
+            ),
+        )
+
+    return once(F.transform(tx.lines(text), lambda line: F.length(line).cast("bigint")), in_blocks)
+
+
+def _range_of(column: Column, bounds: list[int], first: int = 0) -> Column:
+    """The number of bounds up to a value, by a binary search written out as conditions."""
+    if not bounds:
+        return F.lit(first)
+    middle = len(bounds) // 2
+    below = _range_of(column, bounds[:middle], first)
+    return F.when(column < bounds[middle], below).otherwise(
+        _range_of(column, bounds[middle + 1 :], first + middle + 1)
     )
 
 
-def progress(scored: DataFrame, hit: str = "hit", width: int = 1_000_000) -> DataFrame:
+def progress(scored: DataFrame, hit: str = "hit", ranges: int = RANGES) -> DataFrame:
     """Hits and rows so far of every cell, in example order.
 
-    A cell can hold most of the table, so it is cut into ranges of ``width`` example ids.
-    A window runs inside each range, and the totals of the earlier ranges are added to it.
-    Ids may be sparse, so that there are as many ranges as examples: ranges are summed in ranges
-    of their own, ``FAN`` to a task, and those again, which covers all 64-bit ids. Totals and
-    windows read the same columns, so both come from one shuffle.
+    Scores are computed once and stored in the shared folder. A cell can hold most of the rows, so
+    all cells are cut at the same ``ranges`` quantiles of the stored ids, which one sketch, folded
+    on the map side, estimates; that ids are sparse or crowded does not matter. Rows are shuffled
+    once, by cell and range: totals and running sums read the same shuffle, and the totals of
+    earlier ranges, one row for each cell and range, are added to the sums inside a range.
     """
-    ranged = scored.select(
-        *CELL,
-        "example_id",
-        F.col(hit).cast("bigint").alias("_hit"),
-        F.coalesce(F.expr(f"example_id div {int(width)}"), F.lit(-1)).alias("_range"),
-    ).repartition(*CELL, "_range")
+    spark, path = scored.sparkSession, fresh_path(scored.sparkSession, "progress")
+    hits = F.col(hit).cast("bigint").alias("_hit")
+    scored.select(*CELL, "example_id", hits).write.parquet(path)
+    stored = spark.read.parquet(path)
+    shares = [i / ranges for i in range(1, ranges)]
+    quantiles = stored.agg(F.percentile_approx("example_id", shares)).first()[0] if shares else None
+    place = _range_of(F.col("example_id"), sorted(set(quantiles or [])))
+    ranged = stored.withColumn("_range", F.when(F.col("example_id").isNull(), 0).otherwise(place)).repartition(
+        *CELL, "_range"
+    )
     totals = ranged.groupBy(*CELL, "_range").agg(
         F.sum("_hit").alias("_hits"),
         F.count("example_id").alias("_rows"),
     )
-    carried = _before(totals, levels=2)
+    earlier = W.partitionBy(*CELL).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    carried = totals.select(
+        *CELL,
+        "_range",
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("_hits", "_rows")],
+    )
     within = (
         W.partitionBy(*CELL, "_range")
         .orderBy("example_id")

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+_MADE: dict[str, str] = {}  # application -> the folder made for it
+
 
 def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
     """A local session; on a cluster the caller brings its own."""
@@ -28,16 +30,17 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in spark.checkpoint.dir.
 
-    A machine-local folder is made only for a local master that names none.
+    A machine-local folder is made, once for each application, only for a local master that names none.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="gradelens-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    application = spark.sparkContext.applicationId
+    if application not in _MADE:
+        _MADE[application] = tempfile.mkdtemp(prefix="gradelens-")
+    return _MADE[application]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -75,18 +75,37 @@ def test_tables_stored_by_example_are_scored_without_shuffling_them(spark, tmp_p
             spark.sql(f"DROP TABLE IF EXISTS {x}{name}")
 
 
-def test_progress_shares_its_shuffle(spark, tmp_path):
-    path = str(tmp_path / "scored")
-    spark.range(1000).select(
-        F.lit("m").alias("model"),
-        F.lit("plain").alias("condition"),
-        F.lit("CTR").alias("task"),
-        F.col("id").alias("example_id"),
-        (F.col("id") % 2).cast("int").alias("hit"),
-    ).write.parquet(path)
-    df = running.progress(spark.read.parquet(path), width=100)
-    df.collect()
-    assert "ReusedExchange" in plan(df)
+def test_progress_computes_scores_once_and_shuffles_them_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def score(batches):
+        for batch in batches:
+            asked.add(len(batch))
+            yield batch.assign(hit=batch.example_id % 2)
+
+    cells = "'m' as model, 'plain' as condition, 'CTR' as task, id as example_id"
+    scored = spark.range(1000).selectExpr(*cells.split(", ")).mapInPandas(
+        score, "model string, condition string, task string, example_id long, hit long"
+    )
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = running.progress(scored, ranges=10)
+        got = {r.example_id: (r.hits_so_far, r.rows_so_far) for r in df.collect()}
+        final = plan(df).split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == {i: ((i + 1) // 2, i + 1) for i in range(1000)}
+    assert asked.value == 1000
+    assert "ReusedExchange" in final and final.count("FileScan") == 1
+
+
+def test_line_offsets_are_summed_inside_the_row(spark):
+    frame = spark.sql("SELECT 1 AS id, repeat('ab\n', 1000000) AS s")
+    df = running.line_offsets(frame, "id", F.col("s"))
+    assert "Exchange" not in plan(df)
+    last = df.agg(F.max("pos").alias("pos"), F.max("line_offset").alias("end"), F.sum("line_offset").alias("sum")).first()
+    assert (last.pos, last.end, last.sum) == (1_000_001, 2_000_000, 2 * sum(range(1_000_000)) + 2 * 2_000_000)
 
 
 def test_the_grid_is_not_a_cross_join(spark):

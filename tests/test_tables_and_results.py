@@ -130,7 +130,7 @@ def test_progress_over_ranges_equals_plain_running_sums(spark):
         [(*cell, i, hit) for (cell, i), hit in data.items()],
         "model string, condition string, task string, example_id long, hit int",
     )
-    got = running.progress(frame, width=100)
+    got = running.progress(frame, ranges=7)
     want = {}
     for cell in set(cells):
         hits = 0
@@ -299,20 +299,23 @@ def test_fixed_texts_are_unchanged():
     assert got == PINS
 
 
-def test_progress_of_sparse_ids(spark, monkeypatch):
-    monkeypatch.setattr(running, "FAN", 1000)
+def test_progress_of_sparse_ids(spark):
     rng = random.Random(6)
     ids = sorted({rng.randrange(-(2**63), 2**63) for _ in range(1500)} | {rng.randrange(-40, 40) for _ in range(40)})
     frame = spark.createDataFrame(
         [("m", "plain", "CTR", i, i % 3 == 0) for i in ids],
         "model string, condition string, task string, example_id long, hit boolean",
     )
-    got = {r.example_id: (r.hits_so_far, r.rows_so_far) for r in running.progress(frame, width=10).collect()}
+    got = {r.example_id: (r.hits_so_far, r.rows_so_far) for r in running.progress(frame, ranges=50).collect()}
     hits, want = 0, {}
     for place, i in enumerate(ids, 1):
         hits += i % 3 == 0
         want[i] = (hits, place)
     assert got == want
+    assert running.progress(frame.limit(0)).collect() == []
+    many = running.progress(frame, ranges=16)
+    sizes = many.sparkSession.read.parquet(many.inputFiles()[0].rsplit("/", 1)[0]).count()
+    assert sizes == len(ids)
 
 
 def test_deliveries_of_a_hot_example_are_split_and_ties_are_settled_alike(spark):

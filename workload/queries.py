@@ -612,7 +612,7 @@ def progress(spark: SparkSession, sf: str) -> DataFrame:
     scored = ev.scored_examples(
         t.examples(spark, sf), t.generations(spark, sf), t.choices(spark, sf)
     )
-    return running.progress(scored, width=1000)
+    return running.progress(scored)
 
 
 def answer_positions(spark: SparkSession, sf: str) -> DataFrame:

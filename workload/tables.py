@@ -7,19 +7,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradelens import schemas
 from gradelens import values as v
 from gradelens.functions import answers as an
 from gradelens.functions import text as tx
 from gradelens.operators import fanout
 from gradelens.schemas import LOGPROBS
+from gradelens.session import fresh_path
 
 START = 1_704_067_200  # delivery times count from here, in seconds
 
 
+#: Tables that ``store`` has written: (folder of the given tables, name) -> path.
+STORED: dict[tuple[str, str], str] = {}
+
+
+def store(spark: SparkSession, sf_dir: str) -> dict[str, int]:
+    """Write documents, examples and answers once, and read them from there from now on; their rows."""
+    parts, rows = spark.sparkContext.defaultParallelism * 2, {}
+    for name, derive in (("documents", documents), ("examples", examples), ("generations", generations), ("choices", choices)):
+        path, made = fresh_path(spark, f"stored-{name}"), derive(spark, sf_dir)
+        if name == "choices":
+            made.write.partitionBy("task").parquet(path)
+        else:
+            made.repartition(parts, made.columns[0]).write.parquet(path)
+        STORED[sf_dir, name] = path
+        rows[name] = spark.read.parquet(path).count()
+    return rows
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    path = STORED.get((sf_dir, name))
+    return spark.read.parquet(path) if path else None
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, spread by id; tables of one row group could not be read in parallel otherwise."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    return _stored(spark, sf_dir, "documents") or spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def _pick(position: Column, *choices) -> Column:
@@ -62,6 +85,8 @@ def commented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One review example per document."""
+    if found := _stored(spark, sf_dir, "examples"):
+        return found
     reviews = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(
         "item_id", F.col("text").alias("review")
     )
@@ -132,6 +157,8 @@ def _delivered(df: DataFrame) -> DataFrame:
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generated answers of two models under both conditions."""
+    if found := _stored(spark, sf_dir, "generations"):
+        return found
     asked = examples(spark, sf_dir).select(
         "example_id", "review", tx.number_lines(F.col("new")).alias("num")
     )
@@ -190,6 +217,8 @@ def choices(
     spark: SparkSession, sf_dir: str, tasks: Sequence[str] = v.CHOICE_TASKS
 ) -> DataFrame:
     """Choice answers of two models under both conditions, all orderings."""
+    if found := _stored(spark, sf_dir, "choices"):
+        return found.select(schemas.CHOICES.names).where(F.col("task").isin(list(tasks)))
     keys = fanout.answer_keys(examples(spark, sf_dir), tasks)
     by_task = keys.select("example_id", F.explode("keys").alias("task", "key"))
     keyed = _delivered(_grid(by_task.where(F.col("key").isNotNull())))
