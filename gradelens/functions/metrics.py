@@ -167,7 +167,7 @@ def jaccard(left: Column, right: Column) -> Column:
 def matching_answers(left: Column, right: Column) -> Column:
     """How many positions agree, up to the end of the shorter list (M7)."""
     shorter = F.least(F.size(left), F.size(right))
-    pairs = F.ziponce(
+    pairs = F.zip_with(
         F.slice(left, F.lit(1), shorter),
         F.slice(right, F.lit(1), shorter),
         lambda a, b: a.eqNullSafe(b),
