@@ -6,7 +6,7 @@ over conditions and orderings.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -58,12 +58,17 @@ def _common_slots(label: str | None) -> dict[str, Column]:
     }
 
 
+def _in_conditions(prepared: DataFrame, conditions: Sequence[str] | None) -> DataFrame:
+    """Rows for every condition; without conditions the rows already carry theirs."""
+    return prepared if conditions is None else rows.with_summary_condition(prepared, conditions)
+
+
 def refine_prompt(
     examples: DataFrame, label: str | None = None, conditions=v.CONDITIONS
 ) -> DataFrame:
     """Generation prompts, one per example and condition (B2)."""
     numbered = examples.withColumn("_snippet", tx.number_lines(F.col("old")))
-    asked = rows.with_summary_condition(numbered, conditions)
+    asked = _in_conditions(numbered, conditions)
     return asked.select(
         F.lit("ACR").alias("task"),
         "condition",
@@ -73,11 +78,16 @@ def refine_prompt(
 
 
 def _choice_prompts(
-    prepared: DataFrame, template: str, k: int, label: str | None, conditions
+    prepared: DataFrame, template: str, k: int, label: str | None, conditions, missing: str | None
 ) -> DataFrame:
-    """Fan out over conditions and orderings; needs task, _snippet, _phrase and _shown."""
-    asked = rows.with_summary_condition(prepared, conditions)
+    """Fan out over conditions and orderings; needs task, _snippet, _phrase and _shown.
+
+    ``missing`` names a column of bits: only orderings whose bit is set are asked.
+    """
+    asked = _in_conditions(prepared, conditions)
     fanned = asked.select("*", F.posexplode(op.orderings(k)).alias("perm_idx", "_order"))
+    if missing:
+        fanned = fanned.where(F.getbit(missing, F.col("perm_idx")) == 1)
     slots = _common_slots(label) | {"ct": F.col("_phrase")}
     for slot in range(k):
         name = f"option_{v.LETTERS[slot].lower()}"
@@ -88,7 +98,7 @@ def _choice_prompts(
 
 
 def change_type_prompt(
-    examples: DataFrame, label: str | None = None, conditions=v.CONDITIONS
+    examples: DataFrame, label: str | None = None, conditions=v.CONDITIONS, missing=None
 ) -> DataFrame:
     """Three-option questions on the kind of change, all orderings."""
     options = op.build_options(F.col("type_wrong"), F.col("type_correct"))
@@ -99,11 +109,15 @@ def change_type_prompt(
         .withColumn("_phrase", F.lit(""))
         .withColumn("_shown", F.transform(options, op.change_type_phrase))
     )
-    return _choice_prompts(prepared, v.CHANGE_TYPE_PROMPT, 3, label, conditions)
+    return _choice_prompts(prepared, v.CHANGE_TYPE_PROMPT, 3, label, conditions, missing)
 
 
 def location_prompt(
-    examples: DataFrame, label: str | None = None, conditions=v.CONDITIONS, modes=v.MODES
+    examples: DataFrame,
+    label: str | None = None,
+    conditions=v.CONDITIONS,
+    modes=v.MODES,
+    missing=None,
 ) -> DataFrame:
     """Four-option questions on line numbers, both modes, all orderings."""
     options = op.build_options(F.col("wrong"), F.col("loc_correct"))
@@ -121,11 +135,15 @@ def location_prompt(
             F.transform(options, lambda o: F.array_join(o.cast("array<string>"), ",")),
         )
     )
-    return _choice_prompts(prepared, v.LOCATION_PROMPT, 4, label, conditions)
+    return _choice_prompts(prepared, v.LOCATION_PROMPT, 4, label, conditions, missing)
 
 
 def solution_prompt(
-    examples: DataFrame, label: str | None = None, conditions=v.CONDITIONS, modes=v.MODES
+    examples: DataFrame,
+    label: str | None = None,
+    conditions=v.CONDITIONS,
+    modes=v.MODES,
+    missing=None,
 ) -> DataFrame:
     """Four-option questions on code revisions, both modes, all orderings."""
     options = op.build_options(F.col("wrong"), F.col("solution_correct"))
@@ -140,4 +158,4 @@ def solution_prompt(
         .where(op.option_count_check(options, 4))
         .withColumn("_shown", F.transform(options, lambda o: F.concat(F.lit("\n"), o)))
     )
-    return _choice_prompts(prepared, v.SOLUTION_PROMPT, 4, label, conditions)
+    return _choice_prompts(prepared, v.SOLUTION_PROMPT, 4, label, conditions, missing)

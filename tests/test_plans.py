@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gradelens import schemas
 from gradelens.operators import fanout, inference, joins, prompts, results as rs, running, scoring
 from gradelens.plans import evaluate as ev
+from gradelens.plans import run as grid
 from gradelens.sources import tables as stored
 from tests.test_choices import answer, example, table
 from workload import tables as t
@@ -144,6 +145,26 @@ def test_every_text_is_shuffled_once_and_numbers_fold_by_hash(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_prompts_are_rendered_behind_every_shuffle(spark, tmp_path):
+    examples = stored_examples(spark, tmp_path)
+    spark.createDataFrame([answer("A", 0)], schemas.CHOICES).write.parquet(str(tmp_path / "c"))
+    answers = spark.read.parquet(str(tmp_path / "c"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        work = grid.unanswered(grid.questions(examples, "CLE", ("plain", "summary")), answers, "m", "CLE")
+        asked = inference.infer_choice_batch(
+            grid.asked_rows(examples, work, 3, None), grid.PROMPTS["CLE"], None, "ABCD", 4
+        )
+        text = plan(asked)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # the plan is written from its end; the prompt is put together in front of the first shuffle there
+    before, after = text.split("Exchange", 1)
+    assert "AS prompt" in before and "AS prompt" not in after and "prompt#" not in after and "posexplode" not in after
+    assert "content" not in after and "logprobs" not in after
+
+
 def test_breakdowns_group_sums_and_not_rows(spark):
     row = [("m", "plain", "CTR", 1, "java", "modify", 1)]
     scored = spark.createDataFrame(row, "model string, condition string, task string, example_id long, lang string, type_correct string, hit int")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 
 import pytest
@@ -393,3 +394,61 @@ def test_a_grid_run_goes_on_where_it_was(spark, tmp_path):
     assert both == first | {("good", "SIE"): (0.0, 1), ("poor", "ACR"): (0.0, 2), ("poor", "CTR"): (0.0, 2), ("poor", "SIE"): (0.0, 1)}
     assert calls.value == 14 + 24 + 2 + 12 + 24
     assert run(("good", "poor"), ("ACR", "CTR", "SIE")).count() == 6 and calls.value == 76
+
+
+def test_a_broken_run_loses_one_portion_of_calls(spark, tmp_path):
+    calls, broken = spark.sparkContext.accumulator(0), str(tmp_path / "broken")
+
+    def client_for(model):
+        def make():
+            import os
+
+            class Client:
+                def generate(self, prompt, **options):
+                    if "word35" in prompt and not os.path.exists(broken):
+                        raise RuntimeError("the model is gone")
+                    calls.add(1)
+                    return "1 a\n2 c"
+
+                def choose(self, prompt, letters, **options):
+                    if "word35" in prompt and not os.path.exists(broken):
+                        raise RuntimeError("the model is gone")
+                    calls.add(1)
+                    return '{"answer": "A"}', [("A", -0.1)]
+
+            return Client()
+
+        return make
+
+    # an example of 40 cannot be asked at first; ids are sparse
+    rows = [example(i * 10**15, review=f"word{i}") for i in range(40)]
+    table(spark, *rows).repartitionByRange(4, "example_id").write.parquet(str(tmp_path / "examples"))
+    examples = spark.read.parquet(str(tmp_path / "examples"))
+    paths = [str(tmp_path / n) for n in ("g", "c", "r")]
+    for task, questions in (("ACR", 40), ("CTR", 240)):
+        run = lambda: grid.run_grid(spark, examples, client_for, ("m",), *paths, conditions=("plain",), tasks=(task,), calls_a_portion=questions // 4)  # noqa: B023, E731
+        calls.value = 0
+        with pytest.raises(Exception, match="the model is gone"):
+            run()
+        path = paths[0] if task == "ACR" else paths[1]
+        held = spark.read.parquet(path).count()
+        assert 0 < held < questions and stored_results.read_results(spark, paths[2]).where(F.col("task") == task).count() == 0
+        # stored answers and ledger agree, and what was stored is not asked again
+        noted = grid.read_ledger(spark, paths[2]).where(F.col("task") == task)
+        assert noted.agg(F.sum("calls")).first()[0] == held and noted.count() == 3
+        open(broken, "w").close()
+        calls.value = 0
+        assert [(r.task, r.n) for r in run().where(F.col("task") == task).collect()] == [(task, 40)]
+        assert calls.value == questions - held and spark.read.parquet(path).count() == questions
+        os.remove(broken)
+
+
+def test_single_orderings_are_asked_again(spark):
+    examples = table(spark, example(1), example(2), example(3, type_wrong=["modify"]))
+    given = [answer("A", p) for p in (0, 2, 4, 5, 30, -1, None)] + [answer("A", p, i=2) for p in range(6)]
+    failed = [(*answer("A", 5)[:7], "refused", None)]
+    answers = spark.createDataFrame(given[:3] + given[4:], schemas.CHOICES).unionByName(spark.createDataFrame(failed, schemas.CHOICES))
+    left = grid.unanswered(grid.questions(examples, "CTR", ("plain",)), answers, "m", "CTR")
+    assert [tuple(r) for r in left.collect()] == [("plain", 1, 0b101010)]
+    asked = grid.PROMPTS["CTR"](grid.asked_rows(examples, left, None, None))
+    assert sorted(r.perm_idx for r in asked.collect()) == [1, 3, 5]

@@ -612,11 +612,14 @@ BODIES = {
             CASE WHEN (m, c) = (0, 1) THEN 8 ELSE count(*) END AS n
           FROM exs, models, conditions GROUP BY m, c, model, condition
           UNION ALL
-          SELECT model, a.condition, 'CTR', count(*) FILTER (hits = 6) / count(*) * 100, count(*)
-          FROM (SELECT i.condition, i.example_id, count(*) FILTER (i.picked = r.sym) AS hits
-                FROM ({_answers("type_prompts", 3)}) i
-                JOIN rights r ON r.task = 'CTR' AND r.example_id = i.example_id AND r.p = i.perm_idx
-                GROUP BY ALL) a, models
+          SELECT model, a.condition, task, count(*) FILTER (hits = orderings) / count(*) * 100, count(*)
+          FROM (SELECT model, m, i.task, i.condition, i.example_id, count(*) AS orderings,
+                  count(*) FILTER (i.picked = r.sym OR (m = 1 AND i.condition = 'plain' AND i.task = 'CTR'
+                    AND i.example_id % 2 = 0 AND i.perm_idx IN (2, 4))) AS hits
+                FROM ({_answers("type_prompts", 3)} UNION ALL {_answers("location_prompts", 4)}
+                  UNION ALL {_answers("solution_prompts", 4)}) i
+                JOIN rights r ON r.task = i.task AND r.example_id = i.example_id AND r.p = i.perm_idx, models
+                GROUP BY ALL) a
           GROUP BY ALL)""",
     "infer_summary": "SELECT example_id, summary FROM summaries",
     "stream_scores": f"""

@@ -675,8 +675,22 @@ def infer_choice_batch(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _both_clients():
+    texts, letters = _text_client(), _letter_client()
+
+    def make():
+        client = texts()
+        client.choose = letters().choose
+        return client
+
+    return make
+
+
 def run_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """A run with one recorded cell and with right answers stored to every third example of another."""
+    """All six tasks: one cell is recorded, right texts are stored for every third example of another.
+
+    Of the first task's choices some orderings are stored, as right or as failed answers.
+    """
     base = session.fresh_path(spark, "grid")
     stored.write_enriched(t.examples(spark, sf), f"{base}/examples")
     examples = spark.read.parquet(f"{base}/examples")
@@ -691,12 +705,25 @@ def run_grid(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(None).cast("timestamp").alias("ingest_ts"),
     )
     held.write.parquet(f"{base}/generations")
-    clients = {"ACR": _text_client(), "CTR": _letter_client()}
-    for task, client in clients.items():
-        results = grid.run_grid(
-            spark, examples, lambda model, client=client: client, ("m0", "m1"),
-            f"{base}/generations", f"{base}/choices", f"{base}/results", tasks=(task,), calls_at_once=2,
-        )
+    right = F.concat(F.lit('{"answer": "'), F.col("correct_symbol"), F.lit('"}'))
+    token = F.struct(F.col("correct_symbol").alias("token"), F.lit(-0.1).alias("logprob"))
+    some = fanout.all_orderings(examples, "CTR").where("example_id % 2 = 0 and perm_idx % 2 = 0").select(
+        F.lit("m1").alias("model"),
+        F.lit("plain").alias("condition"),
+        "task",
+        "example_id",
+        "perm_idx",
+        F.when(F.col("perm_idx") > 0, right).alias("content"),
+        F.when(F.col("perm_idx") > 0, F.array(token)).alias("logprobs"),
+        F.when(F.col("perm_idx") == 0, "refused").alias("error"),
+        F.lit(None).cast("timestamp").alias("ingest_ts"),
+    )
+    some.write.parquet(f"{base}/choices")
+    total = examples.count()
+    results = grid.run_grid(
+        spark, examples, lambda model: _both_clients(), ("m0", "m1"), f"{base}/generations", f"{base}/choices",
+        f"{base}/results", calls_at_once=2, calls_a_portion=30 * max(total, 1),
+    )
     return _result_rows(results)
 
 
