@@ -4,11 +4,12 @@ import hashlib
 import json
 import os
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from gradelens import schemas, values as v
+from gradelens import schemas, session, values as v
 from gradelens.operators import fanout, inference, joins, prompts, results as rs, rows, running, scoring
 from gradelens.plans import evaluate as ev
 from gradelens.plans import run as grid
@@ -343,15 +344,68 @@ def test_answers_without_a_place_are_counted(spark):
     assert scoring.unplaced_answers(decoded, keys).first().unplaced == 6
 
 
-def test_of_two_writers_one_publishes(spark, tmp_path):
+def test_two_writers_keep_both_sets_of_cells(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "results")
-    fresh = spark.createDataFrame(CELLS, schemas.RESULTS)
-    stored_results.write_results(spark, fresh, path)
-    version, _ = stored_results._newest(spark, path)
-    spark.createDataFrame([], schemas.RESULTS).write.parquet(f"{path}/parts/second")
-    with pytest.raises(RuntimeError, match="another job"):
-        stored_results._publish(spark, path, version, "second")
-    assert stored_results.read_results(spark, path).count() == len(CELLS)
+    row = lambda model, value: spark.createDataFrame([(model, "plain", "ACR", value, 1)], schemas.RESULTS)
+    stored_results.write_results(spark, row("a", 1.0), path)
+    assert not stored_results._publish(spark, path, 1, "second")
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            computed.add(len(batch))
+            yield batch
+
+    # while the first writer merges, two others publish
+    newest, others = stored_results._newest, [("b", 2.0), ("c", 3.0)]
+
+    def interrupted(session, where):
+        seen = newest(session, where)
+        if others:
+            other = others.pop()
+            monkeypatch.setattr(stored_results, "_newest", newest)
+            stored_results.write_results(spark, row(*other), path)
+            monkeypatch.setattr(stored_results, "_newest", interrupted)
+        return seen
+
+    monkeypatch.setattr(stored_results, "_newest", interrupted)
+    stored_results.write_results(spark, row("d", 4.0).mapInPandas(count, schemas.RESULTS), path)
+    monkeypatch.undo()
+    got = {(r.model, r.value) for r in stored_results.read_results(spark, path).collect()}
+    assert got == {("a", 1.0), ("b", 2.0), ("c", 3.0), ("d", 4.0)}
+    assert computed.value == 1 and stored_results._newest(spark, path)[0] == 4
+    others.extend([("e", 5.0)] * 9)
+    monkeypatch.setattr(stored_results, "_newest", interrupted)
+    with pytest.raises(RuntimeError, match="published"):
+        stored_results.write_results(spark, row("f", 1.0), path, tries=2)
+
+
+def test_a_writer_that_died_does_not_stop_the_others(spark, tmp_path):
+    path = str(tmp_path / "results")
+    row = lambda model: spark.createDataFrame([(model, "plain", "ACR", 1.0, 1)], schemas.RESULTS)
+    (tmp_path / "results" / "versions").mkdir(parents=True)
+    for name in ("000000000001", "000000000003", ".half"):
+        (tmp_path / "results" / "versions" / name).touch()
+    assert stored_results.read_results(spark, path).count() == 0
+    for model in "abc":
+        stored_results.write_results(spark, row(model), path)
+    assert {r.model for r in stored_results.read_results(spark, path).collect()} == set("abc")
+    (tmp_path / "results" / "versions" / "000000000009").touch()
+    assert stored_results.read_results(spark, path).count() == 3
+    stored_results.write_results(spark, row("d"), path)
+    assert stored_results._newest(spark, path)[0] == 10 and stored_results.read_results(spark, path).count() == 4
+
+
+def test_a_folder_is_made_where_none_is_named():
+    def named(folder, master):
+        conf = SimpleNamespace(get=lambda key, default=None: folder)
+        return session.shared_folder(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="made-up")))
+
+    assert named("/shared/x/", "spark://a") == "/shared/x"
+    made = named(None, "local[2]")
+    assert os.path.isdir(made) and named(None, "local[2]") == made
+    with pytest.raises(ValueError):
+        named(None, "spark://a")
 
 
 def test_totals_before_the_first_batch_and_after_a_new_log(spark, tmp_path):
