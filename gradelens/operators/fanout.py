@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gradelens import values as v
 from gradelens.functions import options as op
 from gradelens.operators import rows
+from gradelens.operators.rejects import Rejects
 
 WRONG_AND_CORRECT = {
     "CTR": ("type_wrong", "type_correct"),
@@ -79,21 +80,35 @@ def ordered_options(shown=lambda ordered: ordered) -> Column:
     return F.transform("orders", lambda order: shown(op.arrange(F.col("options"), order)))
 
 
+def _eligible(task: str) -> Column:
+    if task in ("SIE", "SIH"):
+        return ~F.col("type_correct").eqNullSafe("remove_only")
+    return F.lit(True)
+
+
+def _counted(task: str) -> Column:
+    return F.coalesce(F.size(F.col(WRONG_AND_CORRECT[task][0])) == v.OPTION_COUNT[task] - 1, F.lit(False))
+
+
 def _key(task: str) -> Column:
     wrong, correct = WRONG_AND_CORRECT[task]
-    k = v.OPTION_COUNT[task]
-    counted = F.size(F.col(wrong)) == k - 1
-    if task in ("SIE", "SIH"):
-        counted = counted & ~F.col("type_correct").eqNullSafe("remove_only")
-    return F.when(counted, op.answer_key(F.col(wrong), F.col(correct), k))
+    return F.when(
+        _counted(task) & _eligible(task), op.answer_key(F.col(wrong), F.col(correct), v.OPTION_COUNT[task])
+    )
 
 
-def answer_keys(examples: DataFrame, tasks: Sequence[str] = v.CHOICE_TASKS) -> DataFrame:
+def answer_keys(
+    examples: DataFrame, tasks: Sequence[str] = v.CHOICE_TASKS, rejects: Rejects | None = None
+) -> DataFrame:
     """One short row per example: for every task, the right letter of every ordering.
 
     ``keys`` maps a task to a text of at most 24 letters, or to null where the example has no
     such question. Options never leave the row they came from, and joins need the id alone.
+    ``rejects`` counts for every task the eligible examples with a wrong number of options (A4).
     """
+    if rejects is not None:
+        uneven = {f"option_count_{task}": F.count_if(_eligible(task) & ~_counted(task)) for task in tasks}
+        examples = rejects.observe(examples, "examples", uneven)
     pairs = [part for task in tasks for part in (F.lit(task), _key(task))]
     return examples.select(
         "example_id", "lang", "type_correct", F.create_map(*pairs).alias("keys")

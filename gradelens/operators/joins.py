@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from gradelens.functions import answers as an
 from gradelens.functions import metrics as mx
 from gradelens.functions import text as tx
 from gradelens.operators import fanout
+from gradelens.operators.rejects import Rejects, split_off
 
 GENERATION_KEY = ("model", "condition", "example_id")
 
@@ -56,10 +58,11 @@ def generated_texts(responses: DataFrame) -> DataFrame:
     )
 
 
-def gold_texts(examples: DataFrame) -> DataFrame:
-    """Examples reduced to their id, groups and gold text."""
+def gold_texts(examples: DataFrame, rejects: Rejects | None = None) -> DataFrame:
+    """Examples reduced to their id, groups and gold text; one without a gold text is rejected."""
+    given = split_off(examples, "examples", {"null_gold": F.col("new").isNull()}, rejects)
     gold = tx.strip_markers(F.col("new")).alias("gold")
-    return examples.select("example_id", "lang", "type_correct", gold)
+    return given.select("example_id", "lang", "type_correct", gold)
 
 
 def attach_generations(examples: DataFrame, responses: DataFrame) -> DataFrame:
@@ -70,33 +73,46 @@ def attach_generations(examples: DataFrame, responses: DataFrame) -> DataFrame:
     return generated_texts(responses).drop("_digest").join(gold_texts(examples), "example_id")
 
 
-def attach_gold_forms(examples: DataFrame, responses: DataFrame, spread: int = 1) -> DataFrame:
-    """Cleaned answers beside the forms of their gold texts that metrics compare with.
+def gold_forms(examples: DataFrame, rejects: Rejects | None = None) -> DataFrame:
+    """Ids, groups and the forms of the gold texts that metrics compare with."""
+    return gold_texts(examples, rejects).withColumns(mx.gold_forms(F.col("gold"))).drop("gold")
 
-    A gold text is normalised once here, before it meets the answers of all models. ``spread``
-    cuts the answers to each hot example into so many parts; see ``hot_examples``.
+
+def attach_gold_forms(golds: DataFrame, responses: DataFrame) -> DataFrame:
+    """Cleaned answers beside the ``gold_forms`` of their example.
+
+    A gold text is normalised once, before it meets the answers of all models. Answers to a hot
+    example are split over several tasks and its forms copied to each. Where no example is hot,
+    rows are joined by example alone, so tables that are bucketed by example are not shuffled.
     """
-    golds = gold_texts(examples).withColumns(mx.gold_forms(F.col("gold"))).drop("gold")
     texts = generated_texts(responses)
-    if spread <= 1:
+    hot = hot_examples(responses)
+    if not hot:
         return texts.join(golds, "example_id")
-    hot = F.broadcast(hot_examples(responses))
-    part = F.when(F.col("_hot"), F.pmod(F.xxhash64("_digest", "ingest_ts"), F.lit(spread)))
-    parts = F.when(F.col("_hot"), F.array(*map(F.lit, range(spread)))).otherwise(F.array(F.lit(0)))
-    salted = texts.join(hot, "example_id", "left").withColumn("_part", F.coalesce(part, F.lit(0)).cast("int"))
-    copied = golds.join(hot, "example_id", "left").withColumn("_part", F.explode(parts))
-    return salted.drop("_hot").join(copied.drop("_hot"), ["example_id", "_part"]).drop("_part")
+    # at most two thousand rows in all, whatever the tables hold
+    parts = F.broadcast(responses.sparkSession.createDataFrame(hot, "example_id long, _parts int"))
+    mine = F.coalesce(F.pmod(F.xxhash64("_digest", "ingest_ts", "model", "condition"), "_parts"), F.lit(0))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    salted = texts.join(parts, "example_id", "left").withColumn("_part", mine.cast("int")).drop("_parts")
+    copied = golds.join(parts, "example_id", "left").withColumn("_part", copies).drop("_parts")
+    return salted.join(copied, ["example_id", "_part"]).drop("_part")
+
+
+#: An example is hot from one in HOT_SHARE of all answers on, if these are HOT_LEAST at least.
+HOT_SHARE, HOT_LEAST = 1000, 10_000
 
 
-def hot_examples(responses: DataFrame, share: int = 1000) -> DataFrame:
-    """Examples that hold more than one in ``share`` of all answers.
+def hot_examples(responses: DataFrame, share: int = HOT_SHARE, least: int = HOT_LEAST) -> list[tuple[int, int]]:
+    """Examples that hold many of the answers, with the number of parts to split them into.
 
-    There are fewer than ``share`` of them, however large the table is, so they may be broadcast.
-    Only ids are read.
+    One sketch of heavy hitters, folded on the map side, reads ids alone. Fewer than ``share``
+    examples can hold more than that share, and the parts of all are at most twice as many.
     """
-    counts = responses.groupBy("example_id").agg(F.count("*").alias("_answers"))
-    total = counts.agg(F.coalesce(F.sum("_answers"), F.lit(0))).scalar()
-    return counts.where(F.col("_answers") * share > total).select("example_id", F.lit(True).alias("_hot"))
+    found = responses.agg(
+        F.expr(f"approx_top_k(example_id, {share}, {10 * share})").alias("top"), F.count("*").alias("n")
+    ).first()
+    part = max(found.n / share, least)
+    return [(x["item"], math.ceil(x["count"] / part)) for x in found.top if x["item"] is not None and x["count"] > part]
 
 
 def task_scores(responses: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from gradelens import values as v
 from gradelens.functions import options as op
 from gradelens.functions import text as tx
 from gradelens.operators import rows
+from gradelens.operators.rejects import Rejects, split_off
 
 
 def fill(template: str, slots: Mapping[str, Column]) -> Column:
@@ -58,6 +59,17 @@ def _common_slots(label: str | None) -> dict[str, Column]:
     }
 
 
+def askable(examples: DataFrame, rejects: Rejects | None = None) -> DataFrame:
+    """Examples that a prompt can be made of; one without code or without a review is rejected."""
+    reasons = {"null_old": F.col("old").isNull(), "null_review": F.col("review").isNull()}
+    return split_off(examples, "prompts", reasons, rejects)
+
+
+def _offered(options: Column, k: int) -> Column:
+    """Whether there are ``k`` options and each is known."""
+    return op.option_count_check(options, k) & F.forall(options, lambda o: o.isNotNull())
+
+
 def _in_conditions(prepared: DataFrame, conditions: Sequence[str] | None) -> DataFrame:
     """Rows for every condition; without conditions the rows already carry theirs."""
     return prepared if conditions is None else rows.with_summary_condition(prepared, conditions)
@@ -67,7 +79,7 @@ def refine_prompt(
     examples: DataFrame, label: str | None = None, conditions=v.CONDITIONS
 ) -> DataFrame:
     """Generation prompts, one per example and condition (B2)."""
-    numbered = examples.withColumn("_snippet", tx.number_lines(F.col("old")))
+    numbered = askable(examples).withColumn("_snippet", tx.number_lines(F.col("old")))
     asked = _in_conditions(numbered, conditions)
     return asked.select(
         F.lit("ACR").alias("task"),
@@ -103,7 +115,8 @@ def change_type_prompt(
     """Three-option questions on the kind of change, all orderings."""
     options = op.build_options(F.col("type_wrong"), F.col("type_correct"))
     prepared = (
-        examples.where(op.option_count_check(options, 3))
+        askable(examples)
+        .where(_offered(options, 3))
         .withColumn("task", F.lit("CTR"))
         .withColumn("_snippet", tx.number_lines(F.col("old")))
         .withColumn("_phrase", F.lit(""))
@@ -121,7 +134,7 @@ def location_prompt(
 ) -> DataFrame:
     """Four-option questions on line numbers, both modes, all orderings."""
     options = op.build_options(F.col("wrong"), F.col("loc_correct"))
-    numbered = examples.withColumns(
+    numbered = askable(examples).withColumns(
         {
             "_snippet": tx.number_lines(F.col("old")),
             "_phrase": op.change_type_phrase(F.col("type_correct")),
@@ -129,7 +142,7 @@ def location_prompt(
     )
     prepared = (
         rows.option_mode(numbered, "location", modes)
-        .where(op.option_count_check(options, 4))
+        .where(_offered(options, 4))
         .withColumn(
             "_shown",
             F.transform(options, lambda o: F.array_join(o.cast("array<string>"), ",")),
@@ -147,7 +160,7 @@ def solution_prompt(
 ) -> DataFrame:
     """Four-option questions on code revisions, both modes, all orderings."""
     options = op.build_options(F.col("wrong"), F.col("solution_correct"))
-    numbered = rows.eligible_for_task(examples, "SIE").withColumns(
+    numbered = askable(rows.eligible_for_task(examples, "SIE")).withColumns(
         {
             "_snippet": tx.number_lines(F.col("old")),
             "_phrase": op.change_type_phrase(F.col("type_correct")),
@@ -155,7 +168,7 @@ def solution_prompt(
     )
     prepared = (
         rows.option_mode(numbered, "solution", modes)
-        .where(op.option_count_check(options, 4))
+        .where(_offered(options, 4))
         .withColumn("_shown", F.transform(options, lambda o: F.concat(F.lit("\n"), o)))
     )
     return _choice_prompts(prepared, v.SOLUTION_PROMPT, 4, label, conditions, missing)

@@ -96,13 +96,18 @@ def final_report(results: DataFrame) -> DataFrame:
     return wide.select("model", "condition", *rounded).orderBy("model", "condition")
 
 
-def print_report(results: DataFrame) -> None:
-    """Show every result row, or say that there is none."""
-    report = final_report(results)
-    if report.isEmpty():
+def print_report(results: DataFrame, most: int = 1000) -> None:
+    """Show result rows, at most so many, or say that there is none."""
+    shown = final_report(results).take(most + 1)
+    if not shown:
         print("No results yet.")
-    else:
-        report.show(n=2**31 - 1, truncate=False)
+        return
+    table = [list(shown[0].asDict()), *[["" if x is None else str(x) for x in row] for row in shown[:most]]]
+    widths = [max(map(len, column)) for column in zip(*table)]
+    for line in table:
+        print("  ".join(cell.ljust(width) for cell, width in zip(line, widths)).rstrip())
+    if len(shown) > most:
+        print(f"... and more than these {most} rows")
 
 
 def compare_conditions(results: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from gradelens.functions import answers as an
 from gradelens.functions import metrics as mx
 from gradelens.functions import options as op
 from gradelens.operators import fanout, joins
+from gradelens.operators.rejects import Rejects
 
 CELL = ("model", "condition", "task")
 MOST_ORDERINGS = op.ordering_count(4)
@@ -16,21 +17,21 @@ MOST_ORDERINGS = op.ordering_count(4)
 
 def score_generations(examples: DataFrame, responses: DataFrame) -> DataFrame:
     """The exact-match scores of every generated answer; one answer per key."""
-    paired = joins.attach_gold_forms(examples, responses)
+    paired = joins.attach_gold_forms(joins.gold_forms(examples), responses)
     return mx.score_against_forms(paired).select(
         *joins.GENERATION_KEY, "lang", "type_correct", *mx.METRICS
     )
 
 
-def score_ranks(examples: DataFrame, responses: DataFrame, spread: int = 1) -> DataFrame:
+def score_ranks(golds: DataFrame, responses: DataFrame) -> DataFrame:
     """Every key with the ``rank`` of its last delivered answer, from which scores are read.
 
-    Each delivery meets its gold text and shrinks to one number that grows with delivery time,
-    then with the text's digest, and ends in the four scores; ``max`` finds the last delivery's.
-    So every text is shuffled once at most, and numbers are folded by hashing, map side first.
-    With ``spread`` the answers to hot examples are split over so many tasks.
+    ``golds`` are ``joins.gold_forms``. Each delivery meets its gold text and shrinks to one number
+    that grows with delivery time, then with the text's digest, and ends in the four scores; ``max``
+    finds the last delivery's. So every text is shuffled once at most, and numbers are folded by
+    hashing, map side first.
     """
-    scored = mx.score_against_forms(joins.attach_gold_forms(examples, responses, spread))
+    scored = mx.score_against_forms(joins.attach_gold_forms(golds, responses))
     wide = "decimal(38,0)"
     flags = sum(F.col(m) * 2**i for i, m in enumerate(mx.METRICS))
     digest = F.col("_digest").cast(wide) + F.lit(str(2**63)).cast(wide)
@@ -53,23 +54,29 @@ def read_ranks(folded: DataFrame) -> DataFrame:
     )
 
 
-def score_deliveries(examples: DataFrame, responses: DataFrame, spread: int = 1) -> DataFrame:
+def score_deliveries(
+    examples: DataFrame, responses: DataFrame, rejects: Rejects | None = None
+) -> DataFrame:
     """The exact-match scores of the last delivered answer of every key."""
-    return read_ranks(score_ranks(examples, responses, spread))
+    return read_ranks(score_ranks(joins.gold_forms(examples, rejects), responses))
 
 
-def answers_by_example(decoded: DataFrame) -> DataFrame:
+def answers_by_example(decoded: DataFrame, counted: bool = False) -> DataFrame:
     """All picks of one example in one row, the last delivered answer of each ordering.
 
     Every ordering owns one slot. A slot is a number that grows with delivery time and ends
     in the pick, so ``max`` finds the last pick. Orderings and repeats fold together on the
-    map side, and one row per example is what gets shuffled.
+    map side, and one row per example is what gets shuffled. With ``counted`` the row also
+    tells how many answers were delivered, and how many to orderings that exist.
     """
     rank = joins.delivery_time() * 4 + F.col("pick")
     slots = [
         F.max(F.when(F.col("perm_idx") == i, rank)).alias(f"s{i}") for i in range(MOST_ORDERINGS)
     ]
-    return decoded.groupBy(*CELL, "example_id").agg(*slots)
+    ends = {"_of_3": op.ordering_count(3), "_of_4": MOST_ORDERINGS}
+    held = {name: F.col("perm_idx").between(0, end - 1) for name, end in ends.items()}
+    tallies = [F.count("*").alias("_all"), *[F.count_if(x).alias(n) for n, x in held.items()]] if counted else []
+    return decoded.groupBy(*CELL, "example_id").agg(*slots, *tallies)
 
 
 def unplaced_answers(decoded: DataFrame, keys: DataFrame) -> DataFrame:
@@ -89,9 +96,13 @@ def position_lists(slots: DataFrame, keys: DataFrame) -> DataFrame:
 
     The lists are as long as the task has orderings; a missing answer is null.
     """
+    return _position_lists(fanout.with_key(slots, keys))
+
+
+def _position_lists(keyed: DataFrame) -> DataFrame:
     letters = an.letter_array(4)
     ranks = F.array(*[F.col(f"s{i}") for i in range(MOST_ORDERINGS)])
-    return fanout.with_key(slots, keys).select(
+    return keyed.select(
         *CELL,
         "example_id",
         "lang",
@@ -111,7 +122,11 @@ def orderings_by_position(decoded: DataFrame, keys: DataFrame) -> DataFrame:
 
 def score_slots(slots: DataFrame, keys: DataFrame) -> DataFrame:
     """Right answers per example and whether every ordering was answered right."""
-    return position_lists(slots, keys).select(
+    return _score_lists(position_lists(slots, keys))
+
+
+def _score_lists(lists: DataFrame) -> DataFrame:
+    return lists.select(
         *CELL,
         "example_id",
         "lang",
@@ -121,9 +136,19 @@ def score_slots(slots: DataFrame, keys: DataFrame) -> DataFrame:
     ).withColumn("hit", (F.col("matches") == F.col("orderings")).cast("int"))
 
 
-def score_choices(responses: DataFrame, keys: DataFrame) -> DataFrame:
-    """``score_slots`` over raw answers."""
-    return score_slots(answers_by_example(joins.decode_answers(responses)), keys)
+def score_choices(
+    responses: DataFrame, keys: DataFrame, rejects: Rejects | None = None
+) -> DataFrame:
+    """``score_slots`` over raw answers; ``rejects`` counts what ``unplaced_answers`` does."""
+    decoded = joins.decode_answers(responses)
+    if rejects is None:
+        return score_slots(answers_by_example(decoded), keys)
+    asked = answers_by_example(decoded, counted=True).join(keys, "example_id", "left")
+    asked = asked.withColumn("key", F.col("keys")[F.col("task")]).drop("keys")
+    three = F.length("key") == op.ordering_count(3)
+    placed = F.when(F.col("key").isNull(), 0).when(three, F.col("_of_3")).otherwise(F.col("_of_4"))
+    seen = rejects.observe(asked, "choices", {"unplaced": F.sum(F.col("_all") - placed)})
+    return _score_lists(_position_lists(seen.where(F.col("key").isNotNull())))
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gradelens import values as v
 from gradelens.operators import fanout, results, scoring
+from gradelens.operators.rejects import Rejects
 
 
 def generation_results(scored: DataFrame) -> DataFrame:
@@ -41,14 +42,15 @@ def scored_examples(
 
 
 def evaluate(
-    examples: DataFrame, generations: DataFrame, choices: DataFrame, spread: int = 1
+    examples: DataFrame, generations: DataFrame, choices: DataFrame, rejects: Rejects | None = None
 ) -> DataFrame:
     """Fresh result rows of every cell that has answers.
 
-    Both kinds of answers may hold repeats; the last delivered answer counts. ``spread`` is
-    that of ``scoring.score_deliveries``.
+    Both kinds of answers may hold repeats; the last delivered answer counts. ``rejects`` counts
+    examples without a gold text or with a wrong number of options, and answers without a place.
     """
+    keys = fanout.answer_keys(examples, rejects=rejects)
     return results.append_scores(
-        generation_results(scoring.score_deliveries(examples, generations, spread)),
-        choice_results(scoring.score_choices(choices, fanout.answer_keys(examples))),
+        generation_results(scoring.score_deliveries(examples, generations, rejects)),
+        choice_results(scoring.score_choices(choices, keys, rejects)),
     )

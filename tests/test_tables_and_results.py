@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from gradelens import schemas, session, values as v
 from gradelens.operators import fanout, inference, joins, prompts, results as rs, rows, running, scoring
+from gradelens.operators.rejects import Rejects
 from gradelens.plans import evaluate as ev
 from gradelens.plans import run as grid
 from gradelens.sources import results as stored_results
 from gradelens.sources import tables as stored
-from gradelens.streaming import scores as streams
+from gradelens.streaming import gold, scores as streams, store
 from tests.test_choices import START, answer, example, table
 from workload import tables as t
 
@@ -209,6 +210,8 @@ def generated(i, content, seconds, model="m"):
 def test_streams_take_late_repeats_and_restart(spark, tmp_path):
     examples = table(spark, example(1), example(2))
     keys = fanout.answer_keys(examples)
+    golds = str(tmp_path / "gold")
+    gold.store_gold_forms(examples, golds)
     right = keys.first()["keys"]["CTR"]
     feed, slots, log = (str(tmp_path / n) for n in ("feed", "slots", "log"))
     texts, scores, text_log = (str(tmp_path / n) for n in ("texts", "scores", "text-log"))
@@ -217,7 +220,7 @@ def test_streams_take_late_repeats_and_restart(spark, tmp_path):
         spark.createDataFrame(answers, schemas.CHOICES).coalesce(1).write.mode("append").parquet(feed)
         spark.createDataFrame(generations, schemas.GENERATIONS).coalesce(1).write.mode("append").parquet(texts)
         streams.stream_choices(spark, feed, slots, log, 1).awaitTermination()
-        streams.stream_generations(spark, texts, examples, scores, text_log, 1).awaitTermination()
+        streams.stream_generations(spark, texts, golds, scores, text_log, 1).awaitTermination()
         report = streams.choice_totals(spark, slots, keys).first()
         text_report = streams.generation_totals(spark, scores).first()
         return (report.n, report.invariant), (text_report.n, text_report.em)
@@ -320,23 +323,49 @@ def test_progress_of_sparse_ids(spark):
     assert sizes == len(ids)
 
 
-def test_deliveries_of_a_hot_example_are_split_and_ties_are_settled_alike(spark):
+def test_deliveries_of_a_hot_example_are_split_and_ties_are_settled_alike(spark, monkeypatch):
     examples = table(spark, *[example(i) for i in range(50)])
     answers = [generated(1, "1 a\n2 c" if k == 299 else f"1 {k}", k) for k in range(300)]
     answers += [generated(i, text, 5) for i in range(2, 50) for text in ("1 a\n2 c", "1 x", f"1 {i}")]
     responses = spark.createDataFrame(answers, schemas.GENERATIONS).repartition(5)
+    assert joins.hot_examples(responses) == []
     whole = sorted(map(tuple, scoring.score_deliveries(examples, responses).collect()))
-    assert sorted(map(tuple, scoring.score_deliveries(examples, responses, spread=8).collect())) == whole
+    assert joins.hot_examples(responses, 3, 1) == [(1, 3)]
+    monkeypatch.setattr(joins, "hot_examples", lambda given: hot(given, 100, 10))
+    assert hot(responses, 100, 10) == [(1, 30)]
+    assert sorted(map(tuple, scoring.score_deliveries(examples, responses).collect())) == whole
     latest = joins.latest_answers(responses, joins.GENERATION_KEY)
     assert sorted(map(tuple, scoring.score_generations(examples, latest).collect())) == whole
     assert len(whole) == 49 and {r[2]: r[5] for r in whole}[1] == 1 and {r[5] for r in whole} == {0, 1}
-    assert [r.example_id for r in joins.hot_examples(responses, 3).collect()] == [1]
     tied = [answer("B", 0, 3), answer("A", 0, 3), answer("C", 0, 1)]
     latest = joins.latest_answers(spark.createDataFrame(tied, schemas.CHOICES), stored.CHOICE_KEY)
     slots = scoring.answers_by_example(joins.decode_answers(spark.createDataFrame(tied, schemas.CHOICES)))
     assert joins.decode_answers(latest).first().pick == 1 == slots.first().s0 % 4
 
 
+hot = joins.hot_examples
+
+
+def test_no_task_gets_a_hot_examples_answers_whole(spark, monkeypatch):
+    monkeypatch.setattr(joins, "hot_examples", lambda given: hot(given, 1000, 100))
+    examples = spark.range(20000).selectExpr("id AS example_id", "'java' AS lang", "'modify' AS type_correct", "'+a' AS new")
+    responses = spark.range(60000).selectExpr(
+        "concat('m', id) AS model", "'plain' AS condition", "CASE WHEN id % 3 = 0 THEN 7 ELSE id % 20000 END AS example_id",
+        "'1 a' AS content", "CAST(NULL AS STRING) AS error", "timestamp_seconds(id) AS ingest_ts",
+    )
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for key, value in zip(before, ("40", "false", "-1")):
+        spark.conf.set(key, value)
+    try:
+        joined = joins.attach_gold_forms(joins.gold_forms(examples), responses)
+        sizes = [r.n for r in joined.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(sizes) == 60000 and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+    assert [i for i, parts in hot(responses) if parts > 1] == [7]
+
+
 def test_answers_without_a_place_are_counted(spark):
     keys = fanout.answer_keys(table(spark, example(1)))
     given = [answer("A", p) for p in (0, 5, 6, 23, 24, -1, None)] + [answer("A", 0, i=9)]
@@ -411,12 +440,14 @@ def test_a_folder_is_made_where_none_is_named():
 def test_totals_before_the_first_batch_and_after_a_new_log(spark, tmp_path):
     examples = table(spark, example(1), example(2))
     feed, scores, slots = (str(tmp_path / n) for n in ("feed", "scores", "slots"))
+    golds = str(tmp_path / "gold")
+    gold.store_gold_forms(examples, golds)
     assert streams.generation_totals(spark, scores).count() == 0
     assert streams.choice_totals(spark, slots, fanout.answer_keys(examples)).count() == 0
     for log, given in (("one", generated(1, "1 a\n2 c", 9)), ("two", generated(2, "1 x", 9))):
         new = str(tmp_path / f"feed-{log}")
         spark.createDataFrame([given], schemas.GENERATIONS).coalesce(1).write.parquet(new)
-        streams.stream_generations(spark, new, examples, scores, str(tmp_path / log)).awaitTermination()
+        streams.stream_generations(spark, new, golds, scores, str(tmp_path / log)).awaitTermination()
     report = streams.generation_totals(spark, scores).first()
     assert (report.n, report.em) == (2, 1)
 
@@ -506,3 +537,96 @@ def test_single_orderings_are_asked_again(spark):
     assert [tuple(r) for r in left.collect()] == [("plain", 1, 0b101010)]
     asked = grid.PROMPTS["CTR"](grid.asked_rows(examples, left, None, None))
     assert sorted(r.perm_idx for r in asked.collect()) == [1, 3, 5]
+
+
+def ranks(spark, number, count=30):
+    """What a batch stores: some keys come back in every batch."""
+    return spark.range(count).selectExpr(
+        "'m' AS model", "'plain' AS condition", f"CASE WHEN id < 5 THEN id ELSE id + {number * count} END AS example_id",
+        "'java' AS lang", "'modify' AS type_correct", f"CAST({number} * 16 + 1 AS DECIMAL(38,0)) AS rank",
+    ).coalesce(1)
+
+
+def test_a_look_reads_few_files_however_many_batches_there_were(spark, tmp_path):
+    folder, most = str(tmp_path / "scores"), 0
+    for number in range(200):
+        ranks(spark, number).write.parquet(store.batch_folder(folder, "s", number))
+        store.compact(spark, folder, streams.STORED_RANKS, scoring.fold_ranks)
+        if number % 40 == 39 or number in (0, 7, 8):
+            look = store.read(spark, folder, streams.STORED_RANKS)
+            most = max(most, len(look.inputFiles()))
+            folded = scoring.fold_ranks(look)
+            assert folded.count() == 5 + 25 * (number + 1)
+            assert {r.rank for r in folded.where("example_id < 5").collect()} == {number * 16 + 1}
+    assert most <= 4 * (store.FAN - 1)
+    assert len(store._batches(spark, folder)) <= 2 * store.FAN
+    # a batch that runs again after it was merged counts once
+    before = streams.generation_totals(spark, folder).collect()
+    ranks(spark, 3).write.mode("overwrite").parquet(store.batch_folder(folder, "s", 3))
+    assert streams.generation_totals(spark, folder).collect() == before
+    # and one that was not written to its end does not count
+    ranks(spark, 500).write.parquet(store.batch_folder(folder, "s", 500))
+    os.remove(f"{store.batch_folder(folder, 's', 500)}/_SUCCESS")
+    assert streams.generation_totals(spark, folder).collect() == before
+
+
+def test_of_two_compactions_one_is_published(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "scores")
+    for stream in "ab":
+        for number in range(4):
+            ranks(spark, number if stream == "a" else 10 + number).write.parquet(store.batch_folder(folder, stream, number))
+    publish, schema = store.markers.publish, streams.STORED_RANKS
+    calls = []
+
+    def late(*args):
+        if not calls:
+            calls.append(args)
+            assert store.compact(spark, folder, schema, scoring.fold_ranks)
+        return publish(*args)
+
+    monkeypatch.setattr(store.markers, "publish", late)
+    assert not store.compact(spark, folder, schema, scoring.fold_ranks)
+    assert scoring.fold_ranks(store.read(spark, folder, schema)).count() == 5 + 25 * 8
+
+
+def test_a_batch_reads_the_gold_texts_that_it_answers(spark, tmp_path):
+    read = []
+    for name, count in (("few", 2000), ("many", 20000)):
+        examples = spark.range(count).selectExpr("id AS example_id", "'java' AS lang", "'modify' AS type_correct", "concat('+a ', id) AS new")
+        gold.store_gold_forms(examples, str(tmp_path / name), rows_a_bucket=100)
+        batch = spark.createDataFrame([(i, f"1 a {i}") for i in (3, 700, 1999)], "example_id long, content string")
+        forms = gold.gold_forms_of(spark, str(tmp_path / name), batch)
+        sizes = [os.path.getsize(f.removeprefix("file://")) for f in forms.inputFiles()]
+        assert 1 <= len(sizes) <= 3
+        read.append(sum(sizes) / len(sizes))
+        got = {r.example_id: r._gold_spaced for r in forms.where("example_id IN (3, 700, 1999)").collect()}
+        assert got == {i: f"a {i}" for i in (3, 700, 1999)}
+    assert read[1] < 1.5 * read[0]
+    assert gold.gold_forms_of(spark, str(tmp_path / "few"), batch.limit(0)).count() == 0
+
+
+def test_nulls_are_rejected_with_their_count(spark):
+    examples = table(spark, example(1), example(2, new=None), example(3, review=None), example(4, old=None), example(5, solution_wrong_easy=["x", None, "z"]))
+    given = spark.createDataFrame([generated(i, "1 a\n2 c", 1) for i in range(1, 6)], schemas.GENERATIONS)
+    seen = Rejects()
+    report = scoring.refine_report(scoring.score_deliveries(examples, given, seen)).collect()
+    assert [(r.n, r.em, r.em_pct) for r in report] == [(4, 4, 100.0)] and seen.counts() == {("examples", "null_gold"): 1}
+    assert sorted({r.example_id for r in prompts.refine_prompt(examples).collect()}) == [1, 2, 5]
+    for made in (prompts.change_type_prompt, prompts.location_prompt, prompts.solution_prompt):
+        asked = made(examples)
+        assert asked.where("prompt IS NULL").count() == 0
+    assert asked.where("example_id = 5").count() == 2 * 24
+    seen = Rejects()
+    assert prompts.askable(examples, seen).count() == 3
+    assert seen.counts() == {("prompts", "null_old"): 1, ("prompts", "null_review"): 1}
+
+
+def test_counting_rejects_reads_nothing_twice(spark, tmp_path):
+    table(spark, *[example(i) for i in range(8)]).write.parquet(str(tmp_path / "e"))
+    spark.createDataFrame([generated(1, "1 a", 1)], schemas.GENERATIONS).write.parquet(str(tmp_path / "g"))
+    spark.createDataFrame([answer("A", p) for p in (0, 7)], schemas.CHOICES).write.parquet(str(tmp_path / "c"))
+    tables, seen = [spark.read.parquet(str(tmp_path / x)) for x in "egc"], Rejects()
+    scans = [ev.evaluate(*tables, r)._jdf.queryExecution().executedPlan().toString().count("FileScan") for r in (None, Rejects())]
+    assert scans[0] == scans[1]
+    assert ev.evaluate(*tables, seen).count() == 2
+    assert seen.counts()["choices", "unplaced"] == 1

@@ -621,6 +621,16 @@ BODIES = {
                 JOIN rights r ON r.task = i.task AND r.example_id = i.example_id AND r.p = i.perm_idx, models
                 GROUP BY ALL) a
           GROUP BY ALL)""",
+    "rejects": """
+        SELECT 'examples' AS step, 'null_gold' AS reason, count(*) FILTER (example_id % 13 = 0) AS n FROM exs
+        UNION ALL SELECT 'examples', 'option_count_' || task, count(*) FILTER (
+            (task = 'CLE' AND lang = 'fr') OR (task = 'SIH' AND type_correct <> 'remove_only' AND example_id % 11 = 0))
+          FROM exs, (SELECT unnest(['CTR', 'CLE', 'CLH', 'SIE', 'SIH']) AS task) GROUP BY task
+        UNION ALL SELECT 'choices', 'unplaced', count(*) FILTER (a.example_id % 19 = 0 OR a.example_id % 23 = 0
+            OR (task = 'CLE' AND lang = 'fr') OR (task = 'SIH' AND a.example_id % 11 = 0))
+          FROM asked a JOIN exs e ON e.example_id = a.example_id
+        UNION ALL SELECT 'prompts', 'null_old', count(*) FILTER (example_id % 34 = 1) FROM exs
+        UNION ALL SELECT 'prompts', 'null_review', count(*) FILTER (example_id % 17 = 0) FROM exs""",
     "infer_summary": "SELECT example_id, summary FROM summaries",
     "stream_scores": f"""
         SELECT model, condition, 'ACR' AS task, count(*) AS n, sum(em)::BIGINT AS hits FROM spaced GROUP BY ALL

@@ -22,11 +22,12 @@ from gradelens.operators import (
     running,
     scoring,
 )
+from gradelens.operators.rejects import Rejects
 from gradelens.plans import evaluate as ev
 from gradelens.plans import run as grid
 from gradelens.sources import results as stored_results
 from gradelens.sources import tables as stored
-from gradelens.streaming import scores as streams
+from gradelens.streaming import gold, scores as streams
 from workload import tables as t
 
 KINDS = ("location", "solution")
@@ -727,6 +728,35 @@ def run_grid(spark: SparkSession, sf: str) -> DataFrame:
     return _result_rows(results)
 
 
+def rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """What an evaluation and a set of prompts turn away, as counted while they run.
+
+    Some examples have no gold text, no review or too few options, and some answers no place.
+    """
+    i = F.col("example_id")
+    uneven = t.examples(spark, sf).withColumns(
+        {
+            "new": F.when(i % 13 != 0, F.col("new")),
+            "review": F.when(i % 17 != 0, F.col("review")),
+            "old": F.when(i % 34 != 1, F.col("old")),
+            "loc_wrong_easy": F.when(F.col("lang") == "fr", F.slice("loc_wrong_easy", 1, 2)).otherwise(F.col("loc_wrong_easy")),
+            "solution_wrong_hard": F.when(i % 11 != 0, F.col("solution_wrong_hard")),
+        }
+    )
+    astray = t.choices(spark, sf).withColumns(
+        {
+            "perm_idx": F.when(i % 19 == 0, F.col("perm_idx") + 30).otherwise(F.col("perm_idx")),
+            "example_id": F.when(i % 23 == 0, -1 - i).otherwise(i),
+        }
+    )
+    path, seen = session.fresh_path(spark, "rejects"), Rejects()
+    evaluated = ev.evaluate(uneven, t.generations(spark, sf), astray, seen)
+    evaluated.write.parquet(f"{path}/results")
+    prompts.askable(uneven, seen).select("example_id").write.parquet(f"{path}/asked")
+    counted = [(step, reason, n) for (step, reason), n in seen.counts().items()]
+    return spark.createDataFrame(counted, "step string, reason string, n long")
+
+
 def infer_summary(spark: SparkSession, sf: str) -> DataFrame:
     return _asked_summaries(spark, sf)
 
@@ -739,12 +769,13 @@ def stream_scores(spark: SparkSession, sf: str) -> DataFrame:
     base = session.fresh_path(spark, "stream")
     stored.write_enriched(t.examples(spark, sf), f"{base}/examples")
     examples = spark.read.parquet(f"{base}/examples")
+    gold.store_gold_forms(examples, f"{base}/gold", rows_a_bucket=5000)
     t.generations(spark, sf).repartition(16, "ingest_ts").write.parquet(f"{base}/texts")
     # the orderings of one example are spread over the files, and so over the batches
     t.choices(spark, sf).repartition(16, "perm_idx", "task").write.parquet(f"{base}/choices")
     feeds = [
         streams.stream_generations(
-            spark, f"{base}/texts", examples, f"{base}/text-scores", f"{base}/text-log", 8
+            spark, f"{base}/texts", f"{base}/gold", f"{base}/text-scores", f"{base}/text-log", 8
         ),
         streams.stream_choices(
             spark, f"{base}/choices", f"{base}/slots", f"{base}/choice-log", 8
@@ -833,5 +864,6 @@ QUERIES = {
     "infer_choice_batch": infer_choice_batch,
     "infer_summary": infer_summary,
     "run_grid": run_grid,
+    "rejects": rejects,
     "stream_scores": stream_scores,
 }
