@@ -439,6 +439,7 @@ def _tokens(x: str) -> str:
 
 BODIES = {
     "read_examples": _fingerprint("exs"),
+    "read_examples_array": _fingerprint("exs"),
     "read_benchmark_split": """
         SELECT CASE WHEN lang = 'en' THEN 'Other' ELSE 'Benchmark' END AS split, lang, count(*) AS n,
           sum(length(new))::BIGINT AS chars FROM exs GROUP BY ALL""",

@@ -80,6 +80,19 @@ def read_examples(spark: SparkSession, sf: str) -> DataFrame:
     return _fingerprint(stored.read_examples(spark, path))
 
 
+def read_examples_array(spark: SparkSession, sf: str) -> DataFrame:
+    """Examples written as one array file in order of id, and read back in parallel."""
+    path = session.fresh_path(spark, "examples-array")
+    examples = t.examples(spark, sf)
+    ends = examples.agg(F.min("example_id").alias("first"), F.max("example_id").alias("last")).first()
+    fields = F.to_json(F.struct(*schemas.EXAMPLE_FIELDS.names))
+    front = F.when(F.col("example_id") == ends.first, "[").otherwise(",")
+    back = F.when(F.col("example_id") == ends.last, "]").otherwise("")
+    lines = examples.select("example_id", F.concat(front, fields, back).alias("value"))
+    lines.coalesce(1).sortWithinPartitions("example_id").select("value").write.text(path)
+    return _fingerprint(stored.read_examples(spark, path, array_file=True))
+
+
 def read_benchmark_split(spark: SparkSession, sf: str) -> DataFrame:
     path = session.fresh_path(spark, "splits")
     split = F.when(F.col("lang") == "en", "Other").otherwise("Benchmark")
@@ -794,6 +807,7 @@ def stream_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "read_examples": read_examples,
+    "read_examples_array": read_examples_array,
     "read_benchmark_split": read_benchmark_split,
     "write_enriched": write_enriched,
     "read_results": read_results,
