@@ -100,6 +100,12 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def lowered(text: str) -> str:
+    """The text in lower case with every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c in text for x in [c.lower()])
+
+
 def list_array(parts: Iterable[np.ndarray], kind: pa.DataType) -> pa.Array:
     """A column of lists from one array for each row."""
     parts = list(parts)

@@ -2,8 +2,8 @@
 
 At most ``SAMPLE`` labelled documents are used, chosen by a hash of doc_id: a documented bound, so
 the sample can be broadcast and its features can go to the driver whatever the corpus's size.
-Documents in the held-out fold are never among them. Texts of more than ``FIT_WORDS`` words are left
-out of fitting; every text is scored whole.
+Documents in the held-out fold are never among them. Texts of any length are fitted on and scored
+whole.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from llm.common import crc_fold
 
 SAMPLE = 8_000
-FIT_WORDS = 4_000
 
 
 def sample(labels: DataFrame, column: str, bound: int = SAMPLE) -> DataFrame:

@@ -1,7 +1,10 @@
 """License scans by conditional compression.
 
-The words around a licence cue, as many each side as the longest template can cover, are candidate
-blocks, joined where they meet. Line ends and marks of comments count as blanks. Each template is
+The words around a cue, as many each side as the longest template can cover, are candidate
+blocks, joined where they meet. Cues come from the templates: a place must agree with so many of a
+template's words that it holds one of any quarter of them and one more; of these the least common
+are looked for, all at once, by an Aho-Corasick automaton, so nothing that could be confirmed is
+passed over. Line ends and marks of comments count as blanks. Each template is
 aligned with a block's words, and every place whose exact differences stay within bounds is a
 candidate. Its words are compressed by themselves and with the template as a zstandard raw
 dictionary. The bytes that a template saves rank the candidates, and those kept do not overlap: a
@@ -19,15 +22,18 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator, Mapping
 from itertools import islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from llm.common import slices
+from llm.common import lowered, slices
 
 # Notices by which works are put under public licences.
 TEMPLATES = {
@@ -48,7 +54,8 @@ TEMPLATES = {
     "CC0-1.0": "Released under CC0 1.0 Universal.",
     "All-rights-reserved": "All rights reserved.",
 }
-CUE = re.compile(r"licen[cs]e|copyright|all\W+rights\W+reserved|released\W+under|permission\W+is\W+hereby\W+granted|redistribution\W+and\W+use|free\W+software|spdx-", re.I)
+# Words that are common in any English text, and are cues only where nothing else is left.
+COMMON = frozenset("a all and any are as at be by charge conditions either file following for free from general hereby if in including is it may modify not obtain of on or other person program provided published public redistribute source subject terms that the this to under use version with without work you your".split())
 WORD = re.compile(r"[\w+-]+(?:\.\d+)*")
 #: Characters that are cut at first in search of the words before a cue.
 REACH = 400
@@ -60,28 +67,39 @@ def words(text: str) -> list[tuple[str, int, int]]:
     return [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
 
 
-def blocks(text: str, reach: int) -> list[tuple[int, int]]:
+def cues_of(wanted: list[str]) -> set[str]:
+    """Words of a template of which every place that can be confirmed holds at least one."""
+    needed = len(wanted) - math.ceil(AGREED * len(wanted)) + 1
+    times = Counter(wanted)
+    out: set[str] = set()
+    for word in sorted(times, key=lambda w: (w in COMMON, -len(w), w)):
+        if needed <= 0:
+            break
+        out.add(word)
+        needed -= times[word]
+    return out
+
+
+def blocks(text: str, hits: list[tuple[int, int]], reach: int) -> list[tuple[int, int]]:
     """Places of candidate blocks: ``reach`` words each side of a cue across line ends, joined where they meet."""
     out: list[tuple[int, int]] = []
-    for m in CUE.finditer(text):
-        end = m.end()
-        # a cue may begin or end inside a word, whose rest counts as one
-        for x in islice(WORD.finditer(text, m.end()), reach + 1):
+    for begin, end in hits:
+        for x in islice(WORD.finditer(text, end), reach + 1):
             end = x.end()
-        if out and m.start() <= out[-1][1]:
-            out[-1] = (out[-1][0], end)
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
             continue
         low, size = 0, REACH
         while True:
-            low = max(0, m.start() - size)
-            before = [x.start() for x in WORD.finditer(text, low, m.start())]
+            low = max(0, begin - size)
+            before = [x.start() for x in WORD.finditer(text, low, begin)]
             if low == 0 or len(before) > reach + 1:
                 break
             size *= 2
         # a first word may be cut, unless the text begins there
         start = before[-reach - 1] if len(before) > reach + 1 else low
         if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], end)
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
             out.append((start, end))
     return out
@@ -106,11 +124,23 @@ class Scanner:
             np.add.at(self.counts[i], wanted, 1)
         self.least = AGREED * self.counts.sum(axis=1)
         self.reach = math.ceil(self.counts.sum(axis=1).max(initial=0) / AGREED)
+        self.machine = ahocorasick.Automaton()
+        for cue in set().union(*(cues_of([w for w, _, _ in words(text)]) for text in templates.values())):
+            self.machine.add_word(cue, len(cue))
+        self.machine.make_automaton()
+
+    def cues(self, text: str) -> list[tuple[int, int]]:
+        """Where cues stand as words or at the beginning of one, in order."""
+        low = lowered(text)
+        if not len(self.machine):
+            return []
+        found = ((at + 1 - length, at + 1) for at, length in self.machine.iter(low))
+        return [(a, b) for a, b in found if not (a and (low[a - 1].isalnum() or low[a - 1] in "_+-")) and not low[b : b + 1].isalpha()]
 
     def scan(self, text: str) -> list[tuple]:
         """(start, end, template, plain size, size given the template, words added, missing, agreed share)."""
         out = []
-        for start, end in blocks(text, self.reach):
+        for start, end in blocks(text, self.cues(text), self.reach):
             found = np.array([(self.number.get(m[0].lower(), 0), m.start(), m.end()) for m in WORD.finditer(text, start, end)], np.int64).reshape(-1, 3)
             ids = found[:, 0]
             have = np.minimum(self.counts, np.bincount(ids, minlength=len(self.number) + 1)).sum(axis=1)
@@ -123,14 +153,36 @@ class Scanner:
                     size, less = len(self.plain.compress(data)), len(given.compress(data))
                     if size - less >= SAVED * most:
                         hits.append((less - size, -share, i, left, right, name, size, less, added, missing, share))
-            kept: list[tuple] = []
+            kept, taken = [], Taken()
             for _, _, _, left, right, *rest in sorted(hits):
-                if all(right <= x[0] or left >= x[1] for x in kept):
+                if taken.take(left, right):
                     kept.append((left, right, *rest))
             out += sorted(kept)
         return out
 
 
+class Taken:
+    """Spans that do not overlap, in order."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def before(self, place: int) -> int:
+        """Where the last span that begins before a place ends."""
+        i = bisect_left(self.starts, place)
+        return self.ends[i - 1] if i else 0
+
+    def take(self, start: int, end: int) -> bool:
+        """Add a span, unless it overlaps one."""
+        i = bisect_left(self.starts, end)
+        if i and self.ends[i - 1] > start:
+            return False
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+        return True
+
+
 def places(ids: np.ndarray, wanted: list[int]) -> list[tuple[int, int, int, int, float]]:
     """Where a block holds a template: places that do not overlap, best first, with their differences.
 
@@ -147,10 +199,12 @@ def places(ids: np.ndarray, wanted: list[int]) -> list[tuple[int, int, int, int,
     bound = len(wanted) * (1 / AGREED - AGREED)
     ends = 1 + np.flatnonzero((row[1:] // cost <= bound) & (row[1:] < row[:-1] + cost))
     out: list[tuple[int, int, int, int, float]] = []
+    taken = Taken()
     for end in ends[np.argsort(row[ends], kind="stable")].tolist():
-        if any(a < end <= b for a, b, *_ in out):
+        last = taken.before(end)
+        if last >= end:
             continue
-        low = max([0, end - math.ceil(len(wanted) / AGREED), *(b for _, b, *_ in out if b < end)])
+        low = max(0, end - math.ceil(len(wanted) / AGREED), last)
         pairs = _agreed(ids[low:end].tolist(), wanted)
         if not pairs:
             continue
@@ -158,6 +212,7 @@ def places(ids: np.ndarray, wanted: list[int]) -> list[tuple[int, int, int, int,
         missing, added = len(wanted) - agreed, b - a - agreed
         if agreed >= AGREED * len(wanted) and agreed >= AGREED * (b - a):
             out.append((a, b, added, missing, agreed / (agreed + added + missing)))
+            taken.take(a, b)
     return out
 
 
@@ -191,7 +246,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
         for batch in slices(batches, 1000):
-            rows = [(doc_id, *hit) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text and CUE.search(text) for hit in scanner.scan(text)]
+            rows = [(doc_id, *hit) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text for hit in scanner.scan(text)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)], names=names)
 

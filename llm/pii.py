@@ -28,7 +28,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from llm.common import slices
+from llm.common import lowered, slices
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "address", "account")
@@ -66,6 +66,10 @@ NAMES = r"(?:(?:(?:de|du|des|del|la|las|le|les|los|el) |[dl]['’])*(?=[^\W\d_])
 RUE = re.compile(NAMES + r"(?:,? [0-9]{5} [^\W\d_][\w'-]*)?")
 CALLE = re.compile(NAMES + r",? (?:n\.?[º°] ?|núm\. )?[0-9]{1,5}(?: ?[A-Za-z](?![\w]))?(?![0-9])(?:, [0-9]{5} [^\W\d_][\w'-]*)?")
 KEY = re.compile(r"[A-Za-z0-9_]{12,}")
+HOST = re.compile(r"[\w-]+(?:\.[\w-]+)+")
+HOST_END = re.compile(r"[/:?#]")
+#: From how many characters without a digit on no identifier can begin behind a cue.
+BARREN = 64
 #: How far left of a street word an address may begin.
 REACH = 64
 
@@ -75,12 +79,6 @@ def luhn(digits: str) -> bool:
     return (total + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
 
 
-def lowered(text: str) -> str:
-    """The text in lower case with every character at its place."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c in text for x in [c.lower()])
-
-
 def iban(text: str) -> int:
     """How many characters from the start hold an IBAN with the right check sum; 0 if none do."""
     for end in range(len(text), 0, -1):
@@ -91,6 +89,52 @@ def iban(text: str) -> int:
     return 0
 
 
+class Run:
+    """The run of some characters that a place stands in, found once for all places inside it."""
+
+    def __init__(self, characters: str) -> None:
+        self.pattern, self.stop, self.digit = re.compile(f"[{characters}]*"), 0, -1
+
+    def end(self, text: str, place: int) -> int:
+        if place >= self.stop:
+            self.stop = self.pattern.match(text, place).end()
+            self.digit = max(text.rfind(d, place, self.stop) for d in "0123456789")
+        return self.stop
+
+    def barren(self, text: str, place: int) -> bool:
+        """Whether the run goes on for long and has no digit any more."""
+        return self.end(text, place) - place > BARREN and self.digit < place
+
+
+class Cues:
+    """Which cues of a text need no parser, because the run behind them holds no digit.
+
+    Parsers read such a run to its end, so a text that repeats a cue would be read as often as it does.
+    Behind an account or password cue the parsers cannot get beyond a long run, and what they find in it has no
+    digit. Behind a token cue a name of letters may reach its end: what follows there is tried once.
+    """
+
+    def __init__(self) -> None:
+        self.value, self.token, self.name = Run("A-Za-z0-9_/+-"), Run("A-Za-z0-9_/+.=~-"), Run("A-Za-z_-")
+        self.tried = -1
+
+    def parse(self, cue: str, text: str, at: int) -> tuple[int, int] | None:
+        if cue not in TOKENS:
+            barren = self.value.barren(text, at) and not (cue in PASSWORDS and PASSWORD.match(text, at))
+            return None if barren else identifier(cue, text, at)
+        if not self.token.barren(text, at):
+            return identifier(cue, text, at)
+        if text[at] not in "_-":
+            return None
+        end = self.name.end(text, at)
+        if end == self.tried or self.token.stop - end > BARREN // 2:
+            return None
+        found = identifier(cue, text, at)
+        if found is None:
+            self.tried = end
+        return found
+
+
 def identifier(cue: str, text: str, at: int) -> tuple[int, int] | None:
     """Where the identifier behind a cue that ends before ``at`` begins and ends."""
     if text[at : at + 1] == "s" and not text[at + 1 : at + 2].isalnum():
@@ -134,6 +178,8 @@ class Finder:
         found: list[tuple[int, int, int]] = []
         email = ip = card = url = address = account = 0  # where the last match of a kind ended
         before = -1  # where the last digit ended
+        cues = Cues()
+        stop = last = sign = host = -1  # of the run behind a scheme: its end, its end as a url, its last @, a host that is none
         for at, (kind, length, word) in self.machine.iter(lowered(text)):
             start = at - length + 1
             if kind == "digit":
@@ -161,12 +207,22 @@ class Finder:
                 if (m := PHONE.match(text, start)) and 10 <= sum(x.isdigit() for x in m[0]) <= 15:
                     found.append((start, 3, m.end()))
             elif kind == "url":
-                if start >= url and (m := URL.match(text, at + 1)):
-                    end = at + 1 + len(m[0].rstrip(".,;:!?)]}"))
-                    host = re.split(r"[/:?#]", text[at + 1 : end].rpartition("@")[2] or "", maxsplit=1)[0]
-                    if re.fullmatch(r"[\w-]+(\.[\w-]+)+", host) or host == "localhost":
-                        url = end
-                        found.append((start, 4, end))
+                if start < url:
+                    continue
+                if at + 1 >= stop:
+                    if not (m := URL.match(text, at + 1)):
+                        continue
+                    stop, last = m.end(), at + 1 + len(m[0].rstrip(".,;:!?)]}"))
+                    sign = text.rfind("@", at + 1, last)
+                first = max(at, sign) + 1
+                if first < last and first != host:
+                    ends = HOST_END.search(text, first, last)
+                    name = text[first : ends.start() if ends else last]
+                    if HOST.fullmatch(name) or name == "localhost":
+                        url = last
+                        found.append((start, 4, url))
+                    else:
+                        host = first
             elif kind == "address":
                 low = max(address, start - REACH)
                 if start >= address and text.startswith(word, start) and not text[at + 1 : at + 2].isalnum() and (m := HOUSE.search(text[low:start])):
@@ -199,7 +255,7 @@ class Finder:
                     address = m.end()
                     found.append((start, 5, address))
             elif kind == "cue":
-                if start >= account and (place := identifier(word, text, at + 1)):
+                if start >= account and (place := cues.parse(word, text, at + 1)):
                     account = place[1]
                     found.append((place[0], 6, account))
             elif start >= account and text.startswith(word, start) and not text[start - 1 : start].isalnum() and (m := KEY.match(text, at + 1)):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import as_bytes, crc_fold, mix, slices
-from llm.labelled import FIT_WORDS, SAMPLE, fitting_rows
+from llm.labelled import SAMPLE, fitting_rows
 
 BITS = 15
 DIM = 32
@@ -175,11 +175,9 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int =
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, known = Tokens(), vectors.value
-        for batch in batches:
-            tokens = [cache.tokens(x) for x in as_bytes(batch.column(1))]
-            keep = [i for i, x in enumerate(tokens) if len(x) <= 2 * FIT_WORDS]
-            part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([pooled(known, tokens[i]).tolist() for i in keep], pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
+        for batch in slices(batches, 1000):
+            x = [pooled(known, cache.tokens(t)).tolist() for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "label", "x"])
 
     rows = fitting_rows(docs, labels, "quality", bound).select("doc_id", "text", "label").mapInArrow(features, "doc_id long, label int, x array<double>").collect()
     rows.sort(key=lambda r: (r.doc_id, r.x))

@@ -7,7 +7,7 @@ a shrunken log-odds of its class; on three tenths filters, embeddings and output
 gradient descent, where only the window that won a maximum passes a gradient. The rest calibrates the
 output and a threshold for each language; language is never an input of the score.
 
-The model (about 6 MB) is fitted on a bounded sample (see ``labelled``) and broadcast. Scoring reads
+The model (about 6 MB) is fitted on a bounded sample (see ``labelled`` and ``digest``) and broadcast. Scoring reads
 each text once and shuffles nothing.
 
 Cases: null, empty and blank texts get the score of no evidence; languages that are null or were not
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.common import as_bytes, crc_fold, slices
-from llm.labelled import FIT_WORDS, SAMPLE, fitting_rows
+from llm.labelled import SAMPLE, fitting_rows
 
 BITS = 16
 STARTS = (7, 5)
@@ -62,6 +62,22 @@ class Buckets(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+def digest(codes: np.ndarray) -> np.ndarray:
+    """What fitting needs of a text: all of it, or of a long one each word where it stands first.
+
+    Maxima do not see how often a window occurs. Of a text of more than ``PIECE`` words every
+    word's first place is kept with its neighbours, in order, so all of its words are there and what
+    goes to the driver is bounded by the number of buckets; words beside a gap become neighbours.
+    """
+    if len(codes) <= PIECE:
+        return codes
+    first = np.unique(codes >> BITS * len(STARTS), return_index=True)[1]
+    kept = np.zeros(len(codes) + 2, bool)
+    for side in (0, 1, 2):
+        kept[first + side] = True
+    return codes[kept[1:-1]]
+
+
 def _parts(codes: np.ndarray) -> list[np.ndarray]:
     """Rows of the embedding table, which has one section for words and one for each beginning."""
     return [(codes >> BITS * k & (1 << BITS) - 1) + (k << BITS) for k in range(len(STARTS) + 1)]
@@ -196,11 +212,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, bound: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Buckets()
-        for batch in batches:
-            codes = [cache.words(x) for x in as_bytes(batch.column(1))]
-            keep = [i for i, x in enumerate(codes) if len(x) <= FIT_WORDS]
-            part = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array([codes[i].tobytes() for i in keep], pa.binary())], names=["doc_id", "lang", "label", "codes"])
+        for batch in slices(batches, 500):
+            codes = [digest(cache.words(x)).tobytes() for x in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(codes, pa.binary())], names=["doc_id", "lang", "label", "codes"])
 
     rows = fitting_rows(docs, labels, "toxic", bound).select("doc_id", "text", "lang", "label").mapInArrow(run, "doc_id long, lang string, label int, codes binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.codes)))
