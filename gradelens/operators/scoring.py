@@ -120,6 +120,36 @@ def orderings_by_position(decoded: DataFrame, keys: DataFrame) -> DataFrame:
     return position_lists(answers_by_example(decoded), keys)
 
 
+def choice_records(responses: DataFrame, keys: DataFrame) -> DataFrame:
+    """What is kept of every example: picks, right letters and all letters' scores, by ordering.
+
+    The last delivered answer of an ordering counts, as in ``answers_by_example``; an ordering without
+    an answer has a null pick and null scores. Rows are folded by ordering before anything is gathered, and
+    an example has at most ``MOST_ORDERINGS`` of them.
+    """
+    scored = joins.task_scores(responses).where(F.col("perm_idx").between(0, MOST_ORDERINGS - 1))
+    pick = an.pick_index(F.col("scores"))
+    rank = joins.delivery_time() * 4 + pick
+    last = scored.groupBy(*CELL, "example_id", "perm_idx").agg(
+        F.max(F.struct(rank.alias("rank"), pick.alias("pick"), "scores")).alias("last")
+    )
+    found = last.groupBy(*CELL, "example_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("perm_idx", "last"))).alias("_found")
+    )
+    keyed = fanout.with_key(found, keys)
+    places = F.sequence(F.lit(0), F.length("key") - 1)
+    letters = an.letter_array(4)
+    return keyed.select(
+        *CELL,
+        "example_id",
+        "lang",
+        F.col("type_correct").alias("ground_truth"),
+        F.split("key", "").alias("correct_answers"),
+        F.transform(places, lambda p: F.get(letters, F.col("_found")[p]["pick"])).alias("model_answers"),
+        F.transform(places, lambda p: F.col("_found")[p]["scores"]).alias("symbol_scores"),
+    )
+
+
 def score_slots(slots: DataFrame, keys: DataFrame) -> DataFrame:
     """Right answers per example and whether every ordering was answered right."""
     return _score_lists(position_lists(slots, keys))

@@ -630,3 +630,33 @@ def test_counting_rejects_reads_nothing_twice(spark, tmp_path):
     assert scans[0] == scans[1]
     assert ev.evaluate(*tables, seen).count() == 2
     assert seen.counts()["choices", "unplaced"] == 1
+
+
+def test_a_language_run_leaves_the_other_cells_alone(spark, tmp_path):
+    def client_for(model):
+        def make():
+            class Client:
+                def generate(self, prompt, **options):
+                    return "1 a\n2 c" if "Java" in prompt else "1 x"
+
+            return Client()
+
+        return make
+
+    examples = table(spark, example(1), example(2, lang="python"), example(3, review="r"))
+    paths = [str(tmp_path / n) for n in ("g", "c", "r")]
+    run = lambda lang: {(r.task, r.value, r.n) for r in grid.run_grid(spark, examples, client_for, ("m",), *paths, conditions=("plain",), tasks=("ACR",), lang=lang).collect()}
+    assert run(None) == {("ACR", 0.0, 3)}
+    assert run("Java") == {("ACR", 100.0, 2)} and run("C#") == set()
+    assert run(None) == {("ACR", 0.0, 3)}
+    assert spark.read.parquet(grid.of_language(paths[0], "JAVA")).count() == 2
+
+
+def test_records_keep_the_scores_of_every_ordering(spark):
+    keys = fanout.answer_keys(table(spark, example(1)))
+    given = [answer("B", 0, 9), answer("C", 0, 1), answer("A", 3, 2), answer("A", 40, 2)]
+    row = scoring.choice_records(spark.createDataFrame(given, schemas.CHOICES), keys).first()
+    low = v.UNSEEN_LOGPROB
+    assert row.model_answers == ["B", None, None, "A", None, None] and len(row.correct_answers) == 6
+    assert row.symbol_scores == [[low, -0.1, low, low], None, None, [-0.1, low, low, low], None, None]
+    assert row.ground_truth == "modify"

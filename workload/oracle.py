@@ -570,6 +570,17 @@ BODIES = {
           {_tokens('pred')} AS p FROM pairs)""",
     "matching_answers": f"SELECT {CELL}, example_id, matches::INT AS matches FROM tallies",
     "orderings_by_position": f"SELECT {CELL}, example_id, model_answers, correct_answers FROM tallies",
+    "choice_records": f"""
+        SELECT {CELL}, s.example_id, e.type_correct AS ground_truth,
+          string_agg(sym, '' ORDER BY perm_idx) AS correct_answers,
+          string_agg(CASE WHEN score_a >= greatest(score_b, score_c, score_d) THEN 'A'
+            WHEN score_b >= greatest(score_c, score_d) THEN 'B'
+            WHEN score_c >= score_d OR k = 3 THEN 'C' ELSE 'D' END, '' ORDER BY perm_idx) AS model_answers,
+          md5(string_agg(concat_ws(',', round(score_a * 1000000)::BIGINT, round(score_b * 1000000)::BIGINT,
+            round(score_c * 1000000)::BIGINT, round(score_d * 1000000)::BIGINT), ',' ORDER BY perm_idx)) AS scores_md5
+        FROM (SELECT * FROM scored
+              QUALIFY row_number() OVER (PARTITION BY {CELL}, example_id, perm_idx ORDER BY attempt DESC) = 1) s
+        JOIN exs e ON e.example_id = s.example_id GROUP BY ALL""",
     "refine_report": f"""
         SELECT model, condition, count(*) AS n, sum(em)::BIGINT AS em, sum(em_trim)::BIGINT AS em_trim,
           sum(em_no_space)::BIGINT AS em_no_space, sum(em_no_comment)::BIGINT AS em_no_comment, {PERCENTS}

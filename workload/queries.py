@@ -564,6 +564,20 @@ def orderings_by_position(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def choice_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores are shown in millionths, one after the other."""
+    keys = fanout.answer_keys(t.examples(spark, sf))
+    shown = F.transform(F.flatten("symbol_scores"), lambda x: F.round(x * 1_000_000).cast("bigint").cast("string"))
+    return scoring.choice_records(t.choices(spark, sf), keys).select(
+        *scoring.CELL,
+        "example_id",
+        "ground_truth",
+        F.array_join("correct_answers", "").alias("correct_answers"),
+        F.array_join("model_answers", "").alias("model_answers"),
+        _md5(F.array_join(shown, ",")).alias("scores_md5"),
+    )
+
+
 # --- reports -------------------------------------------------------------------------------
 
 
@@ -859,6 +873,7 @@ QUERIES = {
     "jaccard": jaccard,
     "matching_answers": matching_answers,
     "orderings_by_position": orderings_by_position,
+    "choice_records": choice_records,
     "refine_report": refine_report,
     "invariant_accuracy": invariant_accuracy,
     "invariant_change_type": _invariant_of("CTR"),
