@@ -41,19 +41,33 @@ TOOLS = {"reply": {"n_chars": "integer", "text": "string", "turn": "integer"}, "
 
 
 def tool_tables(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Turns as tool calls and results: an assistant turn is the result of the turn before it."""
+    """Turns as tool calls and results: an assistant turn is the result of the turn before it.
+
+    Arguments, order and deliveries are disturbed by rules on conv_id and turn: arguments with a
+    wrong type, without a field, with one too many, or no JSON at all; unknown tools; conversations
+    told backwards, so every call comes before what it depends on; calls that also depend on the next
+    ones, which makes cycles; calls and results sent twice.
+    """
+    conv, turn, text = F.col("conv_id"), F.col("turn"), F.col("text")
     key = lambda turn: F.concat_ws("-", F.lit("c"), "conv_id", turn.cast("string"))
-    turn = F.col("turn")
+    size, number = F.length("text").alias("n_chars"), (conv + turn) % 11
+    arguments = F.when(number == 1, F.to_json(F.struct(turn.cast("string").alias("turn"), "text", size)))
+    arguments = arguments.when(number == 2, F.to_json(F.struct("text", "turn")))
+    arguments = arguments.when(number == 3, F.to_json(F.struct("turn", F.lit(True).alias("note"), "text", size)))
+    arguments = arguments.when(number == 4, F.concat(F.lit("{"), "text")).when(number == 5, F.lit(None))
+    before, behind = [key(turn - 1), key(turn - 2)], [key(turn + 1), key(turn + 2)]
     calls = conversations.where("role <> 'assistant'").select(
         "conv_id",
         key(turn).alias("call_id"),
-        turn.alias("position"),
-        F.when(F.col("role") == "system", "configure").otherwise("reply").alias("name"),
-        F.to_json(F.struct("turn", "text", F.length("text").alias("n_chars"))).alias("arguments"),
-        F.array(key(turn - 1), key(turn - 2)).alias("depends_on"),
+        F.when(conv % 4 == 1, -turn).otherwise(turn).alias("position"),
+        F.when(number == 6, "search").when(F.col("role") == "system", "configure").otherwise("reply").alias("name"),
+        arguments.otherwise(F.to_json(F.struct("turn", "text", size))).alias("arguments"),
+        F.when((conv % 8 == 2) & (turn <= 2), F.array(*before, *behind)).otherwise(F.array(*before)).alias("depends_on"),
     )
-    results = conversations.where("role = 'assistant'").select("conv_id", key(turn - 1).alias("call_id"), turn.alias("position"), F.col("text").alias("content"))
-    return calls, results
+    again = calls.where(conv % 5 == 0).withColumns({"position": F.col("position") + 1000, "arguments": F.lit("{}"), "name": F.lit("late")})
+    results = conversations.where("role = 'assistant'").select("conv_id", key(turn - 1).alias("call_id"), turn.alias("position"), text.alias("content"))
+    late = results.where(conv % 3 == 0).withColumns({"position": F.col("position") + 1000, "content": F.lit("late")})
+    return calls.unionByName(again), results.unionByName(late)
 
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,21 +143,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def op5_sql() -> str:
-    """The tool-call query in DuckDB's SQL. Turns follow what they depend on, so a call's place is its turn."""
+    """The tool-call query in DuckDB's SQL.
+
+    Calls of a conversation with at most two turns between them form a chain. Told backwards, the
+    chain's first turn is the place of all of it; a chain that begins at turn 2 or before and has
+    several calls is a cycle where the first turns depend on the next ones.
+    """
     return """
     WITH calls AS (
-        SELECT conv_id, turn, 'c-' || conv_id || '-' || turn AS call_id,
-               CASE WHEN role = 'system' THEN 'configure' ELSE 'reply' END AS name, text
+        SELECT conv_id, turn, 'c-' || conv_id || '-' || turn AS call_id, (conv_id + turn) % 11 AS number,
+               CASE WHEN (conv_id + turn) % 11 = 6 THEN 'search' WHEN role = 'system' THEN 'configure' ELSE 'reply' END AS name, text
         FROM conversations WHERE role <> 'assistant'),
+    gaps AS (SELECT *, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS gap FROM calls),
+    chains AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS chain FROM gaps),
+    placed AS (
+        SELECT *, min(turn) OVER (PARTITION BY conv_id, chain) AS first, count(*) OVER (PARTITION BY conv_id, chain) AS calls,
+               row_number() OVER (PARTITION BY conv_id, chain ORDER BY turn) - 1 AS number_in_chain
+        FROM chains),
+    ordered AS (
+        SELECT *, conv_id % 8 = 2 AND first <= 2 AND calls > 1 AS cyclic,
+               CASE WHEN conv_id % 4 = 1 THEN -first ELSE turn END AS place, CASE WHEN conv_id % 4 = 1 THEN number_in_chain ELSE 0 END AS step
+        FROM placed),
     results AS (
-        SELECT conv_id, turn - 1 AS turn, count(*) AS n_results, min(text) AS content
-        FROM conversations WHERE role = 'assistant' GROUP BY ALL)
-    SELECT conv_id, call_id, turn AS place, CAST(0 AS BIGINT) AS step, name,
-           coalesce(n_results, 0) AS n_results, '' AS errors,
-           sha256('{"arguments":{"n_chars":' || length(text) || ',"text":' || to_json(text) || ',"turn":' || turn
-                  || '},"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(to_json(content), 'null') || '}')
+        SELECT conv_id, turn - 1 AS turn, count(*) AS sent, min(text) AS content
+        FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+    checked AS (
+        SELECT *,
+               CASE WHEN number IN (4, 5) THEN 'arguments' WHEN number = 6 THEN 'tool' WHEN number = 1 THEN 'type turn'
+                    WHEN number = 2 THEN 'missing n_chars' WHEN number = 3 THEN 'unknown note' ELSE '' END AS errors,
+               CASE WHEN number IN (4, 5) THEN 'null' ELSE
+                    '{' || CASE WHEN number = 2 THEN '' ELSE '"n_chars":' || length(text) || ',' END
+                    || CASE WHEN number = 3 THEN '"note":true,' ELSE '' END || '"text":' || to_json(text) || ',"turn":'
+                    || CASE WHEN number = 1 THEN '"' || turn || '"' ELSE CAST(turn AS VARCHAR) END || '}' END AS arguments
+        FROM ordered LEFT JOIN results USING (conv_id, turn))
+    SELECT conv_id, call_id, CASE WHEN NOT cyclic THEN place END AS place, CASE WHEN NOT cyclic THEN step END AS step, name,
+           coalesce(CASE WHEN conv_id % 3 = 0 THEN 2 * sent ELSE sent END, 0) AS n_results, errors,
+           sha256('{"arguments":' || arguments || ',"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(to_json(content), 'null') || '}')
                AS canonical_sha256
-    FROM calls LEFT JOIN results USING (conv_id, turn)
+    FROM checked
     """
 
 

@@ -1,23 +1,28 @@
 """Linking of tool calls: calls meet results by identifier, in topological order, as canonical JSON.
 
-``link`` uses DataFrame functions only. Calls and results are hash-joined on (conv_id, call_id).
+``link`` uses DataFrame functions only. Calls and results are hash-joined on (conv_id, call_id), the
+results folded to one row for each identifier as the side that is hashed.
 Arguments are parsed once into a variant and checked against the schema of the call's tool: required
 fields, types, and no other fields. Each call becomes one canonical JSON text: keys in order, no
 white space, nulls written out.
 
 Order: a call stands behind the calls whose results it uses. Its place is the greatest of (its own
 position, 0) and (place, step + 1) of every call it depends on, so sorting by (place, step,
-position, call_id) is a topological order that keeps the given one where that is possible. Calls
-that follow what they depend on, the usual case, are settled by one join; only chains that stand in
-the wrong order go round by round, each round over the calls that changed. No conversation is
-gathered into one task. A call whose step exceeds the number of calls in its conversation lies on or
-behind a cycle and gets a null place.
+position, call_id) is a topological order that keeps the given one where that is possible. Where
+every call follows what it depends on, the usual case, one join settles the conversation. Otherwise
+only calls from the first one on that a link the wrong way puts too early can move, and only they
+are carried on, by pointer doubling: a link to a call that itself depends on one other call is
+replaced by a link to that other call, as many steps further, and links to calls that depend on
+nothing end. Links never grow in number. Chains and trees settle in rounds that grow with the
+logarithm of their depth; where calls depend on several unsettled ones, a round settles at least
+those that depend on settled calls only. When no link ends any more, what still has links lies on or
+behind a cycle and gets a null place. No conversation is gathered into one task.
 
 Cases: repeated calls of one identifier count once (the one that is first in position, then by
 arguments); of repeated results the first in position, then by content, counts, and ``n_results``
 says how many there were. Calls without a result have null content; results without a call are left
 out of the rows and counted by ``orphans``. Dependencies on unknown identifiers, on the call itself,
-and null ones are ignored. Arguments that are null or no JSON object are invalid and serialised as
+and null ones are ignored; repeated ones count once. Arguments that are null or no JSON object are invalid and serialised as
 null. Unknown tools are invalid. Rows with a null conv_id, call_id or position have no identity and
 are left out. Other columns are not read. Empty tables give no rows.
 """
@@ -29,7 +34,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import cut
+from llm.common import cut, salted
 
 #: JSON types by the names Spark gives to parts of a variant.
 TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "object": ("OBJECT",), "array": ("ARRAY",)}
@@ -63,40 +68,50 @@ def problems(name: Column, arguments: Column, parsed: Column, schemas: Mapping[s
     return F.when(~is_object, F.array(F.lit("arguments"))).otherwise(out)
 
 
-def order(spark: SparkSession, calls: DataFrame) -> DataFrame:
-    """conv_id, call_id, place, step: sorting by (place, step, position, call_id) is a topological order."""
-    nodes = cut(spark, calls.select(*KEY, "position", "depends_on"), "calls")
-    uses = nodes.select(*KEY, F.explode("depends_on").alias("needed")).where("needed is not null and needed <> call_id").distinct()
-    edges = uses.join(nodes.select("conv_id", F.col("call_id").alias("needed"), F.col("position").alias("needed_position")), ["conv_id", "needed"])
-    edges = cut(spark, edges, "edges")
-    size = nodes.groupBy("conv_id").agg(F.count("*").alias("calls"))
-    placed = cut(spark, nodes.select(*KEY, F.col("position").cast("long").alias("place"), F.lit(0).cast("long").alias("step"), F.lit(True).alias("changed")), "places")
-    closed = None
+#: Steps are counted up to here; on a cycle they would double for ever.
+FAR = 1 << 40
+
+
+def _unsettled(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """Links between calls that a link the wrong way can move or close: ``call_id`` uses ``needed``."""
+    uses = nodes.select(*KEY, "position", F.explode("depends_on").alias("needed")).where("needed is not null and needed <> call_id").distinct()
+    links = uses.join(nodes.select("conv_id", F.col("call_id").alias("needed"), F.col("position").alias("needed_position")), ["conv_id", "needed"])
+    links = cut(spark, links, "links")
+    wrong = F.col("needed_position") >= F.col("position")
+    bounds = links.groupBy("conv_id").agg(F.count("*").alias("n"), F.min(F.when(wrong, F.col("position"))).alias("low"))
+    bounds = cut(spark, bounds.where("low is not null"), "bounds")
+    return cut(spark, salted(links, bounds, "conv_id").where("position >= low and needed_position >= low").drop("low"), "links")
+
+
+def _moved(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """conv_id, call_id, place, step of the calls of ``links``; null place and step on or behind a cycle."""
+    at = F.struct(F.col("position").alias("place"), F.lit(0).cast("long").alias("step"))
+    ends = links.select(*KEY, at.alias("at")).unionByName(links.select("conv_id", F.col("needed").alias("call_id"), F.struct(F.col("needed_position").alias("place"), F.lit(0).cast("long").alias("step")).alias("at")))
+    places = cut(spark, ends.distinct(), "places")
+    links = links.select(*KEY, "needed", F.lit(1).cast("long").alias("steps"))
     while True:
-        moved = placed.where("changed").select("conv_id", F.col("call_id").alias("needed"), F.struct("place", (F.col("step") + 1).alias("step")).alias("after"))
-        # a first pass over all edges; afterwards only what depends on calls that moved
-        push = edges.join(moved, ["conv_id", "needed"]).groupBy(KEY).agg(F.max("after").alias("after"))
-        own = F.struct("place", "step")
-        new = placed.join(push, KEY, "left").withColumn("changed", F.coalesce(F.col("after") > own, F.lit(False)))
-        new = new.select(*KEY, F.when(F.col("changed"), F.col("after.place")).otherwise(F.col("place")).alias("place"), F.when(F.col("changed"), F.col("after.step")).otherwise(F.col("step")).alias("step"), "changed")
-        placed = cut(spark, new, "places")
-        if placed.where("changed").isEmpty():
+        heads = links.groupBy(KEY).agg(F.count("*").alias("n"), F.max(F.struct("needed", "steps")).alias("far"))
+        state = places.join(heads, KEY, "left").select("conv_id", F.col("call_id").alias("needed"), "at", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("far")).alias("far"))
+        seen = cut(spark, links.join(state, ["conv_id", "needed"]), "seen")
+        push = seen.groupBy(KEY).agg(F.max(F.struct(F.col("at.place").alias("place"), F.least(F.col("at.step") + F.col("steps"), F.lit(FAR)).alias("step"))).alias("after"))
+        places = cut(spark, places.join(push, KEY, "left").select(*KEY, F.greatest("at", "after").alias("at")), "places")
+        open_ = seen.where("n > 0").select(*KEY, F.coalesce("far.needed", "needed").alias("needed"), F.least(F.col("steps") + F.coalesce("far.steps", F.lit(0)), F.lit(FAR)).alias("steps"))
+        links = cut(spark, open_.groupBy(*KEY, "needed").agg(F.max("steps").alias("steps")), "links")
+        if seen.where("n = 0").isEmpty():
             break
-        over = placed.where("changed").join(size, "conv_id").where("step > calls")
-        if not over.isEmpty():
-            # on or behind a cycle, and so is all that depends on them
-            stuck = ahead = cut(spark, over.select(*KEY), "stuck")
-            while not ahead.isEmpty():
-                behind = edges.join(ahead.withColumnRenamed("call_id", "needed"), ["conv_id", "needed"]).select(*KEY).distinct()
-                ahead = cut(spark, behind.join(stuck, KEY, "left_anti"), "stuck")
-                stuck = stuck.unionByName(ahead)
-            closed = stuck if closed is None else closed.unionByName(stuck)
-            placed = cut(spark, placed.join(stuck, KEY, "left_anti"), "places")
-            edges = cut(spark, edges.join(stuck, KEY, "left_anti"), "edges")
-    if closed is None:
-        return placed.select(*KEY, "place", "step")
-    null = F.lit(None).cast("long")
-    return placed.select(*KEY, "place", "step").unionByName(closed.select(*KEY, null.alias("place"), null.alias("step")))
+    stuck = links.select(*KEY, F.lit(True).alias("stuck")).distinct()
+    value = lambda part: F.when(F.col("stuck").isNull(), F.col(f"at.{part}")).alias(part)
+    return places.join(stuck, KEY, "left").select(*KEY, value("place"), value("step"), F.lit(True).alias("moved"))
+
+
+def order(spark: SparkSession, calls: DataFrame) -> DataFrame:
+    """conv_id, call_id, place, step: sorting by (place, step, position, call_id) is a topological order."""
+    nodes = calls.select(*KEY, F.col("position").cast("long").alias("position"), "depends_on")
+    links = _unsettled(spark, nodes)
+    if links.isEmpty():
+        return nodes.select(*KEY, F.col("position").alias("place"), F.lit(0).cast("long").alias("step"))
+    either = lambda part, own: F.when(F.col("moved").isNull(), own).otherwise(F.col(part)).alias(part)
+    return nodes.join(_moved(spark, links), KEY, "left").select(*KEY, either("place", F.col("position")), either("step", F.lit(0).cast("long")))
 
 
 def link(spark: SparkSession, calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping[str, str]]) -> DataFrame:
@@ -109,7 +124,7 @@ def link(spark: SparkSession, calls: DataFrame, results: DataFrame, schemas: Map
     first = cut(spark, _first(calls), "calls")
     answers = results.where("conv_id is not null and call_id is not null").groupBy(KEY).agg(F.count("*").alias("n_results"), F.min(F.struct("position", "content")).alias("r"))
     answers = answers.select(*KEY, "n_results", F.col("r.content").alias("content"))
-    rows = first.join(answers, KEY, "left").join(order(spark, first), KEY).withColumn("parsed", F.try_parse_json("arguments"))
+    rows = first.join(answers.hint("shuffle_hash"), KEY, "left").join(order(spark, first), KEY).withColumn("parsed", F.try_parse_json("arguments"))
     errors = problems(F.col("name"), F.col("arguments"), F.col("parsed"), schemas)
     is_object = F.schema_of_variant("parsed").startswith("OBJECT")
     message = F.struct(F.when(is_object, F.col("parsed")).alias("arguments"), F.col("call_id").alias("id"), "name", F.col("content").alias("result"))

@@ -132,6 +132,42 @@ def test_tool_calls(spark):
     assert toolcalls.link(spark, c.limit(0), r.limit(0), SCHEMAS).collect() == []
 
 
+def plain_places(nodes):
+    """(place, step) of every call once all it depends on have theirs; None on or behind a cycle."""
+    out, left = {}, {k: {d for d in uses if d in nodes and d != k} for k, (_, uses) in nodes.items()}
+    while ready := [k for k, uses in left.items() if uses <= out.keys()]:
+        for k in ready:
+            out[k] = max([(nodes[k][0], 0)] + [(out[d][0], out[d][1] + 1) for d in left.pop(k)])
+    return {k: out.get(k) for k in nodes}
+
+
+def test_tool_call_order_equals_brute_force(spark):
+    rng, rows, want = np.random.default_rng(11), [], {}
+    for conv in range(120):
+        n = int(rng.integers(1, 14))
+        ids = [f"k{i}" for i in rng.permutation(n)]
+        nodes = {}
+        for i, k in enumerate(ids):
+            pool = ids[:i] if conv % 3 else ids  # a third may hold cycles
+            uses = [str(x) for x in rng.choice(pool, min(len(pool), int(rng.integers(0, 3))))] if pool else []
+            nodes[k] = (int(rng.integers(0, 9)), uses)
+        want |= {(conv, k): place for k, place in plain_places(nodes).items()}
+        rows += [(conv, k, pos, "add", "{}", uses) for k, (pos, uses) in nodes.items()]
+    got = toolcalls.order(spark, spark.createDataFrame(rows, CALLS)).collect()
+    assert {(r.conv_id, r.call_id): None if r.place is None else (r.place, r.step) for r in got} == want
+    assert None in want.values() and max(x[1] for x in want.values() if x) > 2
+
+
+def test_long_chains_settle_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    cut = toolcalls.cut
+    monkeypatch.setattr(toolcalls, "cut", lambda s, d, name: rounds.append(name) or cut(s, d, name))
+    rows = [(1, f"k{i}", -i, "add", "{}", [f"k{i - 1}"]) for i in range(1000)] + [(2, f"k{i}", i, "add", "{}", [f"k{i - 1}"]) for i in range(1000)]
+    got = {(r.conv_id, r.call_id): (r.place, r.step) for r in toolcalls.order(spark, spark.createDataFrame(rows, CALLS)).collect()}
+    assert got == {(1, f"k{i}"): (0, i) for i in range(1000)} | {(2, f"k{i}"): (i, 0) for i in range(1000)}
+    assert rounds.count("seen") <= 12
+
+
 def test_tool_calls_stay_native(spark):
     plan = toolcalls.link(spark, *tool_tables(read(spark, DATA, "conversations")), TOOLS)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
