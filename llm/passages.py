@@ -1,14 +1,18 @@
 """Substring dedup by level-wise doubling of word windows.
 
-Level one takes windows of half the length. Of these only content-chosen ones are exchanged: each
-full window is spoken for by the least hash among its half-length windows (its anchor), so equal
-windows have equal anchors, and about one half-window in thirteen is an anchor. Anchors that occur
-in one document alone end there. Windows whose anchor is repeated are extended to twice the length,
-hashed to 128 bits (two independent polynomials over 64-bit word hashes), and joined with the
-smallest document they start in. That is one doubling, from 25 to 50 words in ``op10_passages``, with
-full windows hashed from the texts; it is exact because equal windows have equal anchors, and all
-windows behind a repeated anchor are joined. ``extend`` goes on doubling until no window is repeated;
-no query calls it.
+Levels are the window's length halved until it is short, shortest first: 13, 25 and 50 words for
+``op10_passages``. At each level windows that one document alone holds end there; of those that are
+repeated, two of one document that lie the right distance apart make a window of the next level,
+which is twice as long, or as much as is left to the full length (13 and 13 words, 12 apart, make
+25). Its hash is made of theirs, so words are hashed at the first level only, to 128 bits (two
+independent polynomials over 64-bit word hashes). It goes on until the full length is reached or no
+window is left; ``extend`` goes on from there until none is repeated, whatever the length.
+
+The first level would have a row for each word of the corpus. Each full window therefore names the
+least hash among the first-level windows it holds (its anchor), so equal windows have equal anchors,
+and about one first-level window in twenty is an anchor. Anchors that occur in one document alone
+end there, and the first level holds the windows that full windows with a repeated anchor are made
+of. That loses nothing: a repeated full window has its anchor, and all its parts, in both documents.
 
 Exact copies of a text are settled first by the text's digest, so copies bring no windows. All
 groups are folded on the map side (least and greatest document of a window), and the way back to
@@ -31,16 +35,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import Words, as_bytes, cut, list_array, mix, signed, slices, sliding_min, window_hashes
+from llm.common import BASE, Words, as_bytes, cut, list_array, mix, salted, signed, slices, sliding_min, window_hashes
 
 SECOND = 0xC2B2AE3D27D4EB4F
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
+def lengths(length: int, least: int = 13) -> list[int]:
+    """The levels' window lengths: the next is at most twice the one before, the last is ``length``."""
+    levels = [length]
+    while levels[0] >= 2 * least - 1 and levels[0] > 1:
+        levels.insert(0, (levels[0] + 1) // 2)
+    return levels
+
+
 def anchors(hashes: np.ndarray, length: int) -> np.ndarray:
-    """For each window of ``length`` words the least hash among its windows of half the length."""
-    half = length // 2
-    return sliding_min(mix(window_hashes(hashes, half)), length - half + 1)
+    """For each window of ``length`` words the least hash among the first-level windows it holds."""
+    first = lengths(length)[0]
+    return sliding_min(mix(window_hashes(hashes, first)), length - first + 1)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -66,33 +78,79 @@ def _profile(keyed: DataFrame, length: int) -> DataFrame:
     return keyed.select("text", "doc_id", "row", "digest").mapInArrow(run, "doc_id long, row long, digest binary, n_words long, all_sha256 string, anchors array<long>")
 
 
-def _windows(candidates: DataFrame, length: int) -> DataFrame:
-    """The windows of candidate documents whose anchor is repeated: two hashes, document, its places.
+NAMES = ["h1", "h2", "doc_id", "row"]
+WINDOWS = ", ".join(f"{x} long" for x in NAMES) + ", places array<int>"
 
-    A window is one row for each document, however often the document repeats it.
-    """
-    names = ["h1", "h2", "doc_id", "row"]
-    kinds = pa.schema([*((x, pa.int64()) for x in names), ("places", pa.list_(pa.int32()))])
+
+class _Rows:
+    """Collects windows of many documents: one row for each document and window, with its places."""
+
+    def __init__(self) -> None:
+        self.parts, self.sizes, self.places = [], [], []
+
+    def add(self, doc_id: int, row: int, h1: np.ndarray, h2: np.ndarray, places: np.ndarray) -> None:
+        order = np.lexsort((places, h2, h1))
+        h1, h2 = signed(h1[order]), signed(h2[order])
+        first = np.flatnonzero(np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))[: len(h1)])
+        self.parts.append((h1[first], h2[first], np.full(len(first), doc_id), np.full(len(first), row)))
+        self.sizes.append(np.diff(np.append(first, len(h1))))
+        self.places.append(places[order].astype(np.int32))
+
+    def batch(self) -> pa.RecordBatch:
+        ends = np.cumsum(np.concatenate([[0], *self.sizes]).astype(np.int64))
+        column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *self.places]), pa.int32()))
+        flat = [np.concatenate([np.empty(0, np.int64), *x]) for x in (zip(*self.parts) if self.parts else [()] * 4)]
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in flat), column], names=[*NAMES, "places"])
+
+
+def _first_level(candidates: DataFrame, length: int) -> DataFrame:
+    """First-level windows that full windows with a repeated anchor are made of, with both hashes."""
+    first, offsets = lengths(length)[0], np.zeros(1, np.int64)
+    for short, long in zip(lengths(length), lengths(length)[1:]):
+        offsets = np.union1d(offsets, offsets + long - short)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Words()
         for batch in slices(batches, 100):
-            parts, lists = [], []
+            rows = _Rows()
             for data, doc_id, row, known in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
                 hashes = cache.hashes(data.split())
-                places = np.flatnonzero(np.isin(signed(anchors(hashes, length)), known.values.to_numpy()))
-                h1, h2 = signed(window_hashes(hashes, length)[places]), signed(window_hashes(mix(hashes), length, SECOND)[places])
-                order = np.lexsort((h2, h1))
-                h1, h2, places = h1[order], h2[order], places[order].astype(np.int32)
-                first = np.flatnonzero(np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))[: len(h1)])
-                parts.append((h1[first], h2[first], np.full(len(first), doc_id), np.full(len(first), row)))
-                lists.append((places, np.diff(np.append(first, len(h1)))))
-            if parts:
-                ends = np.cumsum(np.append(0, np.concatenate([n for _, n in lists])))
-                column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([p for p, _ in lists]), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x), pa.int64()) for x in zip(*parts)), column], schema=kinds)
+                full = np.flatnonzero(np.isin(signed(anchors(hashes, length)), known.values.to_numpy()))
+                needed = np.zeros(len(hashes), bool)
+                for offset in offsets:
+                    needed[full + offset] = True
+                places = np.flatnonzero(needed)
+                rows.add(doc_id, row, window_hashes(hashes, first)[places], window_hashes(mix(hashes), first, SECOND)[places], places)
+            yield rows.batch()
+
+    return candidates.select("text", "doc_id", "row", "anchors").mapInArrow(run, WINDOWS)
+
+
+def _survivors(windows: DataFrame) -> DataFrame:
+    """Windows that start in several documents, with the smallest of them."""
+    again = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    return windows.join(again.select("h1", "h2", "low"), ["h1", "h2"])
+
+
+def _next_level(survivors: DataFrame, distance: int) -> DataFrame:
+    """Longer windows: two survivors of one document, so many words apart, hashed from their hashes."""
+    kept = survivors.groupBy("doc_id", "row").agg(F.collect_list(F.struct("h1", "h2", "places")).alias("windows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 100):
+            rows = _Rows()
+            for doc_id, row, windows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                h1, h2, lists = windows.values.flatten()
+                repeat = lists.value_lengths().to_numpy()
+                places, at = np.unique(lists.flatten().to_numpy(), return_index=True)
+                h1, h2 = (np.repeat(h.to_numpy(), repeat)[at].view(np.uint64) for h in (h1, h2))
+                right = np.searchsorted(places, places + distance)
+                left = np.flatnonzero((right < len(places)) & (places[np.minimum(right, len(places) - 1)] == places + distance))
+                right = right[left]
+                rows.add(doc_id, row, mix(h1[left] * np.uint64(BASE) + h1[right]), mix(h2[left] * np.uint64(SECOND) + h2[right]), places[left])
+            yield rows.batch()
 
-    return candidates.select("text", "doc_id", "row", "anchors").mapInArrow(run, ", ".join(f"{x} long" for x in names) + ", places array<int>")
+    return kept.mapInArrow(run, WINDOWS)
 
 
 def _kept(flagged: DataFrame, length: int) -> DataFrame:
@@ -110,7 +168,7 @@ def _kept(flagged: DataFrame, length: int) -> DataFrame:
                 covered = np.cumsum(edge)[:-1] > 0
                 kept = b" ".join(w for w, out in zip(words, covered.tolist()) if not out)
                 gone.append(int(covered.sum()))
-                texts.append(kept.decode())
+                texts.append(kept.decode(errors="replace"))
                 sha.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(gone, pa.int64()), pa.array(sha), pa.array(texts)], names=["doc_id", "row", "gone", "sha", "kept_text"])
 
@@ -118,12 +176,16 @@ def _kept(flagged: DataFrame, length: int) -> DataFrame:
 
 
 def repeated(spark: SparkSession, keyed: DataFrame, sources: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate documents with their texts, and their windows, each with its two hashes and place."""
+    """Candidate documents with their texts, and their full windows of which all parts are repeated."""
     half = sources.select("doc_id", "row", F.explode("anchors").alias("anchor"))
     again = half.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     lists = half.join(again, "anchor").groupBy("doc_id", "row").agg(F.collect_set("anchor").alias("anchors"))
     candidates = cut(spark, keyed.select("doc_id", "row", "text").join(lists, ["doc_id", "row"]), "candidates")
-    return candidates, cut(spark, _windows(candidates, length), "windows")
+    levels = lengths(length)
+    windows = cut(spark, _first_level(candidates, length), "windows")
+    for short, long in zip(levels, levels[1:]):
+        windows = cut(spark, _next_level(_survivors(windows), long - short), "windows")
+    return candidates, windows
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50) -> DataFrame:
@@ -133,11 +195,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50) -> Da
     """
     keyed = _keyed(docs)
     profile = cut(spark, _profile(keyed, length), "profile")
-    first = profile.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    profile = cut(spark, profile.join(first, "digest"), "profile")
+    first = cut(spark, profile.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
+    profile = cut(spark, salted(profile, first, "digest"), "profile")
     candidates, windows = repeated(spark, keyed, profile.where("doc_id = first"), length)
-    low = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low")
-    places = windows.join(low, ["h1", "h2"]).where("doc_id > low").groupBy("doc_id", "row").agg(F.flatten(F.collect_list("places")).alias("places"))
+    places = _survivors(windows).where("doc_id > low").groupBy("doc_id", "row").agg(F.flatten(F.collect_list("places")).alias("places"))
     kept = _kept(candidates.join(places, ["doc_id", "row"]), length)
     kept = kept.groupBy("doc_id", "row").agg(F.max("gone").alias("gone"), F.max("sha").alias("sha"), F.max("kept_text").alias("kept_text"))
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= length), F.lit(False))
@@ -155,14 +216,11 @@ def extend(spark: SparkSession, windows: DataFrame, length: int) -> DataFrame:
 
     ``windows`` are those of ``repeated`` at ``length``. Columns: length, doc_id, row, place.
     """
-    levels, windows = None, windows.select("h1", "h2", "doc_id", "row", F.explode("places").alias("place"))
+    levels = None
     while True:
-        again = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2")
-        windows = cut(spark, windows.join(again, ["h1", "h2"]), "level")
-        level = windows.select(F.lit(length).alias("length"), "doc_id", "row", "place")
+        windows = cut(spark, _survivors(windows), "level")
+        level = windows.select(F.lit(length).alias("length"), "doc_id", "row", F.explode("places").alias("place"))
         levels = level if levels is None else levels.unionByName(level)
         if windows.isEmpty():
             return levels
-        rest = windows.select("doc_id", "row", (F.col("place") - length).alias("place"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-        windows = windows.join(rest, ["doc_id", "row", "place"]).select(F.xxhash64("h1", "h2", "g1", "g2").alias("h1"), F.xxhash64("g2", "h1", "g1", "h2", F.lit(1)).alias("h2"), "doc_id", "row", "place")
-        length *= 2
+        windows, length = _next_level(windows, length), length * 2

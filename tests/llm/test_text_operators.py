@@ -73,6 +73,29 @@ def test_passages_equal_brute_force(spark, texts):
     assert any(x[2] for x in want)
 
 
+@pytest.mark.parametrize("length", [1, 8, 31, 51, 100])
+def test_levels_meet_any_length(spark, length):
+    """Texts made of shared pieces shorter and longer than the window, and pieces repeated inside a text."""
+    rng = random.Random(length)
+    pieces = [[f"p{k}w{i % 7 if k < 3 else i}" for i in range(rng.choice([length // 3 + 1, length - 1, length, length + 5, 2 * length]))] for k in range(9)]
+    texts = [(i, " ".join(w for k in rng.choices(range(9), k=rng.randrange(7)) for w in [f"own{i}x{k}", *pieces[k]])) for i in range(40)]
+    low = {}
+    for i, t in texts:
+        w = split(t)
+        for p in range(len(w) - length + 1):
+            key = tuple(w[p : p + length])
+            low[key] = min(i, low.get(key, i))
+    want = {}
+    for i, t in texts:
+        w = split(t)
+        gone = {q for p in range(len(w) - length + 1) if low[tuple(w[p : p + length])] < i for q in range(p, p + length)}
+        want[i] = (len(gone), hashlib.sha256(" ".join(x for q, x in enumerate(w) if q not in gone).encode()).hexdigest())
+    got = passages.remove_repeats(spark, documents(spark, texts), length).collect()
+    assert {r.doc_id: (r.n_removed, r.kept_sha256) for r in got} == want
+    sizes = passages.lengths(length)
+    assert sizes[-1] == length and all(a < b <= 2 * a for a, b in zip(sizes, sizes[1:]))
+
+
 def test_levels_go_on_until_nothing_is_repeated(spark):
     shared = " ".join(f"s{i}" for i in range(260))
     docs = documents(spark, [(1, "x " + shared), (2, shared + " y"), (3, "z " * 60)])
