@@ -4,9 +4,9 @@ Levels are the window's length halved until it is short, shortest first: 13, 25
 ``op10_passages``. At each level windows that one document alone holds end there; of those that are
 repeated, two of one document that lie the right distance apart make a window of the next level,
 which is twice as long, or as much as is left to the full length (13 and 13 words, 12 apart, make
-25). Its hash is made of theirs, so words are hashed at the first level only, to 128 bits (two
-independent polynomials over 64-bit word hashes). It goes on until the full length is reached or no
-window is left; ``extend`` goes on from there until none is repeated, whatever the length.
+25). Its hash is made of theirs, by a task that holds the text again: hashes cannot be compressed, and
+texts are a fifth of their size. Levels below the full length compare one hash of 64 bits, the full
+length two. ``extend`` goes on from there until no window is repeated, whatever the length.
 
 The first level would have a row for each word of the corpus. Each full window therefore names the
 least hash among the first-level windows it holds (its anchor), so equal windows have equal anchors,
@@ -28,7 +28,7 @@ are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +78,7 @@ def _profile(keyed: DataFrame, length: int) -> DataFrame:
     return keyed.select("text", "doc_id", "row", "digest").mapInArrow(run, "doc_id long, row long, digest binary, n_words long, all_sha256 string, anchors array<long>")
 
 
-NAMES = ["h1", "h2", "doc_id", "row"]
+NAMES = ["h1", "h2", "doc_id", "tag"]
 WINDOWS = ", ".join(f"{x} long" for x in NAMES) + ", places array<int>"
 
 
@@ -88,11 +88,11 @@ class _Rows:
     def __init__(self) -> None:
         self.parts, self.sizes, self.places = [], [], []
 
-    def add(self, doc_id: int, row: int, h1: np.ndarray, h2: np.ndarray, places: np.ndarray) -> None:
+    def add(self, doc_id: int, tag: int, h1: np.ndarray, h2: np.ndarray, places: np.ndarray) -> None:
         order = np.lexsort((places, h2, h1))
         h1, h2 = signed(h1[order]), signed(h2[order])
         first = np.flatnonzero(np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))[: len(h1)])
-        self.parts.append((h1[first], h2[first], np.full(len(first), doc_id), np.full(len(first), row)))
+        self.parts.append((h1[first], h2[first], np.full(len(first), doc_id), np.full(len(first), tag)))
         self.sizes.append(np.diff(np.append(first, len(h1))))
         self.places.append(places[order].astype(np.int32))
 
@@ -103,27 +103,60 @@ class _Rows:
         return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in flat), column], names=[*NAMES, "places"])
 
 
+def level_hashes(words: np.ndarray, levels: list[int], base: int = BASE) -> np.ndarray:
+    """Hashes of all windows of the last level, each made of two of the level before."""
+    h = window_hashes(words, levels[0], base)
+    for short, long in zip(levels, levels[1:]):
+        apart = long - short
+        h = mix(h[: max(len(h) - apart, 0)] * np.uint64(base) + h[apart:])
+    return h
+
+
 def _first_level(candidates: DataFrame, length: int) -> DataFrame:
-    """First-level windows that full windows with a repeated anchor are made of, with both hashes."""
-    first, offsets = lengths(length)[0], np.zeros(1, np.int64)
-    for short, long in zip(lengths(length), lengths(length)[1:]):
+    """First-level windows that full windows with a repeated anchor are made of."""
+    levels, offsets = lengths(length), np.zeros(1, np.int64)
+    for short, long in zip(levels, levels[1:]):
         offsets = np.union1d(offsets, offsets + long - short)
 
+    def places(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+        full, needed = np.flatnonzero(np.isin(signed(anchors(words, length)), known)), np.zeros(len(words), bool)
+        for offset in offsets:
+            needed[full + offset] = True
+        return np.flatnonzero(needed)
+
+    return _windows(candidates.withColumnRenamed("anchors", "known"), levels[:1], places, len(levels) == 1)
+
+
+def _next_level(candidates: DataFrame, survivors: DataFrame, levels: list[int], last: bool) -> DataFrame:
+    """Windows of the last of ``levels``: two survivors of one document that lie as far apart as it is longer."""
+    apart = levels[-1] - levels[-2]
+    kept = survivors.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("places")).alias("known"))
+
+    def places(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+        known = np.unique(known)
+        return known[np.isin(known + apart, known, assume_unique=True)]
+
+    return _windows(candidates.join(kept, ["doc_id", "tag"]), levels, places, last)
+
+
+def _windows(docs: DataFrame, levels: list[int], places: Callable[[np.ndarray, np.ndarray], np.ndarray], last: bool) -> DataFrame:
+    """The windows of the last of ``levels`` at the places that ``places`` finds from the words and ``known``.
+
+    The second hash is needed at the full length alone and 0 before.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Words()
         for batch in slices(batches, 100):
             rows = _Rows()
-            for data, doc_id, row, known in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-                hashes = cache.hashes(data.split())
-                full = np.flatnonzero(np.isin(signed(anchors(hashes, length)), known.values.to_numpy()))
-                needed = np.zeros(len(hashes), bool)
-                for offset in offsets:
-                    needed[full + offset] = True
-                places = np.flatnonzero(needed)
-                rows.add(doc_id, row, window_hashes(hashes, first)[places], window_hashes(mix(hashes), first, SECOND)[places], places)
+            for data, doc_id, tag, known in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                words = cache.hashes(data.split())
+                at = places(words, known.values.to_numpy())
+                h1 = level_hashes(words, levels)[at]
+                rows.add(doc_id, tag, h1, level_hashes(mix(words), levels, SECOND)[at] if last else np.zeros_like(h1), at)
             yield rows.batch()
 
-    return candidates.select("text", "doc_id", "row", "anchors").mapInArrow(run, WINDOWS)
+    return docs.select("text", "doc_id", "tag", "known").mapInArrow(run, WINDOWS)
 
 
 def _survivors(windows: DataFrame) -> DataFrame:
@@ -132,25 +165,14 @@ def _survivors(windows: DataFrame) -> DataFrame:
     return windows.join(again.select("h1", "h2", "low"), ["h1", "h2"])
 
 
-def _next_level(survivors: DataFrame, distance: int) -> DataFrame:
-    """Longer windows: two survivors of one document, so many words apart, hashed from their hashes."""
-    kept = survivors.groupBy("doc_id", "row").agg(F.collect_list(F.struct("h1", "h2", "places")).alias("windows"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 100):
-            rows = _Rows()
-            for doc_id, row, windows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                h1, h2, lists = windows.values.flatten()
-                repeat = lists.value_lengths().to_numpy()
-                places, at = np.unique(lists.flatten().to_numpy(), return_index=True)
-                h1, h2 = (np.repeat(h.to_numpy(), repeat)[at].view(np.uint64) for h in (h1, h2))
-                right = np.searchsorted(places, places + distance)
-                left = np.flatnonzero((right < len(places)) & (places[np.minimum(right, len(places) - 1)] == places + distance))
-                right = right[left]
-                rows.add(doc_id, row, mix(h1[left] * np.uint64(BASE) + h1[right]), mix(h2[left] * np.uint64(SECOND) + h2[right]), places[left])
-            yield rows.batch()
+def _short_survivors(windows: DataFrame) -> DataFrame:
+    """Windows below the full length that may start in several documents: doc_id, tag and places.
 
-    return kept.mapInArrow(run, WINDOWS)
+    One hash is compared; what it takes for equal by chance is a part of a longer window, and that is
+    told apart by both hashes at the full length.
+    """
+    again = windows.groupBy("h1").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    return windows.select("h1", "doc_id", "tag", "places").join(again.select("h1"), "h1").drop("h1")
 
 
 def _kept(flagged: DataFrame, length: int) -> DataFrame:
@@ -180,11 +202,14 @@ def repeated(spark: SparkSession, keyed: DataFrame, sources: DataFrame, length:
     half = sources.select("doc_id", "row", F.explode("anchors").alias("anchor"))
     again = half.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     lists = half.join(again, "anchor").groupBy("doc_id", "row").agg(F.collect_set("anchor").alias("anchors"))
+    # windows name their row by its doc_id; a tag is only needed where other texts have that doc_id too
+    shared = sources.groupBy("doc_id").agg(F.min("row").alias("least"), F.max("row").alias("greatest")).where("least < greatest").select("doc_id", F.lit(True).alias("shared"))
+    lists = lists.join(shared, "doc_id", "left").select("doc_id", "row", F.when(F.col("shared"), F.col("row")).otherwise(F.lit(0)).alias("tag"), "anchors")
     candidates = cut(spark, keyed.select("doc_id", "row", "text").join(lists, ["doc_id", "row"]), "candidates")
     levels = lengths(length)
     windows = cut(spark, _first_level(candidates, length), "windows")
-    for short, long in zip(levels, levels[1:]):
-        windows = cut(spark, _next_level(_survivors(windows), long - short), "windows")
+    for i in range(1, len(levels)):
+        windows = cut(spark, _next_level(candidates, _short_survivors(windows), levels[: i + 1], i + 1 == len(levels)), "windows")
     return candidates, windows
 
 
@@ -198,8 +223,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50) -> Da
     first = cut(spark, profile.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
     profile = cut(spark, salted(profile, first, "digest"), "profile")
     candidates, windows = repeated(spark, keyed, profile.where("doc_id = first"), length)
-    places = _survivors(windows).where("doc_id > low").groupBy("doc_id", "row").agg(F.flatten(F.collect_list("places")).alias("places"))
-    kept = _kept(candidates.join(places, ["doc_id", "row"]), length)
+    places = _survivors(windows).where("doc_id > low").groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("places")).alias("places"))
+    kept = _kept(candidates.join(places, ["doc_id", "tag"]), length)
     kept = kept.groupBy("doc_id", "row").agg(F.max("gone").alias("gone"), F.max("sha").alias("sha"), F.max("kept_text").alias("kept_text"))
     copy = F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= length), F.lit(False))
     return profile.drop("anchors", "digest").join(kept, ["doc_id", "row"], "left").select(
@@ -211,16 +236,18 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = 50) -> Da
     )
 
 
-def extend(spark: SparkSession, windows: DataFrame, length: int) -> DataFrame:
+def extend(spark: SparkSession, candidates: DataFrame, windows: DataFrame, length: int) -> DataFrame:
     """Goes on doubling: for each level the windows repeated in several documents, until none is.
 
-    ``windows`` are those of ``repeated`` at ``length``. Columns: length, doc_id, row, place.
+    ``candidates`` and ``windows`` are those of ``repeated`` at ``length``. Columns: length, doc_id,
+    tag, place; the tag is the document's row hash where several texts share a doc_id, else 0.
     """
-    levels = None
+    found, levels = None, lengths(length)
     while True:
         windows = cut(spark, _survivors(windows), "level")
-        level = windows.select(F.lit(length).alias("length"), "doc_id", "row", F.explode("places").alias("place"))
-        levels = level if levels is None else levels.unionByName(level)
+        level = windows.select(F.lit(levels[-1]).alias("length"), "doc_id", "tag", F.explode("places").alias("place"))
+        found = level if found is None else found.unionByName(level)
         if windows.isEmpty():
-            return levels
-        windows, length = _next_level(windows, length), length * 2
+            return found
+        levels = [*levels, 2 * levels[-1]]
+        windows = _next_level(candidates, windows, levels, last=True)

@@ -100,8 +100,8 @@ def test_levels_go_on_until_nothing_is_repeated(spark):
     shared = " ".join(f"s{i}" for i in range(260))
     docs = documents(spark, [(1, "x " + shared), (2, shared + " y"), (3, "z " * 60)])
     keyed = passages._keyed(docs)
-    _, windows = passages.repeated(spark, keyed, passages._profile(keyed, 50), 50)
-    levels = {(r.length, r["count"]) for r in passages.extend(spark, windows, 50).groupBy("length").count().collect()}
+    found = passages.repeated(spark, keyed, passages._profile(keyed, 50), 50)
+    levels = {(r.length, r["count"]) for r in passages.extend(spark, *found, 50).groupBy("length").count().collect()}
     assert levels == {(50, 2 * 211), (100, 2 * 161), (200, 2 * 61)}
 
 
