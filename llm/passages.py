@@ -4,8 +4,8 @@ Levels are the window's length halved until it is short, shortest first: 13, 25
 ``op10_passages``. At each level windows that one document alone holds end there; of those that are
 repeated, two of one document that lie the right distance apart make a window of the next level,
 which is twice as long, or as much as is left to the full length (13 and 13 words, 12 apart, make
-25). Its hash is made of theirs, by a task that holds the text again: hashes cannot be compressed, and
-texts are a fifth of their size. Levels below the full length compare one hash of 64 bits, the full
+25). Its hash is made of theirs, by a task that holds the text again: hashes cannot be compressed and
+weigh more than the words they stand for. Levels below the full length compare one hash of 64 bits, the full
 length two. ``extend`` goes on from there until no window is repeated, whatever the length.
 
 The first level would have a row for each word of the corpus. Each full window therefore names the
