@@ -5,8 +5,9 @@ Levels are the window's length halved until it is short, shortest first: 13, 25
 repeated, two of one document that lie the right distance apart make a window of the next level,
 which is twice as long, or as much as is left to the full length (13 and 13 words, 12 apart, make
 25). Its hash is made of theirs, by a task that holds the text again: hashes cannot be compressed and
-weigh more than the words they stand for. Levels below the full length compare one hash of 64 bits, the full
-length two. ``extend`` goes on from there until no window is repeated, whatever the length.
+weigh more than the words they stand for, so levels hand on places alone. Levels below the full
+length compare one hash of 64 bits, the full length two (independent polynomials). ``extend`` goes
+on from there until no window is repeated, whatever the length.
 
 The first level would have a row for each word of the corpus. Each full window therefore names the
 least hash among the first-level windows it holds (its anchor), so equal windows have equal anchors,
@@ -17,7 +18,8 @@ of. That loses nothing: a repeated full window has its anchor, and all its parts
 Exact copies of a text are settled first by the text's digest, so copies bring no windows. All
 groups are folded on the map side (least and greatest document of a window), and the way back to
 documents is an equi-join that Spark may split, so a window that a third of all documents share is
-no task's burden. Texts move once to meet their repeated anchors; after that only candidates move.
+no task's burden. Texts move once to meet their repeated anchors; after that only candidates move,
+their texts once for each level.
 
 Cases: a null or empty text has no words and keeps nothing (the digest of an empty text); texts
 shorter than a window keep all; rows with a null doc_id keep all and remove nothing; rows that
