@@ -187,3 +187,39 @@ def test_unknown_names_are_refused(spark):
         odd.select(op.change_type_phrase(F.col("type_correct"))).collect()
     with pytest.raises(Exception, match="unknown mode"):
         odd.select(rows.task_code("location", F.col("lang"))).collect()
+
+
+def test_picks_of_padded_tokens_and_odd_contents(spark):
+    """A token with whitespace counts as its letter; content is read as before, with any whitespace around it."""
+    usual = '{"answer": "A"}'
+    cases = [
+        (usual, [("A", -3.0), ("B", -1.0)], "B"),
+        (usual, [(" A", -0.2), ("B", -1.0)], "A"),
+        (usual, [("x\x00", -0.1), ("　C\n", -0.5), ("B", -1.0)], "C"),
+        (usual, [("x\x00 A", -0.1), ("B", -1.0)], "B"),
+        (usual, [(None, -0.1), (" D ", -0.4), ("B", -1.0)], "D"),
+        ("\x85" + usual + " ", [("B", -1.0)], "B"),
+        ('　{"answer"\x0b: "A"}', [("B", -1.0)], "B"),
+        (usual + "\n", [("B", -1.0)], "B"),
+        (usual + " x", [("B", -1.0)], "A"),
+        ("[1, NaN]", [("B", -1.0)], "B"),
+        (None, [("B", -1.0)], "A"),
+        (usual, None, "A"),
+        (usual, [], "A"),
+    ]
+    rows_ = [("m", "plain", "CLE", i, 0, c, t, None, None) for i, (c, t, _) in enumerate(cases)]
+    scored = joins.task_scores(spark.createDataFrame(rows_, schemas.CHOICES))
+    assert scored.columns == [*schemas.CHOICES.names, "scores"]
+    got = scored.select("example_id", an.pick_symbol(F.col("scores")).alias("p")).orderBy("example_id").collect()
+    assert [r.p for r in got] == [p for _, _, p in cases]
+
+
+def test_usual_answers_are_built_and_read_without_a_step_per_entry(spark, small):
+    """Answers come out of a literal table, and tokens are walked only where whitespace pads a letter."""
+    from workload import tables
+
+    plan = tables.choices(spark, small)._jdf.queryExecution().analyzed().toString()
+    assert "lambdafunction" not in plan
+    tokens = F.array(F.lit("{"), F.raise_error(F.lit("walked")).cast("string"))
+    quick = F.when(F.lit(True), F.array(F.lit("{"), F.lit("A"))).otherwise(tokens)
+    assert spark.range(1).select(an.stripped_tokens(quick).alias("t")).first().t == ["{", "A"]
