@@ -177,3 +177,21 @@ def test_tasks_are_not_bound_to_the_calls_at_once(spark):
         table(spark, *[example(i) for i in range(40)]), prompts.location_prompt, None, "ABCD", 4, partitions=16
     )
     assert "RoundRobin" not in plan(asked) and "hashpartitioning(example_id" in plan(asked) and ", 16)" in plan(asked)
+
+
+def test_calls_take_prompts_from_arrow_and_keep_their_order(spark):
+    """Prompts become Python texts some at a time, and answers stay beside their keys."""
+
+    def client():
+        class Client:
+            def generate(self, prompt, **options):
+                return f"re {prompt}"
+
+        return Client()
+
+    asked = spark.range(0, 1300, 1, 1).selectExpr("id AS example_id", "concat('p', id) AS prompt")
+    for at_once in (1, 3):
+        answered = inference.infer_generate(asked, client, calls_at_once=at_once)
+        assert "MapInArrow" in answered._jdf.queryExecution().analyzed().toString()
+        got = answered.collect()
+        assert [(r.example_id, r.content, r.error) for r in got] == [(i, f"re p{i}", None) for i in range(1300)]
