@@ -63,14 +63,14 @@ def offsets(text: Column) -> Column:
     return once(F.transform(tx.lines(text), lambda line: F.length(line).cast("bigint")), in_blocks)
 
 
-def _range_of(column: Column, bounds: list[int], first: int = 0) -> Column:
+def range_of(column: Column, bounds: list[int], first: int = 0) -> Column:
     """The number of bounds up to a value, by a binary search written out as conditions."""
     if not bounds:
         return F.lit(first)
     middle = len(bounds) // 2
-    below = _range_of(column, bounds[:middle], first)
+    below = range_of(column, bounds[:middle], first)
     return F.when(column < bounds[middle], below).otherwise(
-        _range_of(column, bounds[middle + 1 :], first + middle + 1)
+        range_of(column, bounds[middle + 1 :], first + middle + 1)
     )
 
 
@@ -89,7 +89,7 @@ def progress(scored: DataFrame, hit: str = "hit", ranges: int = RANGES) -> DataF
     stored = spark.read.parquet(path)
     shares = [i / ranges for i in range(1, ranges)]
     quantiles = stored.agg(F.percentile_approx("example_id", shares)).first()[0] if shares else None
-    place = _range_of(F.col("example_id"), sorted(set(quantiles or [])))
+    place = range_of(F.col("example_id"), sorted(set(quantiles or [])))
     ranged = stored.withColumn("_range", F.when(F.col("example_id").isNull(), 0).otherwise(place)).repartition(
         *CELL, "_range"
     )

@@ -195,3 +195,18 @@ def test_calls_take_prompts_from_arrow_and_keep_their_order(spark):
         assert "MapInArrow" in answered._jdf.queryExecution().analyzed().toString()
         got = answered.collect()
         assert [(r.example_id, r.content, r.error) for r in got] == [(i, f"re p{i}", None) for i in range(1300)]
+
+
+def test_array_files_are_cut_by_ids_and_read_back_in_order(spark, tmp_path):
+    """Several files, each one array; repeated ids stay in one file and get places of their own."""
+    from workload import queries
+
+    ids = [*range(40), 0, 39, 17]
+    given = table(spark, *[example(i, new=f"+{i}") for i in ids]).repartition(3)
+    for name, chars, files in (("many", 100, range(5, 41)), ("one", 10**9, range(1, 2))):
+        path = str(tmp_path / name)
+        queries.write_array_files(given, path, chars)
+        assert len(list((tmp_path / name).glob("part=*/*.gz"))) in files
+        read = stored.read_examples(spark, path, array_file=True).orderBy("example_id").collect()
+        assert [r.example_id for r in read] == list(range(len(ids)))
+        assert [r.new for r in read] == [f"+{i}" for i in sorted(ids)]
