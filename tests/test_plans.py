@@ -210,3 +210,10 @@ def test_array_files_are_cut_by_ids_and_read_back_in_order(spark, tmp_path):
         read = stored.read_examples(spark, path, array_file=True).orderBy("example_id").collect()
         assert [r.example_id for r in read] == list(range(len(ids)))
         assert [r.new for r in read] == [f"+{i}" for i in sorted(ids)]
+
+
+def test_json_lines_are_compressed(spark, tmp_path):
+    path = tmp_path / "lines"
+    stored.write_enriched(table(spark, *[example(i) for i in range(20)]), str(path), "json")
+    assert not list(path.glob("*.json")) and list(path.glob("*.json.gz"))
+    assert stored.read_examples(spark, str(path)).count() == 20
