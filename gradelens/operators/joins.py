@@ -35,9 +35,12 @@ def latest_answers(responses: DataFrame, key: Sequence[str]) -> DataFrame:
     so a key with very many copies is no hot spot. Scoring gets by without it and moves fewer
     texts (``scoring.score_deliveries``, ``scoring.answers_by_example``); equal times are settled
     here as they are there: by the greater pick of choices, and the greater digest of texts.
+    Choices that ``decode_answers`` has read move their picks alone.
     """
     carried = [c for c in responses.columns if c not in key]
-    if "logprobs" in carried:
+    if "pick" in carried:
+        ranked = responses.withColumn("_tie", F.col("pick"))
+    elif "logprobs" in carried:
         ranked = task_scores(responses).withColumn("_tie", an.pick_index(F.col("scores")))
     elif "content" in carried:
         ranked = responses.withColumn("_tie", text_digest())
@@ -155,9 +158,11 @@ def attach_choice_answers(responses: DataFrame, keys: DataFrame) -> DataFrame:
     """Decoded answers beside the right letter of their ordering, in long form.
 
     The key row of the example is joined, not its exploded orderings. Needs one answer per
-    ordering; scoring with repeats goes through ``answers_by_example``.
+    ordering; scoring with repeats goes through ``answers_by_example``. Answers that have been decoded
+    are taken as they are.
     """
-    return fanout.with_key(decode_answers(responses), keys).select(
+    decoded = responses if "pick" in responses.columns else decode_answers(responses)
+    return fanout.with_key(decoded, keys).select(
         "model",
         "condition",
         "task",

@@ -1,5 +1,6 @@
 """The shape of physical plans: what is shuffled, pushed down and shared."""
 
+import datetime as dt
 import re
 import uuid
 
@@ -217,3 +218,25 @@ def test_json_lines_are_compressed(spark, tmp_path):
     stored.write_enriched(table(spark, *[example(i) for i in range(20)]), str(path), "json")
     assert not list(path.glob("*.json")) and list(path.glob("*.json.gz"))
     assert stored.read_examples(spark, str(path)).count() == 20
+
+
+def test_decoded_answers_are_attached_without_their_texts(spark):
+    """Picks alone are carried to the last delivery and to the keys, with the same outcome."""
+    t0 = dt.datetime(2024, 1, 1)
+    given = [
+        ("m", "plain", "CLE", 1, 0, '{"answer": "B"}', [("B", -0.1)], None, t0),
+        ("m", "plain", "CLE", 1, 0, '{"answer": "C"}', [("C", -0.1)], None, t0),
+        ("m", "plain", "CLE", 1, 1, '{"answer": "D"}', [("D", -0.1)], None, t0),
+        ("m", "plain", "CLE", 1, 1, "", [("D", -0.1)], None, t0 + dt.timedelta(seconds=1)),
+        ("m", "plain", "CLE", 1, None, "", None, None, None),
+        ("m", "plain", "CLE", 1, 30, "", None, None, t0),
+        ("m", "plain", "CLE", None, 1, "", None, None, t0),
+    ]
+    raw = spark.createDataFrame(given, schemas.CHOICES)
+    keys = fanout.answer_keys(table(spark, example(1)))
+    latest = joins.latest_answers(joins.decode_answers(raw), stored.CHOICE_KEY)
+    assert latest.columns == [*stored.CHOICE_KEY, "pick", "ingest_ts"]
+    got = joins.attach_choice_answers(latest, keys).collect()
+    whole = joins.attach_choice_answers(joins.latest_answers(raw, stored.CHOICE_KEY), keys).collect()
+    assert sorted(map(str, got)) == sorted(map(str, whole)) and len(got) == 4
+    assert {r.perm_idx: r.picked for r in got} == {0: "C", 1: "A", None: "A", 30: "A"}
