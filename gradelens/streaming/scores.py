@@ -45,7 +45,8 @@ def _follow(
     def keep(batch: DataFrame, number: int) -> None:
         # the stream's own id, which its checkpoint holds before the first batch
         told = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()
-        reduce_batch(batch).write.mode("overwrite").parquet(store.batch_folder(folder, told.id, number))
+        kept = store.batch_folder(folder, told.id, number)
+        reduce_batch(batch).write.mode("overwrite").parquet(kept, compression="zstd")
         store.compact(spark, folder, stored, fold)
 
     arriving = (
@@ -100,11 +101,12 @@ def stream_choices(
 ) -> StreamingQuery:
     """Fold the choice answers that arrived since the last run into slots and store those.
 
-    The orderings of one example may arrive in different batches.
+    The orderings of one example may arrive in different batches. Answers that lie together are folded
+    where they lie; rows of one example that are left are folded when stored batches are merged or looked at.
     """
 
     def fold(batch: DataFrame) -> DataFrame:
-        return scoring.answers_by_example(joins.decode_answers(batch))
+        return scoring.answers_by_neighbours(joins.decode_answers(batch))
 
     return _follow(
         spark, feed, schemas.CHOICES, fold, STORED_SLOTS, _fold_slots, folder, checkpoint, files_per_batch, trigger
@@ -112,6 +114,6 @@ def stream_choices(
 
 
 def choice_totals(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
-    """The choice report over everything stored so far."""
-    slots = _fold_slots(store.read(spark, folder, STORED_SLOTS))
+    """The choice report over everything stored so far; the fold and the keys share one shuffle by example."""
+    slots = _fold_slots(store.read(spark, folder, STORED_SLOTS).repartition("example_id"))
     return scoring.choice_report(scoring.score_slots(slots, keys))

@@ -70,7 +70,8 @@ def compact(
         kept = [run for run in kept if run[0] != level]
         level += 1
     folder = uuid.uuid4().hex
-    fold(spark.read.schema(schema).parquet(*merged)).select(schema.names).write.parquet(f"{store}/runs/{folder}")
+    merged_rows = fold(spark.read.schema(schema).parquet(*merged)).select(schema.names)
+    merged_rows.write.parquet(f"{store}/runs/{folder}", compression="zstd")
     upto = dict(state["upto"])
     for stream, last, _ in young:
         upto[stream] = max(last, upto.get(stream, -1))

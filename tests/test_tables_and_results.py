@@ -660,3 +660,54 @@ def test_records_keep_the_scores_of_every_ordering(spark):
     assert row.model_answers == ["B", None, None, "A", None, None] and len(row.correct_answers) == 6
     assert row.symbol_scores == [[low, -0.1, low, low], None, None, [-0.1, low, low, low], None, None]
     assert row.ground_truth == "modify"
+
+
+def exchanges(frame):
+    """The lines of the plan that move rows by a hash."""
+    return [x for x in frame._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x]
+
+
+def test_a_batch_moves_its_answers_and_no_gold_text(spark, tmp_path, monkeypatch):
+    rows = "id AS example_id, 'java' AS lang, 'modify' AS type_correct"
+    texts = F.when(F.col("example_id") % 5 == 0, "+a // note\n+\tb  c").when(F.col("example_id") % 5 < 4, F.concat(F.lit("+x y "), F.col("example_id")))
+    examples = spark.range(400).selectExpr(*rows.split(", ")).withColumn("new", texts)
+    golds = str(tmp_path / "gold")
+    gold.store_gold_forms(examples, golds, rows_a_bucket=50)
+    answers = spark.createDataFrame(
+        [generated(i, ("1 a // other\n2 b c", "1 x  y 6", "1 b c", None)[i % 4], 9) for i in range(600)]
+        + [generated(None, "1 a", 9)],
+        schemas.GENERATIONS,
+    )
+    monkeypatch.setattr(joins, "hot_examples", lambda responses: [])
+    wide = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        forms = gold.gold_forms_of(spark, golds, answers)
+        scored = scoring.score_ranks(forms, answers)
+        assert len(exchanges(scored)) == 1
+        assert sorted(scored.collect()) == sorted(scoring.score_ranks(joins.gold_forms(examples), answers).collect())
+        # the session that wrote the table is not the one that reads it
+        name = spark.read.json(f"{golds}/about").first().name
+        spark.sql(f"DROP TABLE {name}")
+        assert sorted(gold.gold_forms_of(spark, golds, answers).collect(), key=str) == sorted(joins.gold_forms(examples).collect(), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", wide)
+
+
+def test_neighbouring_answers_fold_without_a_shuffle(spark):
+    import datetime as dt
+
+    def row(i):
+        time = None if i % 13 == 0 else START + dt.timedelta(seconds=i % 5)
+        example_id, place = (None if i % 17 == 0 else i % 6), (None if i % 19 == 0 else i % 29 - 2)
+        return ("m" if i % 3 else None, "plain", "CLE" if i % 2 else "SIE", example_id, place, None if i % 11 == 0 else i % 4, time)
+
+    kinds = "model string, condition string, task string, example_id long, perm_idx int, pick int, ingest_ts timestamp"
+    decoded = spark.createDataFrame([row(i) for i in range(1500)], kinds)
+    near = scoring.answers_by_neighbours(decoded)
+    assert not exchanges(near) and near.schema.simpleString() == streams.STORED_SLOTS.simpleString()
+    want = sorted(scoring.answers_by_example(decoded).collect(), key=str)
+    assert sorted(streams._fold_slots(near).collect(), key=str) == want
+    together = scoring.answers_by_neighbours(decoded.orderBy("example_id").coalesce(1))
+    assert together.count() == len(want)
+    assert scoring.answers_by_neighbours(decoded.limit(0)).count() == 0
