@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 import random
+from functools import partial
 from types import SimpleNamespace
 
 import pytest
@@ -711,3 +712,39 @@ def test_neighbouring_answers_fold_without_a_shuffle(spark):
     together = scoring.answers_by_neighbours(decoded.orderBy("example_id").coalesce(1))
     assert together.count() == len(want)
     assert scoring.answers_by_neighbours(decoded.limit(0)).count() == 0
+
+
+def test_prompts_in_parts_are_asked_as_whole_ones(spark):
+    """Every text that a client gets is the same, and what goes to Python is one row for all orderings."""
+
+    def client():
+        class Client:
+            def choose(self, prompt, letters, **options):
+                if "word3" in prompt and "C. line numbers 7" in prompt:
+                    raise ValueError("refused")
+                return prompt, [] if "word4" in prompt else [("A", len(prompt)), (letters[-1], -1)]
+
+        return Client()
+
+    given = [example(i, review=f"wörd\u4e2d word{i} {{option_a}}", summary=("s", None, "ERROR: x")[i % 3]) for i in range(30)]
+    given += [example(40, type_wrong=["modify"]), example(41, loc_wrong_easy=[[7], None, [8]]), example(42, type_correct="remove_only")]
+    given += [example(43, old=None), example(44, review=None), example(45, solution_wrong_hard=None), example(3)]
+    examples = table(spark, *given)
+    for make in (prompts.change_type_prompt, prompts.location_prompt, prompts.solution_prompt):
+        for at_once in (1, 3):
+            ask = lambda whole: inference.infer_choice_batch(examples, partial(make, whole=whole), client, "ABCD", at_once, record_errors=True)  # noqa: B023, E731
+            parts, whole = ask(False), ask(True)
+            assert parts.columns == whole.columns and dict(parts.dtypes) == dict(whole.dtypes)
+            assert sorted(map(str, parts.collect())) == sorted(map(str, whole.collect()))
+            assert "posexplode" in plan_of(whole) and "posexplode" not in plan_of(parts)
+    asked = examples.selectExpr("*", "'plain' AS condition", "CASE WHEN example_id % 4 > 0 THEN CAST(example_id % 4 * 5 AS INT) END AS missing")
+    for task in v.CHOICE_TASKS:
+        texts = grid.PROMPTS[task](asked).collect()
+        parts = inference.infer_choice(grid.PROMPTS[task](asked, whole=False), client, "ABCD", record_errors=True).where("content IS NOT NULL")
+        got = {(r.example_id, r.perm_idx, r.content) for r in parts.collect()}
+        refused = {(r.example_id, r.perm_idx, r.prompt) for r in texts if "word3" in r.prompt and "C. line numbers 7" in r.prompt}
+        assert got == {(r.example_id, r.perm_idx, r.prompt) for r in texts} - refused and got
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
