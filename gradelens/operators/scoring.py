@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradelens import values as v
 from gradelens.functions import answers as an
 from gradelens.functions import metrics as mx
 from gradelens.functions import options as op
@@ -83,23 +84,64 @@ def answers_by_example(decoded: DataFrame, counted: bool = False) -> DataFrame:
     return decoded.groupBy(*CELL, "example_id").agg(*slots, *tallies)
 
 
+#: Answers that are folded together where they lie; so many to the power of the four keys fit in 64 bits.
+ANSWERS_AT_ONCE = 50_000
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, ``ANSWERS_AT_ONCE`` of them or what is left at the end."""
+    held, rows = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            part = batch.slice(0, ANSWERS_AT_ONCE - rows)
+            batch, rows = batch.slice(part.num_rows), rows + part.num_rows
+            held.append(part)
+            if rows == ANSWERS_AT_ONCE:
+                yield pa.concat_batches(held)
+                held, rows = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _groups(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
+    """The examples' keys in a batch of answers, and the place of each answer's among them."""
+    key = [*CELL, "example_id"]
+    code = np.zeros(batch.num_rows, np.int64)
+    for name in key:
+        column = batch.column(name).dictionary_encode(null_encoding="encode")
+        code = code * (len(column.dictionary) + 1) + column.indices.to_numpy()
+    _, first, group = np.unique(code, return_index=True, return_inverse=True)
+    return batch.select(key).take(pa.array(first)), group
+
+
 def _fold_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The slots of each batch of ranked answers."""
-    key, nothing = [*CELL, "example_id"], np.iinfo(np.int64).min
-    for batch in batches:
-        code = np.zeros(batch.num_rows, np.int64)
-        for name in key:
-            column = batch.column(name).dictionary_encode(null_encoding="encode")
-            code = code * (len(column.dictionary) + 1) + column.indices.to_numpy()
-        _, first, group = np.unique(code, return_index=True, return_inverse=True)
+    nothing = np.iinfo(np.int64).min
+    for batch in _gathered(batches):
+        keys, group = _groups(batch)
         place = batch.column("perm_idx").fill_null(-1).to_numpy()
         rank = batch.column("rank").fill_null(nothing).to_numpy()
         held = (place >= 0) & (place < MOST_ORDERINGS)
-        slots = np.full((MOST_ORDERINGS, len(first)), nothing, np.int64)
+        slots = np.full((MOST_ORDERINGS, keys.num_rows), nothing, np.int64)
         np.maximum.at(slots, (place[held], group[held]), rank[held])
-        keys = batch.select(key).take(pa.array(first))
         columns = [*keys.columns, *[pa.array(s, mask=s == nothing) for s in slots]]
-        yield pa.RecordBatch.from_arrays(columns, [*key, *[f"s{i}" for i in range(MOST_ORDERINGS)]])
+        yield pa.RecordBatch.from_arrays(columns, [*keys.schema.names, *[f"s{i}" for i in range(MOST_ORDERINGS)]])
+
+
+def _last_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch of ranked and scored answers, the last answer of every ordering, beside its example's key."""
+    kept = [field.split()[0] for field in RECORD]
+    for batch in _gathered(batches):
+        keys, group = _groups(batch)
+        columns = {name: batch.column(name).to_numpy() for name in kept}
+        slot = group * MOST_ORDERINGS + columns["perm_idx"]
+        # by slot, then as the fields come; numbers that are none come last, as in a maximum
+        order = np.lexsort([*[columns[name] for name in reversed(kept[1:])], slot])
+        last = order[np.append(np.diff(slot[order]) != 0, True)]
+        ends = np.append(0, np.cumsum(np.bincount(group[last], minlength=keys.num_rows)))
+        found = pa.StructArray.from_arrays([pa.array(columns[name][last]) for name in kept], kept)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+        yield pa.RecordBatch.from_arrays([*keys.columns, lists], [*keys.schema.names, "found"])
 
 
 def answers_by_neighbours(decoded: DataFrame) -> DataFrame:
@@ -155,22 +197,44 @@ def orderings_by_position(decoded: DataFrame, keys: DataFrame) -> DataFrame:
     return position_lists(answers_by_example(decoded), keys)
 
 
+#: An ordering's answer in a record, as it is folded: the greatest of these counts.
+RECORD = ("perm_idx int", "rank long", *[f"{letter} double" for letter in v.LETTERS])
+
+
+def _records_by_neighbours(scored: DataFrame) -> DataFrame:
+    """The answers of each example as one list ``found``, or several where its answers lie apart.
+
+    An ordering is in a list once, with the last answer that lies near. Nothing is sorted or shuffled.
+    """
+    rank = joins.delivery_time() * 4 + an.pick_index(F.col("scores"))
+    letters = [F.get("scores", F.lit(i)).alias(letter) for i, letter in enumerate(v.LETTERS)]
+    ranked = scored.select(*CELL, "example_id", "perm_idx", rank.alias("rank"), *letters)
+    kinds = dict(ranked.dtypes)
+    fields = ", ".join(field.replace(" ", ": ") for field in RECORD)
+    keys = ", ".join(f"{k} {kinds[k]}" for k in (*CELL, "example_id"))
+    return ranked.mapInArrow(_last_scores, f"{keys}, found array<struct<{fields}>>")
+
+
 def choice_records(responses: DataFrame, keys: DataFrame) -> DataFrame:
     """What is kept of every example: picks, right letters and all letters' scores, by ordering.
 
     The last delivered answer of an ordering counts, as in ``answers_by_example``; an ordering without
-    an answer has a null pick and null scores. Rows are folded by ordering before anything is gathered, and
-    an example has at most ``MOST_ORDERINGS`` of them.
+    an answer has a null pick and null scores. Answers fold to lists where they lie, lists are shuffled once,
+    by example, and what follows keeps that partitioning.
     """
     scored = joins.task_scores(responses).where(F.col("perm_idx").between(0, MOST_ORDERINGS - 1))
-    pick = an.pick_index(F.col("scores"))
-    rank = joins.delivery_time() * 4 + pick
-    last = scored.groupBy(*CELL, "example_id", "perm_idx").agg(
-        F.max(F.struct(rank.alias("rank"), pick.alias("pick"), "scores")).alias("last")
-    )
-    found = last.groupBy(*CELL, "example_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("perm_idx", "last"))).alias("_found")
+    lists = _records_by_neighbours(scored).repartition("example_id")
+    together = lists.groupBy(*CELL, "example_id").agg(F.sort_array(F.flatten(F.collect_list("found"))).alias("_all"))
+
+    def last(answer: Column, i: Column) -> Column:
+        return F.coalesce(F.get("_all", i + 1)["perm_idx"] != answer["perm_idx"], F.lit(True))
+
+    scores = lambda answer: F.array(*[answer[letter] for letter in v.LETTERS])
+    entries = F.transform(
+        F.filter("_all", last),
+        lambda a: F.struct(a["perm_idx"], F.struct(F.pmod(a["rank"], F.lit(4)).cast("int").alias("pick"), scores(a).alias("scores"))),
     )
+    found = together.select(*CELL, "example_id", F.map_from_entries(entries).alias("_found"))
     keyed = fanout.with_key(found, keys)
     places = F.sequence(F.lit(0), F.length("key") - 1)
     letters = an.letter_array(4)

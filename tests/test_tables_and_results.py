@@ -748,3 +748,53 @@ def test_prompts_in_parts_are_asked_as_whole_ones(spark):
 
 def plan_of(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_are_shuffled_once_as_lists(spark):
+    """Whatever lies apart, is repeated or tied: the last answer's scores, and one shuffle of folded lists."""
+    import datetime as dt
+
+    keys = fanout.answer_keys(table(spark, *[example(i) for i in range(5)]))
+    dice = random.Random(4)
+
+    def row(i):
+        token = dice.choice("ABCD")
+        tokens = dice.choice([None, [], [(token, -0.1)], [(f" {token}", -0.5), ("B", dice.choice([-0.5, -0.25, float("nan")]))]])
+        content = dice.choice(['{"answer": "A"}', "", None, "[1]"])
+        place, time = dice.choice([None, -1, 24, *range(24)]), START + dt.timedelta(seconds=dice.randrange(2))
+        return ("m" if i % 9 else None, "plain", dice.choice(["CTR", "SIE"]), dice.choice([None, 9, *range(5)]), place, content, tokens, None, time if i % 7 else None)
+
+    given = spark.createDataFrame([row(i) for i in range(4000)], schemas.CHOICES).repartition(3)
+    wide = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records = scoring.choice_records(given, keys)
+        moved = exchanges(records)
+        assert len(moved) == 2 and all("hashpartitioning(example_id" in x for x in moved)
+        got = {(r.model, r.task, r.example_id): (r.model_answers, r.symbol_scores) for r in records.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", wide)
+    best = {}
+    scored = joins.task_scores(given).select("*", F.unix_micros("ingest_ts").alias("at"))
+    for r in scored.where("perm_idx between 0 and 23 and example_id < 5").collect():
+        pick = max(range(4), key=lambda i: (r.scores[i] != r.scores[i], r.scores[i], -i))
+        order = ((r.at or 0) * 4 + pick, [(x != x, 0 if x != x else x) for x in r.scores], pick, r.scores)
+        key = (r.model, r.task, r.example_id)
+        best[key, r.perm_idx] = max(best.get((key, r.perm_idx), order), order)
+    count = {"CTR": 6, "SIE": 24}
+    assert set(got) == {key for key, _ in best}
+    for key, (answers, scores) in got.items():
+        want = [best.get((key, p)) for p in range(count[key[1]])]
+        assert answers == [w and "ABCD"[w[2]] for w in want]
+        assert str(scores) == str([w and w[3] for w in want])
+
+
+def test_far_more_answers_than_fold_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"x": list(range(25))})
+    monkeypatch.setattr(scoring, "ANSWERS_AT_ONCE", 10)
+    parts = list(scoring._gathered([batch, batch.slice(0, 0), batch.slice(0, 3)]))
+    assert [len(p) for p in parts] == [10, 10, 8]
+    assert [x for p in parts for x in p.column("x").to_pylist()] == [*range(25), *range(3)]
+    assert list(scoring._gathered([batch.slice(0, 0)])) == []
