@@ -90,7 +90,13 @@ def fallback_first_choice(content: Column, scores: Column, letters: Sequence[str
 
 def valid_content(usual: Column, stripped: Column) -> Column:
     """Whether stripped content counts as an answer; ``usual`` settles most rows before anything is parsed."""
-    return F.when(usual, F.lit(True)).otherwise((stripped != "") & is_json(stripped))
+    return F.when(usual, F.lit(True)).otherwise((stripped != "") & _closed(stripped) & is_json(stripped))
+
+
+def _closed(stripped: Column) -> Column:
+    """Whether the text ends as a JSON value with its first character does; what is cut short needs no parser."""
+    pairs = [F.startswith(stripped, F.lit(first)) & ~F.endswith(stripped, F.lit(last)) for first, last in ("{}", "[]", '""')]
+    return ~(pairs[0] | pairs[1] | pairs[2])
 
 
 def scores_if(valid: Column, scores: Column, letters: Sequence[str]) -> Column:

@@ -223,3 +223,14 @@ def test_usual_answers_are_built_and_read_without_a_step_per_entry(spark, small)
     tokens = F.array(F.lit("{"), F.raise_error(F.lit("walked")).cast("string"))
     quick = F.when(F.lit(True), F.array(F.lit("{"), F.lit("A"))).otherwise(tokens)
     assert spark.range(1).select(an.stripped_tokens(quick).alias("t")).first().t == ["{", "A"]
+
+
+def test_content_cut_short_is_turned_away_without_a_parser(spark):
+    """What the first and last characters settle is what the parser says, for every kind of value."""
+    values = ["{}", '{"a": [1, "}"]}', "[]", "[{}]", '"x"', '"\\""', "1", "-2.5e3", "true", "null", "NaN", "x", "'a'"]
+    ends = ["", " x", ",", "}", "]", '"', "\x00", "//c", ", 1", ', "k": 1', " {}", "\\"]
+    texts = [*(value + end for value in values for end in ends), *(v[:i] for v in values for i in range(1, len(v)))]
+    frame = spark.createDataFrame([(x,) for x in dict.fromkeys(x.strip() for x in texts)], "x string").where("x <> ''")
+    rows = frame.select("x", an.is_json(F.col("x")).alias("want"), an.valid_content(F.lit(False), F.col("x")).alias("got"), an._closed(F.col("x")).alias("closed")).collect()
+    assert [(r.x, r.got) for r in rows] == [(r.x, r.want) for r in rows]
+    assert sum(not r.closed for r in rows) > 40 and {"{}", '"x"', "null"} <= {r.x for r in rows if r.want}
